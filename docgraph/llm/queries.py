@@ -9,10 +9,15 @@ from .boilerplate import label_documents, train_crf
 from .chat import conversation_digests
 from .common import table
 from .langid import identify_language, train_profiles
+from .passages import passage_digests
 from .rules import score_quality, train_classifier
 from .sharding import shard_documents
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_digests(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify_language(docs, train_profiles(docs))
@@ -41,5 +46,5 @@ def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs.withColumn("doc_id", F.col("doc_id").cast("long")), train_classifier(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_minimax_shards, op5_chat_format, op6_line_labels, op9_rule_ensemble)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_minimax_shards, op5_chat_format, op6_line_labels, op9_rule_ensemble)}
 ORACLES: dict[str, str] = {}
