@@ -14,6 +14,7 @@ A byte goes if a string of ``length`` bytes that covers it also starts in a docu
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from .common import materialize
 from .suffixes import suffix_array
 
 PIECE = 1 << 20  #: bytes of a text that are hashed at once
-BUCKET_BYTES, SHARD_BYTES = 48 << 20, 16 << 20  #: bytes of the corpus for each bucket of hashes and each shard of stretches
+BUCKET_BYTES, SHARD_BYTES = 24 << 20, 4 << 20  #: bytes of the corpus for each bucket of hashes and each shard of stretches
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -261,7 +262,7 @@ def _stretch_rows(seen, extra, shards):
         number: dict[tuple[int, bytes], int] = {}
         which = [number.setdefault(k, len(number)) for k, _ in found]
         yield pa.RecordBatch.from_pylist(
-            [{"shard": shard, "known": False, "docs": np.array([o[0] for _, o in found], np.int64).tobytes(), "keys": np.array([o[1] for _, o in found], np.int64).tobytes(), "at": np.array([o[2] for _, o in found], "<u4").tobytes(), "windows": b"", "which": np.array(which, "<u4").tobytes(), "texts": b"".join(t for _, t in number), "sizes": np.array([len(t) for _, t in number], "<u4").tobytes()}],
+            [{"shard": shard, "known": False, "docs": np.array([o[0] for _, o in found], np.int64).tobytes(), "keys": np.array([o[1] for _, o in found], np.int64).tobytes(), "at": np.array([o[2] for _, o in found], "<u4").tobytes(), "windows": b"", "which": np.array(which, "<u4").tobytes(), "texts": zlib.compress(b"".join(t for _, t in number), 1), "sizes": np.array([len(t) for _, t in number], "<u4").tobytes()}],
             schema=_STRETCHES,
         )
 
@@ -278,7 +279,8 @@ def _sort_shard(length: int):
                     sure.append((d, k, a, np.frombuffer(row["windows"], "<u8")))
                     continue
                 cuts = np.append(0, np.cumsum(np.frombuffer(row["sizes"], "<u4").astype(np.int64))).tolist()
-                names = np.array([number.setdefault(row["texts"][s:e], len(number)) for s, e in zip(cuts[:-1], cuts[1:], strict=True)], np.int64)
+                text = zlib.decompress(row["texts"])
+                names = np.array([number.setdefault(text[s:e], len(number)) for s, e in zip(cuts[:-1], cuts[1:], strict=True)], np.int64)
                 docs.append(d)
                 keys.append(k)
                 at.append(a)
