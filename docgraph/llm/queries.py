@@ -9,6 +9,7 @@ from .boilerplate import label_documents, train_crf
 from .chat import conversation_digests
 from .common import table
 from .langid import identify_language, train_profiles
+from .near_copies import near_copy_classes
 from .passages import passage_digests
 from .rules import score_quality, train_classifier
 from .sharding import shard_documents
@@ -41,10 +42,14 @@ def op6_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_documents(docs, train_crf(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copy_classes(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs.withColumn("doc_id", F.col("doc_id").cast("long")), train_classifier(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_minimax_shards, op5_chat_format, op6_line_labels, op9_rule_ensemble)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_minimax_shards, op5_chat_format, op6_line_labels, op8_jaccard_join, op9_rule_ensemble)}
 ORACLES: dict[str, str] = {}
