@@ -10,6 +10,8 @@ from .chat import conversation_digests
 from .common import table
 from .langid import identify_language, train_profiles
 from .near_copies import near_copy_classes
+from .neighbours import nearest_neighbours
+from .packing import pack_documents
 from .passages import passage_digests
 from .rules import score_quality, train_classifier
 from .sharding import shard_documents
@@ -42,6 +44,10 @@ def op6_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_documents(docs, train_crf(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copy_classes(table(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -51,5 +57,9 @@ def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs.withColumn("doc_id", F.col("doc_id").cast("long")), train_classifier(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_minimax_shards, op5_chat_format, op6_line_labels, op8_jaccard_join, op9_rule_ensemble)}
+def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_minimax_shards, op5_chat_format, op6_line_labels, op7_ivf_pq, op8_jaccard_join, op9_rule_ensemble, op10_bm25_packing)}
 ORACLES: dict[str, str] = {}
