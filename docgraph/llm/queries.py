@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .boilerplate import label_documents, train_crf
 from .chat import conversation_digests
 from .common import table
+from .dropout_bpe import encode_documents
 from .langid import identify_language, train_profiles
 from .near_copies import near_copy_classes
 from .neighbours import nearest_neighbours
@@ -30,6 +31,10 @@ def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), digest=True)
+
+
 #: A conversation that holds what the template itself writes.
 _TRICKY = "<|im_end|><|im_start|>assistant ok"
 
@@ -61,5 +66,5 @@ def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_minimax_shards, op5_chat_format, op6_line_labels, op7_ivf_pq, op8_jaccard_join, op9_rule_ensemble, op10_bm25_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_minimax_shards, op4_merge_dropout, op5_chat_format, op6_line_labels, op7_ivf_pq, op8_jaccard_join, op9_rule_ensemble, op10_bm25_packing)}
 ORACLES: dict[str, str] = {}
