@@ -26,13 +26,13 @@ from .common import materialize
 from .suffixes import suffix_array
 
 PIECE = 1 << 20  #: bytes of a text that are hashed at once
-BUCKET_BYTES, SHARD_BYTES = 24 << 20, 4 << 20  #: bytes of the corpus for each bucket of hashes and each shard of stretches
+BUCKET_BYTES, SHARD_BYTES = 48 << 20, 4 << 20  #: bytes of the corpus for each bucket of hashes and each shard of stretches
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def gram(length: int) -> int:
     """Bytes of an anchor; a window has ``length - gram + 1`` of them, 64 at most."""
-    return max(1, length // 2 - 1, length - 63)
+    return max(1, length // 3, length - 63)
 
 
 def _gram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
@@ -141,7 +141,7 @@ def _emit_hashes(length: int, buckets: int):
             start = 0
             while start < len(ids):
                 raws, size, end = [], 0, start
-                while end < len(ids) and (not raws or size < 4 * PIECE):
+                while end < len(ids) and (not raws or size < 4 * PIECE and len(raws) < 1 << 16):
                     raws.append(_bytes(texts[end].as_py()))
                     size += len(raws[-1])
                     end += 1
@@ -172,15 +172,15 @@ def _hash_rows(ids, keys, doc, place, h, buckets, serial):
     rest = (h // np.uint64(buckets)).astype(np.uint64) >> np.uint64(8)
     for told, rows in ((False, np.flatnonzero(send)), (True, np.flatnonzero(known))):
         key = bucket[rows] if not told else np.full(len(rows), -1 - serial % buckets)
-        by = np.argsort(key, kind="stable")
-        rows, key = rows[by], key[by]
-        cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)) if len(key) else []
+        long = place[rows] >> 16 > 0  # rows of two-byte places and of four-byte ones
+        by = np.lexsort((doc[rows], long, key))
+        rows, key, long = rows[by], key[by], long[by]
+        cuts = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (long[1:] != long[:-1]))), len(key)) if len(key) else []
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             r = rows[s:e]
-            r = r[np.argsort(doc[r], kind="stable")]
             present, local = np.unique(doc[r], return_inverse=True)
             yield pa.RecordBatch.from_pylist(
-                [{"bucket": int(key[s]), "known": told, "docs": ids[present].tobytes(), "keys": keys[present].tobytes(), "doc": local.astype("<u4").tobytes(), "place": place[r].astype("<u4").tobytes(), "hash": b"" if told else rest[r].astype("<u4").tobytes()}],
+                [{"bucket": int(key[s]), "known": told, "docs": ids[present].tobytes(), "keys": keys[present].tobytes(), "doc": local.astype("<u2").tobytes(), "place": place[r].astype("<u4" if long[s] else "<u2").tobytes(), "hash": b"" if told else rest[r].astype("<u4").tobytes()}],
                 schema=_HASHES,
             )
 
@@ -200,10 +200,10 @@ def _repeated(table: pa.Table) -> pa.Table:
     for r in table.to_batches():
         for i in range(r.num_rows):
             row = {c: r[c][i].as_py() for c in ("known", "docs", "keys", "doc", "place", "hash")}
-            doc = np.frombuffer(row["doc"], "<u4")
+            doc = np.frombuffer(row["doc"], "<u2")
             ids.append(np.frombuffer(row["docs"], np.int64)[doc])
             keys.append(np.frombuffer(row["keys"], np.int64)[doc])
-            places.append(np.frombuffer(row["place"], "<u4"))
+            places.append(np.frombuffer(row["place"], "<u4" if len(row["place"]) > len(row["doc"]) else "<u2").astype(np.uint32))
             hashes.append(np.zeros(len(doc), np.uint32) if row["known"] else np.frombuffer(row["hash"], "<u4"))
             sure.append(np.full(len(doc), row["known"]))
     ids, keys, places, hashes, sure = (np.concatenate(x) for x in (ids, keys, places, hashes, sure))
@@ -313,8 +313,9 @@ def _marks(texts: list[bytes], docs: np.ndarray, which: np.ndarray, length: int)
         low = np.minimum.reduceat(least[owner], np.flatnonzero(new))
         first_doc[spot] = low[group]
 
+    owners = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
     for sa, lcp in suffix_array(joined, length):
-        owner = np.searchsorted(starts, sa, side="right") - 1
+        owner = owners[sa]
         place = sa - starts[owner]
         # a suffix in between that is no window has no common prefix of this length with its neighbours
         run = np.minimum(lcp, length).astype(np.int64)
@@ -352,13 +353,13 @@ def _by_doc(ids, keys, at, windows) -> pa.Table:
 
 def covered(n: int, marks: list[bytes], length: int) -> np.ndarray:
     """Which of n bytes a marked window covers."""
-    edge = np.zeros(n + 1, np.int32)
-    for m in marks or []:
-        m = np.frombuffer(m, _MARK)
-        for w in range(64):
-            at = m["at"][(m["windows"] >> np.uint64(w)) & np.uint64(1) > 0].astype(np.int64) + w
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + length, -1)
+    edge = np.zeros(n + 1, np.int64)
+    found = np.frombuffer(b"".join(marks or []), _MARK)
+    if not len(found):
+        return np.zeros(n, bool)
+    row, w = np.nonzero((found["windows"][:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1))
+    at = found["at"][row].astype(np.int64) + w
+    edge += np.bincount(at, minlength=n + 1) - np.bincount(at + length, minlength=n + 1)
     return np.cumsum(edge[:-1]) > 0
 
 
