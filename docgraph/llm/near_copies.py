@@ -1,14 +1,15 @@
 """N-gram Jaccard join by grouped prefixes.
 
-Documents become sets of hashed word n-grams.  Under one order of all n-grams two sets that are similar enough share an
-n-gram within their prefixes, the first ``size - ceil(t * size) + 1`` of them.  The order puts what is frequent last: a
+Documents become sets of hashed word n-grams.  Under one order of all n-grams two sets that are similar enough share k
+n-grams within their prefixes, the first ``size - ceil(t * size) + k`` of them.  The order puts what is frequent last: a
 table of fixed size counts the n-grams of all documents, and hashes break ties.
 
 Equal sets are one set.  Sets with equal prefix and size are one group; groups meet at the n-grams of their prefixes
-and pass filters on size and position.  First each group goes to the one that it shares most with, and
-each member to its group's first; these links are verified and joined to components.  Then the group pairs that are left, those
-not wholly within one component, are expanded to members and verified, so that no link between components is lost,
-while a large group of near copies needs about as many comparisons as it has members.
+and pass filters on size, position and number shared.  First each group goes to the one that it shares most with, and
+each member to its group's first.  These links, as they stand, bind families; verified, they bind components.  What is
+left is verified in two ways, so that no link between components is lost: the members of a family that isn't wholly one
+component are compared block by block, where each set travels once for each block of its family and only links
+come out; group pairs between families are expanded to members, pair by pair.
 """
 
 from __future__ import annotations
@@ -35,41 +36,58 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+class _Numbers(dict):
+    """A number for each word in order of arrival, and the words' hashes by number."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = np.empty(1 << 12, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self)
+        if i == len(self.hashes):
+            self.hashes = np.append(self.hashes, np.empty(i, np.uint64))
+        self.hashes[i] = xxhash.xxh3_64_intdigest(word)
+        return i
+
+
 class Shingler:
     """Sets of hashed word n-grams; words are split at ASCII white space and A-Z are lower-cased."""
 
     def __init__(self, words: int):
-        self.words, self.known = words, {}
+        self.words, self.numbers = words, _Numbers()
+
+    def ngrams(self, texts: list) -> tuple[np.ndarray, list[tuple[int, int]], dict[int, np.ndarray]]:
+        """Hashes of all n-grams of whole texts one after another, each text's part, and the hash of texts shorter than an n-gram."""
+        if len(self.numbers) > 400_000:
+            self.numbers = _Numbers()
+        words, parts, short = [], [], {}
+        for i, text in enumerate(texts):
+            own = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+            parts.append((len(words), max(len(words), len(words) + len(own) - self.words + 1)))
+            words += own
+            if 0 < len(own) < self.words:
+                short[i] = np.array([len(own)], np.uint64)
+                for w in own:
+                    short[i] = _mix(short[i] * _M1 + np.uint64(xxhash.xxh3_64_intdigest(w)))
+        at = np.array(list(map(self.numbers.__getitem__, words)), np.int64)
+        a = self.numbers.hashes[at]
+        n = max(0, len(a) - self.words + 1)
+        h = a[:n].copy()
+        for k in range(1, self.words):
+            h = h * _M1 + a[k : k + n]
+            h ^= h >> np.uint64(33)
+        return _mix(h), parts, short
 
     def sets(self, texts: list) -> Iterator[np.ndarray]:
         """The sorted distinct hashes of each whole text."""
-        known = self.known
-        if len(known) > 1_000_000:
-            known.clear()
-        for text in texts:
-            words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-            if not words:
-                yield np.empty(0, np.uint64)
-                continue
-            hashes = []
-            for w in words:
-                h = known.get(w)
-                if h is None:
-                    h = known[w] = xxhash.xxh3_64_intdigest(w)
-                hashes.append(h)
-            a = np.array(hashes, np.uint64)
-            n = len(a) - self.words + 1
-            if n < 1:
-                out = np.array([len(a)], np.uint64)
-                for x in a:
-                    out = _mix(out * _M1 + x)
-                yield out
+        h, parts, short = self.ngrams(texts)
+        for i, (s, e) in enumerate(parts):
+            if i in short:
+                yield short[i]
                 continue
-            h = a[:n].copy()
-            for k in range(1, self.words):
-                h = h * _M1 + a[k : k + n]
-                h ^= h >> np.uint64(33)
-            yield np.unique(_mix(h))
+            own = np.sort(h[s:e])
+            yield own[np.append(True, own[1:] != own[:-1])] if len(own) else own
 
 
 def required(size, percent: int):
@@ -77,6 +95,15 @@ def required(size, percent: int):
     return -(-percent * size // 100)
 
 
+def common_least(size, percent: int):
+    """How many n-grams two similar sets of about this size share, at least, within their prefixes.
+
+    The first k common n-grams of two sets that share m or more stand among the first size - m + k of either.  More than
+    one is asked, so that n-grams that meet by chance, or in one passage, make no candidates.
+    """
+    return np.minimum(required(size, percent), 2 + size // 20)
+
+
 def _sum_slices(table: pa.Table) -> pa.Table:
     total = np.sum([np.frombuffer(x, np.int64) for x in table["counts"].to_pylist()], axis=0)
     return pa.table({"slice": pa.array([table["slice"][0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
@@ -90,9 +117,9 @@ def frequency_classes(docs: DataFrame, words: int) -> np.ndarray:
         for b in batches:
             texts = b["text"].to_pylist()
             for s, e in by_bytes(texts, CHUNK):
-                h = [x for x in shingler.sets(texts[s:e]) if len(x)]
-                if h:
-                    counts += np.bincount((np.concatenate(h) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+                h, parts, short = shingler.ngrams(texts[s:e])
+                h = np.concatenate([*(h[i:j] for i, j in parts), *short.values()])
+                counts += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         if counts.any():
             parts = counts.reshape(SLICES, -1)
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "counts"])
@@ -115,7 +142,7 @@ def _signatures(docs: DataFrame, words: int, percent: int, classes) -> DataFrame
                     n.append(len(h))
                     sig.append(np.array([h.sum(), np.bitwise_xor.reduce(_mix(h * _M1)) if len(h) else 0], np.uint64).tobytes())
                     rank = order[(h % np.uint64(COUNTERS)).astype(np.int64)]
-                    size = len(h) - required(len(h), percent) + 1
+                    size = len(h) - required(len(h), percent) + int(common_least(len(h), percent))
                     prefix.append(h[np.argsort(rank, kind="stable")[: size if len(h) else 0]].tobytes())
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.binary())], names=["doc_id", "n", "sig", "prefix"])
 
@@ -146,16 +173,16 @@ def _emit_postings(buckets: int):
 
 
 def _fits(na, pa_, nb, pb, percent: int):
-    """Size and position filters: whether sets that first meet at these places can be similar."""
+    """Size and position filters: whether sets that share the n-gram at these places can be similar."""
     need = -(-percent * (na + nb) // (100 + percent))
-    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= need)
+    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (1 + np.minimum(pa_, pb) + np.minimum(na - pa_ - 1, nb - pb - 1) >= need)
 
 
 _SHARED = "hub boolean, token long, grp long, n long, pos long"
 
 
 def _shared(percent: int):
-    """Of a bucket, the postings whose n-gram two groups have, and (as hub rows: grp, token = other group, n = shared) whom each meets first and nearest."""
+    """Of a bucket, the postings whose n-gram two groups have, and (as hub rows: grp, token = other group, n = shared, pos = least to share) whom each meets first and nearest."""
 
     def run(table: pa.Table) -> pa.Table:
         token, grp, n, pos = (np.concatenate([np.frombuffer(x, k) for x in table[c].to_pylist()]).astype(np.int64) for c, k in (("token", "<i8"), ("grp", "<i8"), ("n", "<u4"), ("pos", "<u4")))
@@ -176,21 +203,21 @@ def _shared(percent: int):
             for other in (least, np.where(first, here, here - 1)):
                 ok = (grp != grp[other]) & _fits(n, pos, n[other], pos[other], percent)
                 a, b = grp[ok], grp[other[ok]]
-                links.append(np.stack([np.maximum(a, b), np.minimum(a, b)], 1))
+                least_n = np.minimum(n[ok], n[other[ok]])
+                links.append(np.stack([np.maximum(a, b), np.minimum(a, b), common_least(least_n, percent)], 1))
             pairs, count = np.unique(np.concatenate(links), axis=0, return_counts=True)
         else:
-            pairs, count = np.empty((0, 2), np.int64), np.empty(0, np.int64)
-        zero = np.zeros(len(pairs), np.int64)
-        columns = [(np.append(token, pairs[:, 1])), np.append(grp, pairs[:, 0]), np.append(n, count), np.append(pos, zero)]
+            pairs, count = np.empty((0, 3), np.int64), np.empty(0, np.int64)
+        columns = [np.append(token, pairs[:, 1]), np.append(grp, pairs[:, 0]), np.append(n, count), np.append(pos, pairs[:, 2])]
         return pa.table([pa.array(np.append(np.zeros(len(token), bool), np.ones(len(pairs), bool))), *map(pa.array, columns)], names=["hub", "token", "grp", "n", "pos"])
 
     return run
 
 
 def _rest(percent: int):
-    """Group pairs of each run of postings (sorted by token) that aren't wholly within one component."""
+    """Group pairs of each run of postings (sorted by token) that aren't wholly within one component or one family, with how often they meet."""
 
-    def of_run(grp, n, pos, low, high) -> np.ndarray:
+    def of_run(grp, n, pos, low, high, family) -> np.ndarray:
         out = []
         for s in range(0, len(grp), 1024):  # blocks, so that memory stays bounded
             i = np.arange(s, min(s + 1024, len(grp)))
@@ -198,25 +225,27 @@ def _rest(percent: int):
             for t in range(s, end, 1024):
                 j = np.arange(t, min(t + 1024, end))
                 settled = (low[i] == high[i])[:, None] & (low[j] == high[j])[None] & (low[i][:, None] == low[j][None])
+                settled |= family[i][:, None] == family[j][None]
                 ok = ~settled & (i[:, None] < j[None]) & _fits(n[i][:, None], pos[i][:, None], n[j][None], pos[j][None], percent)
                 a, b = np.nonzero(ok)
-                a, b = grp[i[a]], grp[j[b]]
-                out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+                i_, j_ = i[a], j[b]
+                a, b = grp[i_], grp[j_]
+                out.append(np.stack([np.minimum(a, b), np.maximum(a, b), common_least(np.minimum(n[i_], n[j_]), percent)], 1))
         return np.concatenate(out)
 
     def flush(held):
         grp = np.concatenate([h[1] for h in held])
         token = np.concatenate([h[0] for h in held])
-        n, pos, low, high = (np.concatenate([h[k] for h in held]) for k in range(2, 6))
+        rest = [np.concatenate([h[k] for h in held]) for k in range(2, 7)]
         cuts = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
-        found = [of_run(grp[s:e], n[s:e], pos[s:e], low[s:e], high[s:e]) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["g", "h"])
+        found = [of_run(grp[s:e], *(c[s:e] for c in rest)) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+        pairs, count = np.unique(np.concatenate(found), axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2]), pa.array(count.astype(np.int64))], names=["g", "h", "least", "shared"])
 
     def run(batches):
         held: list[tuple] = []
         for b in batches:
-            x = tuple(np.array(b[c], np.int64) for c in ("token", "grp", "n", "pos", "low", "high"))
+            x = tuple(np.array(b[c], np.int64) for c in ("token", "grp", "n", "pos", "low", "high", "family"))
             if not len(x[0]):
                 continue
             cut = int(np.searchsorted(x[0], x[0][-1]))  # the last run may go on
@@ -287,37 +316,104 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, star: int = 2000) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar: |A and B| * 100 >= percent * |A or B|.
+def _pair_places(pairs: DataFrame, star: int = 2000) -> DataFrame:
+    """Where sets go for ``pairs`` (a, b): each to the place of its b; a b with many pairs has a place for each ``star`` of them."""
+    size = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(star)).cast("int").alias("places"))
+    spread = pairs.join(size, "b").select(F.col("a").alias("doc_id"), "b", F.pmod(F.xxhash64("a"), F.col("places")).cast("int").alias("i"), F.lit(1).alias("side"))
+    hubs = size.select(F.col("b").alias("doc_id"), "b", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("i"), F.lit(0).alias("side"))
+    return spread.unionByName(hubs).select("doc_id", F.col("b").alias("home"), F.lit(-1).alias("s"), "i", F.lit(-1).alias("t"), F.lit(0).alias("j"), "side")
 
-    Each set goes to the place of its pair's b; a b with many pairs has a place for each ``star`` of them.
+
+def _block_places(members: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """Where sets go for families (rep, n, family): classes of size are split into blocks; blocks meet in their class and with the next.
+
+    A set that is similar to one of class s is of class s - 1 to s + 1.
     """
-    spark = docs.sparkSession
-    size = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(star)).cast("int").alias("places"))
-    spread = pairs.join(size, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("places")).cast("int").alias("place"))
-    dest = spread.select(F.col("a").alias("doc_id"), "b", "place", F.lit(1).alias("role")).unionByName(
-        size.select(F.col("b").alias("doc_id"), "b", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(0).alias("role"))
+    m = members.withColumn("s", F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int"))
+    size = m.groupBy("family", "s").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("k"))
+    at = m.join(size, ["family", "s"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+    same = at.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
+        "rep", "family", "s", F.least("own", "j").alias("i"), F.col("s").alias("t"), F.greatest("own", "j").alias("j"), F.lit(0).alias("side")
     )
+    other = size.select("family", F.col("s").alias("s2"), F.col("k").alias("k2"))
+    each = F.explode(F.sequence(F.lit(0), F.col("k2") - 1))
+    up = at.withColumn("s2", F.col("s") + 1).join(other, ["family", "s2"]).withColumn("j", each).select("rep", "family", "s", F.col("own").alias("i"), F.col("s2").alias("t"), "j", F.lit(0).alias("side"))
+    down = at.withColumn("s2", F.col("s") - 1).join(other, ["family", "s2"]).withColumn("i", each).select("rep", "family", F.col("s2").alias("s"), "i", F.col("s").alias("t"), F.col("own").alias("j"), F.lit(1).alias("side"))
+    return same.unionByName(up).unionByName(down).select(F.col("rep").alias("doc_id"), F.col("family").alias("home"), "s", "i", "t", "j", "side")
+
+
+def _overlaps(sets: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of 0-1 matrices over the elements that two sets have."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, name, count = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = count[name] > 1
+    name, owner = np.unique(name[keep], return_inverse=True)[1], owner[keep]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(name, kind="stable")
+    name, owner = name[order], owner[order]
+    for low in range(0, int(name[-1]) + 1 if len(name) else 0, width):
+        s, e = np.searchsorted(name, (low, low + width))
+        grid = np.zeros((len(sets), width), np.float32)
+        grid[owner[s:e], name[s:e] - low] = 1
+        out += grid @ grid.T
+    return out
+
+
+def _block_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that bind a place's similar sets: each set's links to others not yet bound to it."""
+    size = np.array([len(x) for x in sets])
+    common = _overlaps(sets)
+    similar = (100 * common >= percent * (size[:, None] + size[None] - common)) & (common > 0)
+    bound, out = np.arange(len(ids)), []
+    for i in range(len(ids)):
+        for j in np.flatnonzero(similar[i, :i]).tolist():
+            if bound[i] != bound[j]:
+                bound[bound == bound[i]] = bound[j]
+                out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+    return out
+
+
+def _verified(docs: DataFrame, dest: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) with |A and B| * 100 >= percent * |A or B| among the sets that meet at places.
+
+    At a place of pairs (t < 0) the sets of side 1 are compared with that of side 0; at a place of blocks all are
+    compared with each other, and enough links come out to bind what is bound.
+    """
     dest = materialize(dest, "places")
     ids = dest.select(F.col("doc_id").alias("id")).distinct()
-    model = spark.sparkContext.broadcast(_bloom(ids, ids.count()))
-    sent = _sets_of(docs, words, model)
-    rows = sent.join(dest, "doc_id").select("b", "place", "role", F.col("doc_id").alias("a"), "set").repartition("b", "place").sortWithinPartitions("b", "place", "role", "a")
+    model = docs.sparkSession.sparkContext.broadcast(_bloom(ids, ids.count()))
+    place = ["home", "s", "i", "t", "j"]
+    rows = _sets_of(docs, words, model).join(dest, "doc_id").select(*place, "side", F.col("doc_id").alias("a"), "set").repartition(*place).sortWithinPartitions(*place, "side", "a")
 
     def run(batches):
-        at, base = None, None
+        at, names, sets = None, [], []
+
+        def blocks_done():
+            found = _block_links(names, sets, percent) if len(names) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
         for batch in batches:
             a_out, b_out = [], []
-            for b, place, role, a, raw in zip(*(batch[c].to_pylist() for c in ("b", "place", "role", "a", "set")), strict=True):
-                if role == 0:
-                    at, base = (b, place), _unpack(raw)
-                    continue
+            for *here, side, a, raw in zip(*(batch[c].to_pylist() for c in (*place, "side", "a", "set")), strict=True):
                 x = _unpack(raw)
-                common = len(np.intersect1d(base, x, assume_unique=True)) if at == (b, place) else 0
-                if 100 * common >= percent * (len(base) + len(x) - common) and common:
-                    a_out.append(a)
-                    b_out.append(b)
+                if here != at:
+                    if at is not None and at[3] >= 0:
+                        yield blocks_done()
+                    at, names, sets = here, [], []
+                if here[3] >= 0 or side == 0:
+                    names.append(a)
+                    sets.append(x)
+                    continue
+                for base in sets:
+                    spot = np.searchsorted(base, x)
+                    common = int((base[np.minimum(spot, len(base) - 1)] == x).sum())
+                    if 100 * common >= percent * (len(base) + len(x) - common):
+                        a_out.append(a)
+                        b_out.append(here[0])
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+        if at is not None and at[3] >= 0:
+            yield blocks_done()
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -340,27 +436,31 @@ def near_copy_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     sets = known.groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
     sets = materialize(sets.withColumn("grp", F.min("rep").over(Window.partitionBy("n", "prefix"))), "sets")
     groups = sets.filter("grp = rep").select("grp", "n", "prefix")
-    members = sets.select("rep", "grp")
     size = sets.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0]
     buckets = max(4, size // (4 << 20))
     postings = groups.mapInArrow(_emit_postings(buckets), _POSTINGS).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared(percent), _SHARED)
     postings = materialize(postings, "postings")
 
-    met = postings.filter("hub").groupBy("grp", "token").agg(F.sum("n").alias("shared"))
+    met = postings.filter("hub").groupBy("grp", "token", "pos").agg(F.sum("n").alias("shared")).filter("shared >= pos")
     best = met.groupBy("grp").agg(F.max(F.struct("shared", (-F.col("token")).alias("low"))).alias("x")).select(F.col("grp").alias("a"), (-F.col("x.low")).alias("b"))
-    links = best.unionByName(members.filter("rep <> grp").select(F.col("rep").alias("a"), F.col("grp").alias("b")))
-    links = materialize(_verified(docs, materialize(links, "first"), words, percent), "links")
-
-    labels = materialize(connected_components(links), "labels")
-    labelled = materialize(members.join(labels, members.rep == labels.node, "left").select("rep", "grp", F.coalesce("component", "rep").alias("label")), "labelled")
-    span = labelled.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("many"))
-    runs = postings.filter("not hub").select("token", "grp", "n", "pos").join(span.drop("many"), "grp")
-    open_runs = runs.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l <> h").select("token")
-    rest = runs.join(open_runs, "token").repartition("token").sortWithinPartitions("token", "n", "grp").select("token", "grp", "n", "pos", "low", "high").mapInArrow(_rest(percent), "g long, h long").distinct()
-    within = span.filter("low <> high").select(F.col("grp").alias("g"), F.col("grp").alias("h"))
-    x, y = (labelled.select(F.col("grp").alias(g), F.col("rep").alias(r), F.col("label").alias(c)) for g, r, c in (("g", "b", "lb"), ("h", "a", "la")))
-    more = rest.unionByName(within).join(x, "g").join(y, "h").filter("la <> lb and (g <> h or a > b)").select("a", "b").distinct()
-    more = _verified(docs, materialize(more, "second"), words, percent)
+    links = best.unionByName(sets.filter("rep <> grp").select(F.col("rep").alias("a"), F.col("grp").alias("b")))
+    links = materialize(links, "first")
+    families = materialize(connected_components(links), "families")
+    labels = materialize(connected_components(_verified(docs, _pair_places(links), words, percent)), "labels")
+    named = sets.select("rep", "grp", "n").join(labels.withColumnRenamed("component", "label"), F.col("rep") == F.col("node"), "left").drop("node")
+    named = named.join(families.withColumnRenamed("component", "family"), F.col("rep") == F.col("node"), "left").drop("node")
+    named = materialize(named.select("rep", "grp", "n", F.coalesce("label", "rep").alias("label"), F.coalesce("family", "rep").alias("family")), "named")
+
+    split = named.groupBy("family").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("family")
+    blocks = _block_places(named.select("rep", "n", "family").join(split, "family"), percent)
+    span = named.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("family").alias("family"))
+    runs = postings.filter("not hub").select("token", "grp", "n", "pos").join(span, "grp")
+    apart = runs.groupBy("token").agg(F.min("family").alias("l"), F.max("family").alias("h")).filter("l <> h").select("token")
+    rest = runs.join(apart, "token").repartition("token").sortWithinPartitions("token", "n", "grp").select("token", "grp", "n", "pos", "low", "high", "family").mapInArrow(_rest(percent), "g long, h long, least long, shared long")
+    rest = rest.groupBy("g", "h", "least").agg(F.sum("shared").alias("shared")).filter("shared >= least").select("g", "h")
+    x, y = (named.select(F.col("grp").alias(g), F.col("rep").alias(r), F.col("label").alias(c)) for g, r, c in (("g", "b", "lb"), ("h", "a", "la")))
+    more = materialize(rest.join(x, "g").join(y, "h").filter("la <> lb").select("a", "b").distinct(), "second")
+    more = _verified(docs, _pair_places(more).unionByName(blocks), words, percent)
     component = connected_components(labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     component = materialize(component, "components")
     whole = sets.join(component, sets.rep == component.node, "left").select("sig", "n", F.coalesce("component", "rep").alias("component_id"))
