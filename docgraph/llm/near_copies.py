@@ -6,7 +6,8 @@ table of fixed size counts the n-grams of all documents, and hashes break ties.
 
 Equal sets are one set.  Sets with equal prefix and size are one group; groups meet at the n-grams of their prefixes
 and pass filters on size, position and number shared.  First each group goes to the one that it shares most with, and
-each member to its group's first.  These links, as they stand, bind families; verified, they bind components.  What is
+each member to its group's first.  These links are verified and bind components; with those to every group
+that is met first or next, unverified, they bind families.  What is
 left is verified in two ways, so that no link between components is lost: the members of a family that isn't wholly one
 component are compared block by block, where each set travels once for each block of its family and only links
 come out; group pairs between families are expanded to members, pair by pair.
@@ -14,6 +15,7 @@ come out; group pairs between families are expanded to members, pair by pair.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import by_bytes, materialize
 from .components import connected_components
 
-COUNTERS, SLICES = 1 << 20, 64
+COUNTERS, SLICES = 1 << 22, 64
 BLOOM_BITS = 1 << 27  #: at most; a filter that gets full passes more and loses nothing
 CHUNK = 2 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -105,12 +107,14 @@ def common_least(size, percent: int):
 
 
 def _sum_slices(table: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x, np.int64) for x in table["counts"].to_pylist()], axis=0)
+    total = np.zeros(COUNTERS // SLICES, np.int64)
+    for x in table["counts"]:
+        total += np.frombuffer(zlib.decompress(x.as_py()), np.int32)
     return pa.table({"slice": pa.array([table["slice"][0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def frequency_classes(docs: DataFrame, words: int) -> np.ndarray:
-    """A class for each counter: how far the n-grams it counts, over all documents, exceed the mean.  A megabyte at any size."""
+    """A class for each counter: how far the n-grams it counts, over all documents, exceed what chance puts there.  Four megabytes at any size."""
 
     def run(batches):
         counts, shingler = np.zeros(COUNTERS, np.int64), Shingler(words)
@@ -122,11 +126,12 @@ def frequency_classes(docs: DataFrame, words: int) -> np.ndarray:
                 counts += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         if counts.any():
             parts = counts.reshape(SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(p.astype(np.int32).tobytes(), 1) for p in parts], pa.binary())], names=["slice", "counts"])
 
     rows = docs.select("text").mapInArrow(run, "slice int, counts binary").groupBy("slice").applyInArrow(_sum_slices, "slice int, counts binary").collect()
     counts = np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(rows)]) if rows else np.zeros(COUNTERS, np.int64)
-    return np.clip(np.log2(np.maximum(counts / (2 * counts.mean() + 16), 0.5)) + 1, 0, 60).astype(np.uint8)
+    usual = counts.mean() + 4 * counts.mean() ** 0.5 + 8
+    return np.where(counts > usual, 1 + 2 * np.log2(np.maximum(counts / usual, 1)), 0).astype(np.uint8)
 
 
 def _signatures(docs: DataFrame, words: int, percent: int, classes) -> DataFrame:
@@ -445,7 +450,7 @@ def near_copy_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     best = met.groupBy("grp").agg(F.max(F.struct("shared", (-F.col("token")).alias("low"))).alias("x")).select(F.col("grp").alias("a"), (-F.col("x.low")).alias("b"))
     links = best.unionByName(sets.filter("rep <> grp").select(F.col("rep").alias("a"), F.col("grp").alias("b")))
     links = materialize(links, "first")
-    families = materialize(connected_components(links), "families")
+    families = materialize(connected_components(met.select(F.col("grp").alias("a"), F.col("token").alias("b")).unionByName(links)), "families")
     labels = materialize(connected_components(_verified(docs, _pair_places(links), words, percent)), "labels")
     named = sets.select("rep", "grp", "n").join(labels.withColumnRenamed("component", "label"), F.col("rep") == F.col("node"), "left").drop("node")
     named = named.join(families.withColumnRenamed("component", "family"), F.col("rep") == F.col("node"), "left").drop("node")
