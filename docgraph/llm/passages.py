@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,68 +65,51 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def _pieces(raw: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(place, hashes of the K-grams, least hash of each window) of pieces that overlap so that each window is in one."""
-    k = gram(length)
-    for at in range(0, len(raw) - length + 1, PIECE):
-        x = _gram_hashes(raw[at : at + PIECE + length - 1], k)
-        yield at, x, _least(x, length - k + 1)
+_SPOT = np.uint64((1 << 24) - 1)
 
 
-def anchors(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of texts that stand one after another; ``starts`` ends with the length of all."""
-    places, hashes, width = [], [], length - gram(length) + 1
-    for at, x, least in _pieces(raw, length):
-        n = len(least)
+def anchors(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, spans) of each gram that is the first least hashed of some windows, for texts that stand one after another.
+
+    ``starts`` ends with the length of all.  Spans has how far before the place the first of those windows begins
+    (times 64) and how far the last.  Hashes are compared by their upper 40 bits with the place behind, so that one running
+    minimum tells both.
+    """
+    k, out = gram(length), []
+    for at in range(0, len(raw) - length + 1, PIECE):
+        x = _gram_hashes(raw[at : at + PIECE + length - 1], k)
+        place = (_least(x & ~_SPOT | np.arange(len(x), dtype=np.uint64), length - k + 1) & _SPOT).astype(np.int64)
+        n = len(place)
         inside = np.ones(n, bool)  # windows that cross into the next text are none
         for s in starts[1:-1][(starts[1:-1] > at) & (starts[1:-1] < at + n + length)].tolist():
             inside[max(0, s - at - length + 1) : max(0, s - at)] = False
-        flag = np.zeros(len(x), bool)
-        for d in range(width):
-            flag[d : d + n] |= (x[d : d + n] == least) & inside
-        p = np.flatnonzero(flag)
-        places.append(p + at)
-        hashes.append(x[p])
-    if not places:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    p, first = np.unique(np.concatenate(places), return_index=True)
-    return p, np.concatenate(hashes)[first]
-
-
-def stretches(raw: np.ndarray, places: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
-    """(hash, first window, last window) around each of the places that is the first anchor of some windows."""
-    k = gram(length)
-    width = length - k + 1
-    for at, x, least in _pieces(raw, length):
-        n = len(least)
-        p = places[(places >= at) & (places < at + n + width - 1)] - at
-        p = p[p < len(x)]
-        if not len(p):
+        window = np.flatnonzero(inside)
+        place = place[window]
+        if not len(place):
             continue
-        window = p[:, None] + np.arange(-width + 1, 1)
-        ok = (window >= 0) & (window < n)
-        window = np.clip(window, 0, n - 1)
-        ok &= least[window] == x[p][:, None]
-        # windows in which an equal gram stands further left belong to that one
-        near = np.flatnonzero((p[1:] - p[:-1] < width) & (x[p[1:]] == x[p[:-1]])) + 1
-        for i in near.tolist():
-            ok[i] &= window[i] > p[i - 1]
-        some = ok.any(1)
-        first = window[np.arange(len(p)), ok.argmax(1)]
-        last = window[np.arange(len(p)), width - 1 - ok[:, ::-1].argmax(1)]
-        for h, a, b, s in zip(x[p].tolist(), first.tolist(), last.tolist(), some.tolist(), strict=True):
-            if s:
-                yield h, a + at, b + at
+        change = np.flatnonzero(place[1:] != place[:-1])
+        first, last = np.append(0, change + 1), np.append(change, len(place) - 1)
+        p = place[first]
+        out.append((p + at, x[p], ((p - window[first]) << 6 | (p - window[last])).astype(np.uint16)))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint16)
+    place, h, spans = (np.concatenate(c) for c in zip(*out, strict=True))
+    again = np.flatnonzero(place[1:] == place[:-1])  # an anchor with windows in two pieces
+    spans[again + 1] = (spans[again] & np.uint16(0xFFC0)) | (spans[again + 1] & np.uint16(63))
+    keep = np.ones(len(place), bool)
+    keep[again] = False
+    return place[keep], h[keep], spans[keep]
 
 
 def _bytes(text) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-_HASHES = pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), ("docs", pa.binary()), ("keys", pa.binary()), ("doc", pa.binary()), ("place", pa.binary()), ("hash", pa.binary())])
+_HASHES = pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), ("docs", pa.binary()), ("keys", pa.binary()), ("doc", pa.binary()), ("place", pa.binary()), ("spans", pa.binary()), ("hash", pa.binary())])
 _FOUND = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("places", pa.binary())])
 _STRETCHES = pa.schema([("shard", pa.int64()), ("known", pa.bool_()), ("docs", pa.binary()), ("keys", pa.binary()), ("at", pa.binary()), ("windows", pa.binary()), ("which", pa.binary()), ("texts", pa.binary()), ("sizes", pa.binary())])
 _MARKS = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("marks", pa.binary())])
+_FLAG = np.dtype([("place", "<u4"), ("spans", "<u2")])
 _MARK = np.dtype([("at", "<u4"), ("windows", "<u8")])
 
 
@@ -146,22 +130,22 @@ def _emit_hashes(length: int, buckets: int):
                     size += len(raws[-1])
                     end += 1
                 starts = np.append(0, np.cumsum([len(r) for r in raws]))
-                place, h = anchors(np.frombuffer(b"".join(raws), np.uint8), starts, length)
+                place, h, spans = anchors(np.frombuffer(b"".join(raws), np.uint8), starts, length)
                 doc = np.searchsorted(starts, place, side="right") - 1
                 place = place - starts[doc]
-                yield from _hash_rows(ids[start:end], keys[start:end], doc, place, h, buckets, serial)
+                yield from _hash_rows(ids[start:end], keys[start:end], doc, place, spans, h, buckets, serial)
                 serial += 1
                 start = end
 
     return run
 
 
-def _hash_rows(ids, keys, doc, place, h, buckets, serial):
+def _hash_rows(ids, keys, doc, place, spans, h, buckets, serial):
     """One row for each bucket, in which a hash stands once; where two documents of a batch share it, their places are known to repeat."""
     if not len(h):
         return
     order = np.lexsort((doc, h))
-    h, doc, place = h[order], doc[order], place[order]
+    h, doc, place, spans = h[order], doc[order], place[order], spans[order]
     first = np.append(True, h[1:] != h[:-1])
     group = np.cumsum(first) - 1
     starts = np.flatnonzero(first)
@@ -180,40 +164,53 @@ def _hash_rows(ids, keys, doc, place, h, buckets, serial):
             r = rows[s:e]
             present, local = np.unique(doc[r], return_inverse=True)
             yield pa.RecordBatch.from_pylist(
-                [{"bucket": int(key[s]), "known": told, "docs": ids[present].tobytes(), "keys": keys[present].tobytes(), "doc": local.astype("<u2").tobytes(), "place": place[r].astype("<u4" if long[s] else "<u2").tobytes(), "hash": b"" if told else rest[r].astype("<u4").tobytes()}],
+                [{"bucket": int(key[s]), "known": told, "docs": ids[present].tobytes(), "keys": keys[present].tobytes(), "doc": local.astype("<u2").tobytes(), "place": place[r].astype("<u4" if long[s] else "<u2").tobytes(), "spans": spans[r].astype("<u2").tobytes(), "hash": b"" if told else rest[r].astype("<u4").tobytes()}],
                 schema=_HASHES,
             )
 
 
-def _places_by_doc(ids, keys, place) -> Iterator[pa.RecordBatch]:
+def _flags_by_doc(ids, keys, flags) -> Iterator[pa.RecordBatch]:
     if len(ids):
-        order = np.lexsort((place, keys, ids))
-        ids, keys, place = ids[order], keys[order], place[order]
+        order = np.lexsort((keys, ids))
+        ids, keys, flags = ids[order], keys[order], flags[order]
         first = np.append(True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]))
         cuts = np.append(np.flatnonzero(first), len(ids))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(keys[first]), pa.array([place[s:e].astype("<u4").tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], schema=_FOUND)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(keys[first]), pa.array([flags[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], schema=_FOUND)
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """The places of a bucket whose hash stands in two documents, and those known before."""
-    ids, keys, places, hashes, sure = [], [], [], [], []
+    """The anchors of a bucket whose hash stands in two documents, and those known before."""
+    ids, keys, flags, hashes, sure = [], [], [], [], []
     for r in table.to_batches():
         for i in range(r.num_rows):
-            row = {c: r[c][i].as_py() for c in ("known", "docs", "keys", "doc", "place", "hash")}
+            row = {c: r[c][i].as_py() for c in ("known", "docs", "keys", "doc", "place", "spans", "hash")}
             doc = np.frombuffer(row["doc"], "<u2")
             ids.append(np.frombuffer(row["docs"], np.int64)[doc])
             keys.append(np.frombuffer(row["keys"], np.int64)[doc])
-            places.append(np.frombuffer(row["place"], "<u4" if len(row["place"]) > len(row["doc"]) else "<u2").astype(np.uint32))
+            flag = np.empty(len(doc), _FLAG)
+            flag["place"] = np.frombuffer(row["place"], "<u4" if len(row["place"]) > len(row["doc"]) else "<u2")
+            flag["spans"] = np.frombuffer(row["spans"], "<u2")
+            flags.append(flag)
             hashes.append(np.zeros(len(doc), np.uint32) if row["known"] else np.frombuffer(row["hash"], "<u4"))
             sure.append(np.full(len(doc), row["known"]))
-    ids, keys, places, hashes, sure = (np.concatenate(x) for x in (ids, keys, places, hashes, sure))
+    ids, keys, flags, hashes, sure = (np.concatenate(x) for x in (ids, keys, flags, hashes, sure))
     order = np.argsort(hashes, kind="stable")
     first = np.append(True, hashes[order][1:] != hashes[order][:-1])
     starts = np.flatnonzero(first)
     several = np.minimum.reduceat(ids[order], starts) != np.maximum.reduceat(ids[order], starts)
     hit = sure.copy()
     hit[order] |= several[np.cumsum(first) - 1]
-    return pa.Table.from_batches(list(_places_by_doc(ids[hit], keys[hit], places[hit])), schema=_FOUND)
+    return pa.Table.from_batches(list(_flags_by_doc(ids[hit], keys[hit], flags[hit])), schema=_FOUND)
+
+
+def stretches(raw: bytes, flags: list[bytes], length: int) -> Iterator[tuple[int, int, int]]:
+    """(hash, first window, last window) around each flagged anchor."""
+    k = gram(length)
+    found = np.unique(np.frombuffer(b"".join(flags), _FLAG))
+    place, spans = found["place"].astype(np.int64), found["spans"].astype(np.int64)
+    for p, a, z in zip(place.tolist(), (place - (spans >> 6)).tolist(), (place - (spans & 63)).tolist(), strict=True):
+        if z + length <= len(raw) and a >= 0:  # else of another row with this key
+            yield xxhash.xxh3_64_intdigest(raw[p : p + k]), a, z
 
 
 def _emit_stretches(length: int, shards: int):
@@ -229,7 +226,7 @@ def _emit_stretches(length: int, shards: int):
                 if not places:
                     continue
                 raw = _bytes(text.as_py())
-                for h, a, z in stretches(np.frombuffer(raw, np.uint8), np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in places]).astype(np.int64)), length):
+                for h, a, z in stretches(raw, places, length):
                     k, own = (h, raw[a : z + length]), (doc, key, a, z - a + 1)
                     was = seen.get(k)
                     if was is None:
@@ -363,12 +360,15 @@ def covered(n: int, marks: list[bytes], length: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def find_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
-    """doc_id, text, marks (removed stretches to come) and first_id of every row of ``docs`` (doc_id, text).
+def find_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, the columns ``keep`` as kept0, kept1 and so on, marks (windows to remove) and first_id of every row.
 
-    first_id is the least doc_id with this text.  See ``remove_passages`` for what holds for nulls and ties.
+    first_id is the least doc_id with this text.  See ``remove_passages`` for what holds for nulls and ties.  Both
+    joins take the same columns, so that the texts are shuffled once.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tkey"))
+    more = [F.col(c).alias(f"kept{i}") for i, c in enumerate(keep)]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tkey"), *more)
+    names = [f"kept{i}" for i in range(len(keep))]
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     info = materialize(docs.select("doc_id", "tkey", F.sha2(text, 256).alias("sha"), F.octet_length(text).alias("n")), "texts")
     total = info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -376,12 +376,12 @@ def find_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     firsts = info.filter(F.col("n") >= length).groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     copies = info.join(firsts.filter("copies > 1"), "sha").filter("doc_id > first_id").groupBy("doc_id", "tkey").agg(F.min("first_id").alias("first_id"))
     found = docs.select("doc_id", "tkey", "text").mapInArrow(_emit_hashes(length, buckets), _spark(_HASHES)).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_repeated, _spark(_FOUND))
-    places = found.join(copies, ["doc_id", "tkey"], "left_anti").groupBy("doc_id", "tkey").agg(F.collect_list("places").alias("places"))
-    cut = docs.join(places, ["doc_id", "tkey"], "left").select("doc_id", "tkey", "text", "places").mapInArrow(_emit_stretches(length, shards), _spark(_STRETCHES))
+    places = found.groupBy("doc_id", "tkey").agg(F.collect_list("places").alias("places")).join(copies, ["doc_id", "tkey"], "left_anti")
+    cut = docs.join(places, ["doc_id", "tkey"], "left").mapInArrow(_emit_stretches(length, shards), _spark(_STRETCHES))
     marks = cut.repartition(shards, "shard").groupBy("shard").applyInArrow(_sort_shard(length), _spark(_MARKS))
     marks = marks.groupBy("doc_id", "tkey").agg(F.collect_list("marks").alias("marks"))
     known = marks.join(copies, ["doc_id", "tkey"], "full")
-    return docs.join(known, ["doc_id", "tkey"], "left").select("doc_id", "text", "marks", "first_id")
+    return docs.join(known, ["doc_id", "tkey"], "left").select("doc_id", "text", *names, "marks", "first_id")
 
 
 def removed(raw: bytes, marks, first_id, length: int) -> np.ndarray:
@@ -410,8 +410,8 @@ def passage_digests(docs: DataFrame, length: int = 50) -> DataFrame:
     return find_repeats(docs, length).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_passages(docs: DataFrame, length: int = 50) -> DataFrame:
-    """doc_id, text without repeated passages, n_removed (bytes) of every row of ``docs`` (doc_id, text).
+def remove_passages(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text without repeated passages, n_removed (bytes) and the columns ``keep`` of every row of ``docs`` (doc_id, text).
 
     A character goes only if all its bytes do.  A null text stays null and counts as empty.  Rows with the same doc_id
     don't remove each other's bytes, so repeated rows fare alike.  A null doc_id neither removes nor loses
@@ -435,6 +435,7 @@ def remove_passages(docs: DataFrame, length: int = 50) -> DataFrame:
                 gone = whole[char]
                 texts.append(data[~gone].tobytes().decode("utf-8", "surrogatepass"))
                 gone_n.append(int(gone.sum()))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(texts, pa.string()), pa.array(gone_n, pa.int64())], names=["doc_id", "text", "n_removed"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(texts, pa.string()), pa.array(gone_n, pa.int64()), *(b[f"kept{i}"] for i in range(len(keep)))], names=["doc_id", "text", "n_removed", *keep])
 
-    return find_repeats(docs, length).mapInArrow(run, "doc_id long, text string, n_removed long")
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return find_repeats(docs, length, keep).mapInArrow(run, "doc_id long, text string, n_removed long" + kept)

@@ -177,13 +177,29 @@ def _sorted_seeds(text: np.ndarray, seeds: np.ndarray, depth: int) -> np.ndarray
         keys = [key[:-1] if b == len(raw) else key for key, b in zip(keys, ends[one].tolist(), strict=True)]
     place = np.empty(len(keys), np.int64)
     place[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
-    rank, step = place[kind.ravel()], 1
-    while step < depth and rank.max() + 1 < m:  # a name spans two bytes or more
-        key = rank * (m + 1)
-        key[:-step] += rank[step:] + 1
-        rank = np.unique(key, return_inverse=True)[1].ravel()
+    rank = place[kind.ravel()]
+    order = np.argsort(rank, kind="stable")
+    first = np.append(True, rank[order][1:] != rank[order][:-1])
+    rank[order] = np.flatnonzero(first)[np.cumsum(first) - 1]  # a group's rank is where it starts
+    step = 1
+    while step < depth:  # a name spans two bytes or more
+        alone = first & np.append(first[1:], True)
+        tied = np.flatnonzero(~alone)
+        if not len(tied):
+            break
+        sub = order[tied]
+        after = np.zeros(len(sub), np.int64)
+        inside = sub + step < m
+        after[inside] = rank[sub[inside] + step] + 1
+        key = rank[sub] * (m + 1) + after
+        by = np.argsort(key, kind="stable")
+        sub, key = sub[by], key[by]
+        order[tied] = sub
+        new = np.append(True, key[1:] != key[:-1])
+        first[tied] = new
+        rank[sub] = tied[np.flatnonzero(new)][np.cumsum(new) - 1]
         step *= 2
-    return seeds[np.argsort(rank, kind="stable")]
+    return seeds[order]
 
 
 def suffix_array(text: np.ndarray, depth: int, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
