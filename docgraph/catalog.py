@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import page_queries  # noqa: F401
+from .plans import list_queries, page_queries  # noqa: F401
 from .plans.tables import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

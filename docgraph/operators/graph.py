@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 from ..functions.paths import basename, segment_prefixes
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the shared folder, which the loss of an executor doesn't touch."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder below the one that the cluster names in spark.checkpoint.dir; only where that is unset, a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="docgraph-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """Cut lineage by a table in the shared folder, which the loss of an executor doesn't touch."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
