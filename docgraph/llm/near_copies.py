@@ -423,6 +423,34 @@ def _verified(docs: DataFrame, dest: DataFrame, words: int, percent: int) -> Dat
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _least_shared(percent: int):
+    """What a set of size n shares at least with a similar one, as that is as small as can be."""
+    least_size = F.ceil(F.col("n") * percent / 100)
+    return F.least(F.ceil(least_size * percent / 100), 2 + F.floor(least_size / 20))
+
+
+def _enough(runs: DataFrame, percent: int) -> DataFrame:
+    """Postings of groups that have as many as two similar sets must share."""
+    good = runs.groupBy("grp").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter(F.col("c") >= _least_shared(percent)).select("grp")
+    return runs.join(good, "grp")
+
+
+def _apart(runs: DataFrame, percent: int) -> DataFrame:
+    """Postings whose n-gram two families have, of groups that keep enough of them."""
+    for _ in range(2):
+        apart = runs.groupBy("token").agg(F.min("family").alias("l"), F.max("family").alias("h")).filter("l <> h").select("token")
+        runs = _enough(runs.join(apart, "token"), percent)
+    return runs
+
+
+def _toward(runs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of families: of a group's to the one that most have where it shares enough n-grams."""
+    count = runs.groupBy("token", "family").agg(F.count("*").alias("c"))
+    most = count.groupBy("token").agg(F.max(F.struct("c", (-F.col("family")).alias("f"))).alias("m")).select("token", (-F.col("m.f")).alias("most"))
+    shared = runs.join(most, "token").filter("family <> most").groupBy("grp", "family", "most").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    return shared.filter(F.col("c") >= _least_shared(percent)).select(F.col("family").alias("a"), F.col("most").alias("b"))
+
+
 def near_copy_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
 
@@ -456,12 +484,16 @@ def near_copy_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     named = named.join(families.withColumnRenamed("component", "family"), F.col("rep") == F.col("node"), "left").drop("node")
     named = materialize(named.select("rep", "grp", "n", F.coalesce("label", "rep").alias("label"), F.coalesce("family", "rep").alias("family")), "named")
 
+    span = named.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("family").alias("family"))
+    runs = materialize(_apart(_enough(postings.filter("not hub").select("token", "grp", "n", "pos"), percent).join(span, "grp"), percent), "runs")
+    joined = materialize(connected_components(_toward(runs, percent)), "joined").withColumnRenamed("node", "family")
+    whole = F.coalesce("component", "family").alias("family")
+    named = materialize(named.join(joined, "family", "left").select("rep", "grp", "n", "label", whole), "named2")
+    runs = materialize(_apart(runs.join(joined, "family", "left").select("token", "grp", "n", "pos", "low", "high", whole), percent), "runs2")
+
     split = named.groupBy("family").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("family")
     blocks = _block_places(named.select("rep", "n", "family").join(split, "family"), percent)
-    span = named.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("family").alias("family"))
-    runs = postings.filter("not hub").select("token", "grp", "n", "pos").join(span, "grp")
-    apart = runs.groupBy("token").agg(F.min("family").alias("l"), F.max("family").alias("h")).filter("l <> h").select("token")
-    rest = runs.join(apart, "token").repartition("token").sortWithinPartitions("token", "n", "grp").select("token", "grp", "n", "pos", "low", "high", "family").mapInArrow(_rest(percent), "g long, h long, least long, shared long")
+    rest = runs.repartition("token").sortWithinPartitions("token", "n", "grp").select("token", "grp", "n", "pos", "low", "high", "family").mapInArrow(_rest(percent), "g long, h long, least long, shared long")
     rest = rest.groupBy("g", "h", "least").agg(F.sum("shared").alias("shared")).filter("shared >= least").select("g", "h")
     x, y = (named.select(F.col("grp").alias(g), F.col("rep").alias(r), F.col("label").alias(c)) for g, r, c in (("g", "b", "lb"), ("h", "a", "la")))
     more = materialize(rest.join(x, "g").join(y, "h").filter("la <> lb").select("a", "b").distinct(), "second")
