@@ -29,7 +29,7 @@ def _with_counts(docs: DataFrame, *keep: str) -> DataFrame:
 
     lines = F.split(t, "\n")
     return docs.select(
-        *keep,
+        F.struct(*keep).alias("_kept"),
         F.length(t).cast("double").alias("n_chars"),
         count(WORD).alias("n_words"),
         count(r"[#*$%&|<>]").alias("n_symbols"),
@@ -45,14 +45,17 @@ def _with_counts(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def with_statistics(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns ``keep`` and FEATURES of every row (text); a null text counts as empty, shares of nothing are 0."""
+    """``_kept`` (a struct of the columns ``keep``, whose names may be any) and FEATURES of every row (text).
+
+    A null text counts as empty, shares of nothing are 0.
+    """
     c = F.col
     words, chars = F.greatest(c("n_words"), F.lit(1.0)), F.greatest(c("n_chars"), F.lit(1.0))
     values = (
         F.log1p(c("n_words")), c("n_chars") / words, c("n_symbols") / words, c("n_upper") / chars, c("n_caps") / words, c("n_digits") / chars,
         c("n_bangs") / words, c("n_stops") / words, c("n_words") / c("n_lines"), 1 - c("n_own_lines") / c("n_lines"), 1 - c("n_own_words") / F.greatest(words, c("n_own_words")),
     )
-    return _with_counts(docs, *keep).select(*keep, *(v.alias(f) for v, f in zip(values, FEATURES, strict=True)))
+    return _with_counts(docs, *keep).select("_kept", *(v.alias(f) for v, f in zip(values, FEATURES, strict=True)))
 
 
 Condition = tuple[int, bool, float]  #: feature, whether at most, threshold
@@ -161,7 +164,7 @@ def train_classifier(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMP
     Rows with a null doc_id or quality teach nothing; a doc_id with several labels counts by its largest.
     """
     chosen = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "doc_id", "quality").orderBy("doc_id", *FEATURES).collect()  # sample_rows at most
+    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "doc_id", "quality").select("_kept.*", *FEATURES).orderBy("doc_id", *FEATURES).collect()  # sample_rows at most
     return fit_rules(np.array([[r[f] for f in FEATURES] for r in rows], float).reshape(-1, len(FEATURES)), np.array([float(r.quality >= 1) for r in rows]))
 
 
@@ -172,4 +175,5 @@ def score_quality(docs: DataFrame, model: RuleModel, keep: tuple[str, ...] = ())
     empty table gives no rows; without any training row every score is 0.5.  Other columns are ignored.
     """
     stats = with_statistics(docs, "doc_id", *keep).withColumn("score", model.column())
-    return stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *keep)
+    doc_id = F.col("_kept.doc_id")
+    return stats.select(doc_id, held_out(doc_id).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *(F.col(f"_kept.`{c}`") for c in keep))
