@@ -106,9 +106,9 @@ def _bytes(text) -> bytes:
 
 
 _HASHES = pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), ("docs", pa.binary()), ("keys", pa.binary()), ("doc", pa.binary()), ("place", pa.binary()), ("spans", pa.binary()), ("hash", pa.binary())])
-_FOUND = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("places", pa.binary())])
+_PARTS = pa.schema([("part", pa.int64()), ("docs", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("items", pa.binary())])
 _STRETCHES = pa.schema([("shard", pa.int64()), ("known", pa.bool_()), ("docs", pa.binary()), ("keys", pa.binary()), ("at", pa.binary()), ("windows", pa.binary()), ("which", pa.binary()), ("texts", pa.binary()), ("sizes", pa.binary())])
-_MARKS = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("marks", pa.binary())])
+_ITEMS = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("items", pa.binary())])
 _FLAG = np.dtype([("place", "<u4"), ("spans", "<u2")])
 _MARK = np.dtype([("at", "<u4"), ("windows", "<u8")])
 
@@ -169,16 +169,40 @@ def _hash_rows(ids, keys, doc, place, spans, h, buckets, serial):
             )
 
 
-def _flags_by_doc(ids, keys, flags) -> Iterator[pa.RecordBatch]:
-    if len(ids):
-        order = np.lexsort((keys, ids))
-        ids, keys, flags = ids[order], keys[order], flags[order]
-        first = np.append(True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]))
-        cuts = np.append(np.flatnonzero(first), len(ids))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(keys[first]), pa.array([flags[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], schema=_FOUND)
+def _by_document(ids, keys, items):
+    """(documents, their keys, bounds, items): items of a document together."""
+    order = np.lexsort((keys, ids))
+    ids, keys, items = ids[order], keys[order], items[order]
+    first = np.append(True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]))[: len(ids)]
+    return ids[first], keys[first], np.append(np.flatnonzero(first), len(ids)), items
+
+
+def _packed(ids, keys, items, parts: int) -> pa.Table:
+    """Items on their way back to their documents, one row for each part of the documents."""
+    part = ((ids.astype(np.uint64) * _ODD) >> np.uint64(33)).astype(np.int64) % parts
+    rows = []
+    for p in np.unique(part).tolist():
+        r = part == p
+        d, k, cuts, x = _by_document(ids[r], keys[r], items[r])
+        rows.append({"part": p, "docs": d.tobytes(), "keys": k.tobytes(), "counts": np.diff(cuts).astype("<u4").tobytes(), "items": x.tobytes()})
+    return pa.Table.from_pylist(rows, schema=_PARTS)
 
 
-def _repeated(table: pa.Table) -> pa.Table:
+def _unpacked(kind: np.dtype):
+    def run(table: pa.Table) -> pa.Table:
+        ids, keys, items = [], [], []
+        for row in table.to_pylist():
+            n = np.frombuffer(row["counts"], "<u4")
+            ids.append(np.repeat(np.frombuffer(row["docs"], np.int64), n))
+            keys.append(np.repeat(np.frombuffer(row["keys"], np.int64), n))
+            items.append(np.frombuffer(row["items"], kind))
+        d, k, cuts, x = _by_document(*(np.concatenate(c) for c in (ids, keys, items)))
+        return pa.Table.from_arrays([pa.array(d), pa.array(k), pa.array([x[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], schema=_ITEMS)
+
+    return run
+
+
+def _repeated(table: pa.Table, parts: int) -> pa.Table:
     """The anchors of a bucket whose hash stands in two documents, and those known before."""
     ids, keys, flags, hashes, sure = [], [], [], [], []
     for r in table.to_batches():
@@ -200,13 +224,13 @@ def _repeated(table: pa.Table) -> pa.Table:
     several = np.minimum.reduceat(ids[order], starts) != np.maximum.reduceat(ids[order], starts)
     hit = sure.copy()
     hit[order] |= several[np.cumsum(first) - 1]
-    return pa.Table.from_batches(list(_flags_by_doc(ids[hit], keys[hit], flags[hit])), schema=_FOUND)
+    return _packed(ids[hit], keys[hit], flags[hit], parts)
 
 
-def stretches(raw: bytes, flags: list[bytes], length: int) -> Iterator[tuple[int, int, int]]:
+def stretches(raw: bytes, flags: bytes, length: int) -> Iterator[tuple[int, int, int]]:
     """(hash, first window, last window) around each flagged anchor."""
     k = gram(length)
-    found = np.unique(np.frombuffer(b"".join(flags), _FLAG))
+    found = np.unique(np.frombuffer(flags, _FLAG))
     place, spans = found["place"].astype(np.int64), found["spans"].astype(np.int64)
     for p, a, z in zip(place.tolist(), (place - (spans >> 6)).tolist(), (place - (spans & 63)).tolist(), strict=True):
         if z + length <= len(raw) and a >= 0:  # else of another row with this key
@@ -222,7 +246,7 @@ def _emit_stretches(length: int, shards: int):
             seen: dict[tuple[int, bytes], tuple] = {}
             extra: dict[tuple[int, bytes], list] = {}
             known: list[tuple[int, int, int, int]] = []
-            for doc, key, text, places in zip(b["doc_id"].to_pylist(), b["tkey"].to_pylist(), b["text"], b["places"].to_pylist(), strict=True):
+            for doc, key, text, places in zip(b["doc_id"].to_pylist(), b["tkey"].to_pylist(), b["text"], b["items"].to_pylist(), strict=True):
                 if not places:
                     continue
                 raw = _bytes(text.as_py())
@@ -264,7 +288,7 @@ def _stretch_rows(seen, extra, shards):
         )
 
 
-def _sort_shard(length: int):
+def _sort_shard(length: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
         docs, keys, at, which, windows, number = [], [], [], [], [], {}
         sure: list[tuple] = []
@@ -287,7 +311,10 @@ def _sort_shard(length: int):
             windows = _marks(list(number), docs, which, length)
             hit = windows > 0
             sure.append((docs[hit], keys[hit], at[hit], windows[hit]))
-        return _by_doc(*(np.concatenate([s[j] for s in sure]) for j in range(4)))
+        ids, keys, at, windows = (np.concatenate([s[j] for s in sure]) for j in range(4))
+        marks = np.empty(len(ids), _MARK)
+        marks["at"], marks["windows"] = at, windows
+        return _packed(ids, keys, marks, parts)
 
     return run
 
@@ -338,20 +365,10 @@ def _marks(texts: list[bytes], docs: np.ndarray, which: np.ndarray, length: int)
     return bits
 
 
-def _by_doc(ids, keys, at, windows) -> pa.Table:
-    order = np.lexsort((keys, ids))
-    ids, keys = ids[order], keys[order]
-    marks = np.empty(len(ids), _MARK)
-    marks["at"], marks["windows"] = at[order], windows[order]
-    first = np.append(True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]))[: len(ids)]
-    cuts = np.append(np.flatnonzero(first), len(ids))
-    return pa.Table.from_arrays([pa.array(ids[first]), pa.array(keys[first]), pa.array([marks[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], schema=_MARKS)
-
-
-def covered(n: int, marks: list[bytes], length: int) -> np.ndarray:
+def covered(n: int, marks: bytes | None, length: int) -> np.ndarray:
     """Which of n bytes a marked window covers."""
     edge = np.zeros(n + 1, np.int64)
-    found = np.frombuffer(b"".join(marks or []), _MARK)
+    found = np.frombuffer(marks or b"", _MARK)
     if not len(found):
         return np.zeros(n, bool)
     row, w = np.nonzero((found["windows"][:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1))
@@ -360,6 +377,12 @@ def covered(n: int, marks: list[bytes], length: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _returned(rows: DataFrame, key: str, groups: int, work, parts: int, kind: np.dtype) -> DataFrame:
+    """What ``work`` finds in each group of rows, as doc_id, tkey and items."""
+    found = rows.repartition(groups, key).groupBy(key).applyInArrow(work, _spark(_PARTS))
+    return found.repartition(parts, "part").groupBy("part").applyInArrow(_unpacked(kind), _spark(_ITEMS))
+
+
 def find_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, the columns ``keep`` as kept0, kept1 and so on, marks (windows to remove) and first_id of every row.
 
@@ -375,11 +398,10 @@ def find_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ())
     buckets, shards = max(4, total // BUCKET_BYTES), max(4, total // SHARD_BYTES)
     firsts = info.filter(F.col("n") >= length).groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     copies = info.join(firsts.filter("copies > 1"), "sha").filter("doc_id > first_id").groupBy("doc_id", "tkey").agg(F.min("first_id").alias("first_id"))
-    found = docs.select("doc_id", "tkey", "text").mapInArrow(_emit_hashes(length, buckets), _spark(_HASHES)).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_repeated, _spark(_FOUND))
-    places = found.groupBy("doc_id", "tkey").agg(F.collect_list("places").alias("places")).join(copies, ["doc_id", "tkey"], "left_anti")
+    hashes = docs.select("doc_id", "tkey", "text").mapInArrow(_emit_hashes(length, buckets), _spark(_HASHES))
+    places = _returned(hashes, "bucket", buckets, lambda t: _repeated(t, shards), shards, _FLAG).join(copies, ["doc_id", "tkey"], "left_anti")
     cut = docs.join(places, ["doc_id", "tkey"], "left").mapInArrow(_emit_stretches(length, shards), _spark(_STRETCHES))
-    marks = cut.repartition(shards, "shard").groupBy("shard").applyInArrow(_sort_shard(length), _spark(_MARKS))
-    marks = marks.groupBy("doc_id", "tkey").agg(F.collect_list("marks").alias("marks"))
+    marks = _returned(cut, "shard", shards, _sort_shard(length, shards), shards, _MARK).withColumnRenamed("items", "marks")
     known = marks.join(copies, ["doc_id", "tkey"], "full")
     return docs.join(known, ["doc_id", "tkey"], "left").select("doc_id", "text", *names, "marks", "first_id")
 
