@@ -12,6 +12,7 @@ from .dropout_bpe import encode_documents
 from .langid import identify_language, train_profiles
 from .near_copies import near_copy_classes
 from .neighbours import nearest_neighbours
+from .oracles import ORACLES
 from .packing import pack_documents
 from .passages import passage_digests
 from .rules import score_quality, train_classifier
@@ -67,4 +68,5 @@ def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_minimax_shards, op4_merge_dropout, op5_chat_format, op6_line_labels, op7_ivf_pq, op8_jaccard_join, op9_rule_ensemble, op10_bm25_packing)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
