@@ -16,9 +16,10 @@ _RELATIVE = r"^[a-z]+:/*"
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*.md", ignore: tuple[str, ...] = ()) -> DataFrame:
     """path (below the folder), value (trimmed), modified of every file; ``ignore`` holds patterns of paths to leave out."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(folder)
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
     base = F.lit(folder.removeprefix("file://").rstrip("/") + "/")
-    path = F.replace(F.concat(F.lit("/"), F.regexp_replace(F.col("_metadata.file_path"), _RELATIVE, "")), base, F.lit(""))
+    uri = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = F.replace(F.concat(F.lit("/"), F.regexp_replace(uri, _RELATIVE, "")), base, F.lit(""))
     rows = files.select(path.alias("path"), F.trim("value").alias("value"), F.col("_metadata.file_modification_time").alias("modified"))
     for p in ignore:
         rows = rows.filter(~F.col("path").rlike(p))
@@ -199,7 +200,7 @@ def first_lines(text: Column, n: int = 100) -> Column:
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """A content index (one JSON object by slug) as rows."""
     kind = "map<string,struct<title:string,links:array<string>,tags:array<string>,content:string>>"
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", kind)).alias("slug", "page")).select("slug", "page.*")
 
 
