@@ -172,3 +172,13 @@ def output_candidates(path: Column) -> Column:
     bare = strip_slashes(F.regexp_replace(path, r"[?#].*$", ""))
     index, page = join_segments(bare, F.lit("index.html")), F.concat(bare, F.lit(".html"))
     return F.when(has_extension(bare), F.array(bare)).when(path.rlike(r"/([?#]|$)"), F.array(index, page)).otherwise(F.array(page, index))
+
+
+def rebase(url: Column, here: Column, there: Column) -> Column:
+    """A relative URL of the page ``there`` as the page ``here`` has to write it; other URLs stay."""
+    return F.when(url.rlike(r"^\.{1,2}/"), join_segments(resolve_relative(here, there), F.lit(".."), url)).otherwise(url)
+
+
+def canonical(html: Column) -> Column:
+    """The address that a redirecting page names, or null."""
+    return F.nullif(F.regexp_extract(html, r'<link rel="canonical" href="([^"]*)"', 1), F.lit(""))

@@ -280,3 +280,69 @@ def distinct_lines(spark, sf):
 @query(f"WITH {PAGES} SELECT page_id, CASE WHEN strip = '' THEN 'A page' ELSE strip END AS description FROM (SELECT page_id, substr(title, 1, 20) AS strip FROM pg)")
 def head_metadata(spark, sf):
     return pages(spark, sf, "page_id").select("page_id", F.coalesce(text.truthy(F.substring("title", 1, 20)), F.lit("A page")).alias("description"))
+
+
+@query("SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS host FROM pages")
+def cname_host(spark, sf):
+    """Hosts of base addresses, which are written without a scheme."""
+    base = F.regexp_replace("url", "^[a-z]+://", "")
+    return read(spark, sf, "pages").select(sinks.host(base).alias("host")).distinct()
+
+
+@query("SELECT o_custkey, array_to_string(list(o_orderpriority ORDER BY o_orderkey)[1:3], '|') AS topics FROM orders GROUP BY o_custkey")
+def first_topics(spark, sf):
+    """The first three topics of each record."""
+    all_of = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority")))
+    rows = read(spark, sf, "orders").groupBy("o_custkey").agg(all_of.alias("t"))
+    return rows.select("o_custkey", F.array_join(F.transform(F.slice("t", 1, 3), lambda x: x["o_orderpriority"]), "|").alias("topics"))
+
+
+@query("SELECT c_custkey, c_name, p AS priority FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS p FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
+def case_info_join(spark, sf):
+    """Records with their info, of which the last of a key wins."""
+    info = read(spark, sf, "orders").groupBy("o_custkey").agg(F.max_by("o_orderpriority", "o_orderkey").alias("priority"))
+    return read(spark, sf, "customer").join(info, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "c_name", "priority")
+
+
+@query(f"WITH {PAGES} SELECT page_id, coalesce(CASE WHEN page_id % 3 = 0 THEN 'target/' || page_id // 3 END, slug) AS final FROM pg")
+def canonical_redirect(spark, sf):
+    """Redirecting pages (every third is made one) lead one hop on, others to themselves."""
+    from ..functions.paths import canonical
+
+    html = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<link rel="canonical" href="target/'), (F.col("page_id") / 3).cast("long").cast("string"), F.lit('">'))).otherwise(F.col("html"))
+    return pages(spark, sf, "page_id", "html").select("page_id", F.coalesce(canonical(html), "slug").alias("final"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderdate END DESC NULLS LAST, lpad(o_orderkey::VARCHAR, 12, '0')) AS place, o_orderpriority FROM orders")
+def explorer_by_date(spark, sf):
+    """Folders of cases list by date, newest first; other folders by natural order of names."""
+    name = F.col("o_orderkey").cast("string")
+    order = [F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderdate")).desc_nulls_last(), text.natural_key(name)]
+    return relations.first_in_group(read(spark, sf, "orders"), "o_orderpriority", order, 10**9).select("o_orderkey", "place", "o_orderpriority")
+
+
+@query(f"WITH {LINKS} SELECT src, dst, CASE WHEN length(dst) % 2 = 0 THEN repeat('../', len(string_split(src, '/')) - 1) || 'x/../img/' || dst ELSE dst END AS url FROM lk WHERE NOT contains(dst, '/') AND NOT contains(dst, '.') AND NOT regexp_matches(src, '(^|/)index$') AND contains(src, '/')")
+def rebased_urls(spark, sf):
+    """URLs relative to a page at the root, rewritten for the pages that quote it."""
+    from ..functions.paths import rebase
+
+    rows = links(spark, sf).filter(~F.contains("dst", F.lit("/")) & ~F.contains("dst", F.lit(".")) & F.contains("src", F.lit("/")) & ~F.col("src").rlike("(^|/)index$"))
+    url = F.when(F.length("dst") % 2 == 0, F.concat(F.lit("./img/"), "dst")).otherwise(F.col("dst"))
+    made = rebase(url, F.col("src"), F.lit("x"))
+    return rows.select("src", "dst", F.regexp_replace(made, r"/\./", "/").alias("url"))
+
+
+@query("SELECT c_custkey AS id, 'C-' || c_custkey || '.html' AS destination FROM customer WHERE c_custkey % 2 = 0")
+def rename_manifest(spark, sf):
+    """Files to copy under the case number that their text names; those that name none are left out."""
+    k = F.col("c_custkey").cast("string")
+    body = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("x In Case C‑"), k, F.lit("/22, y"))).otherwise("nothing")
+    number = F.regexp_replace(text.case_from_text(body), "/22$", "")
+    return read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), number.alias("n")).filter("n <> ''").select("id", F.concat("n", F.lit(".html")).alias("destination"))
+
+
+@query("SELECT doc_id, slug, 'src1' AS topic FROM (SELECT doc_id, source || '-' || doc_id AS slug FROM documents) WHERE contains(slug, 'src1')")
+def topic_by_slug(spark, sf):
+    """Pages whose slug holds a topic's word: a short literal list, so a test each instead of a join."""
+    slug = F.concat_ws("-", "source", F.col("doc_id").cast("string"))
+    return read(spark, sf, "documents").select("doc_id", slug.alias("slug"), F.lit("src1").alias("topic")).filter(F.contains("slug", F.col("topic")))
