@@ -128,10 +128,13 @@ def frequency_classes(docs: DataFrame, words: int) -> np.ndarray:
             parts = counts.reshape(SLICES, -1)
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(p.astype(np.int32).tobytes(), 1) for p in parts], pa.binary())], names=["slice", "counts"])
 
-    rows = docs.select("text").mapInArrow(run, "slice int, counts binary").groupBy("slice").applyInArrow(_sum_slices, "slice int, counts binary").collect()
-    counts = np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(rows)]) if rows else np.zeros(COUNTERS, np.int64)
-    usual = counts.mean() + 4 * counts.mean() ** 0.5 + 8
-    return np.where(counts > usual, 1 + 2 * np.log2(np.maximum(counts / usual, 1)), 0).astype(np.uint8)
+    rows = docs.select("text").mapInArrow(run, "slice int, counts binary").groupBy("slice").applyInArrow(_sum_slices, "slice int, counts binary")
+    slices = {r.slice: np.frombuffer(r.counts, np.int64) for r in rows.toLocalIterator()}
+    mean = sum(int(x.sum()) for x in slices.values()) / COUNTERS
+    usual, out = mean + 4 * mean**0.5 + 8, np.zeros((SLICES, COUNTERS // SLICES), np.uint8)
+    for i, x in slices.items():
+        out[i] = np.where(x > usual, 1 + 2 * np.log2(np.maximum(x / usual, 1)), 0)
+    return out.ravel()
 
 
 def _signatures(docs: DataFrame, words: int, percent: int, classes) -> DataFrame:
