@@ -30,7 +30,8 @@ def _with_counts(docs: DataFrame, *keep: str) -> DataFrame:
     lines = F.split(t, "\n")
     return docs.select(
         F.struct(*keep).alias("_kept"),
-        F.length(t).cast("double").alias("n_chars"),
+        # The counter keeps filters on the score above this projection; below it, each rule would count anew.
+        F.when(F.monotonically_increasing_id() >= 0, F.length(t).cast("double")).alias("n_chars"),
         count(WORD).alias("n_words"),
         count(r"[#*$%&|<>]").alias("n_symbols"),
         count(r"\p{Lu}").alias("n_upper"),
