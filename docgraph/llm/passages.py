@@ -101,6 +101,19 @@ def anchors(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarra
     return place[keep], h[keep], spans[keep]
 
 
+def _squeezed(a: np.ndarray, kind: str, steps: bool = False) -> bytes:
+    """An array on its way: as ``kind``, of steps if asked, byte planes apart, compressed."""
+    a = (np.diff(a, prepend=a.dtype.type(0)) if steps else a).astype(kind)
+    return zlib.compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), 1)
+
+
+def _restored(raw: bytes, kind: str, steps: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8)
+    size = np.dtype(kind).itemsize
+    a = np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
+    return np.cumsum(a, dtype=a.dtype) if steps else a
+
+
 def _bytes(text) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
@@ -164,7 +177,7 @@ def _hash_rows(ids, keys, doc, place, spans, h, buckets, serial):
             r = rows[s:e]
             present, local = np.unique(doc[r], return_inverse=True)
             yield pa.RecordBatch.from_pylist(
-                [{"bucket": int(key[s]), "known": told, "docs": ids[present].tobytes(), "keys": keys[present].tobytes(), "doc": local.astype("<u2").tobytes(), "place": place[r].astype("<u4" if long[s] else "<u2").tobytes(), "spans": spans[r].astype("<u2").tobytes(), "hash": b"" if told else rest[r].astype("<u4").tobytes()}],
+                [{"bucket": int(key[s]), "known": told, "docs": _squeezed(ids[present], "<i8", True), "keys": _squeezed(keys[present], "<u4"), "doc": local.astype("<u2").tobytes(), "place": place[r].astype("<u4" if long[s] else "<u2").tobytes(), "spans": _squeezed(spans[r], "<u2"), "hash": b"" if told else rest[r].astype("<u4").tobytes()}],
                 schema=_HASHES,
             )
 
@@ -184,7 +197,7 @@ def _packed(ids, keys, items, parts: int) -> pa.Table:
     for p in np.unique(part).tolist():
         r = part == p
         d, k, cuts, x = _by_document(ids[r], keys[r], items[r])
-        rows.append({"part": p, "docs": d.tobytes(), "keys": k.tobytes(), "counts": np.diff(cuts).astype("<u4").tobytes(), "items": x.tobytes()})
+        rows.append({"part": p, "docs": _squeezed(d, "<i8", True), "keys": _squeezed(k, "<u4"), "counts": _squeezed(np.diff(cuts), "<u4"), "items": x.tobytes()})
     return pa.Table.from_pylist(rows, schema=_PARTS)
 
 
@@ -192,9 +205,9 @@ def _unpacked(kind: np.dtype):
     def run(table: pa.Table) -> pa.Table:
         ids, keys, items = [], [], []
         for row in table.to_pylist():
-            n = np.frombuffer(row["counts"], "<u4")
-            ids.append(np.repeat(np.frombuffer(row["docs"], np.int64), n))
-            keys.append(np.repeat(np.frombuffer(row["keys"], np.int64), n))
+            n = _restored(row["counts"], "<u4")
+            ids.append(np.repeat(_restored(row["docs"], "<i8", True), n))
+            keys.append(np.repeat(_restored(row["keys"], "<u4").astype(np.int64), n))
             items.append(np.frombuffer(row["items"], kind))
         d, k, cuts, x = _by_document(*(np.concatenate(c) for c in (ids, keys, items)))
         return pa.Table.from_arrays([pa.array(d), pa.array(k), pa.array([x[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], schema=_ITEMS)
@@ -209,11 +222,11 @@ def _repeated(table: pa.Table, parts: int) -> pa.Table:
         for i in range(r.num_rows):
             row = {c: r[c][i].as_py() for c in ("known", "docs", "keys", "doc", "place", "spans", "hash")}
             doc = np.frombuffer(row["doc"], "<u2")
-            ids.append(np.frombuffer(row["docs"], np.int64)[doc])
-            keys.append(np.frombuffer(row["keys"], np.int64)[doc])
+            ids.append(_restored(row["docs"], "<i8", True)[doc])
+            keys.append(_restored(row["keys"], "<u4")[doc])
             flag = np.empty(len(doc), _FLAG)
             flag["place"] = np.frombuffer(row["place"], "<u4" if len(row["place"]) > len(row["doc"]) else "<u2")
-            flag["spans"] = np.frombuffer(row["spans"], "<u2")
+            flag["spans"] = _restored(row["spans"], "<u2")
             flags.append(flag)
             hashes.append(np.zeros(len(doc), np.uint32) if row["known"] else np.frombuffer(row["hash"], "<u4"))
             sure.append(np.full(len(doc), row["known"]))
@@ -267,7 +280,7 @@ def _emit_stretches(length: int, shards: int):
             for s in range(0, len(known), 50_000):
                 part = known[s : s + 50_000]
                 yield pa.RecordBatch.from_pylist(
-                    [{"shard": -1 - serial % shards, "known": True, "docs": np.array([o[0] for o in part], np.int64).tobytes(), "keys": np.array([o[1] for o in part], np.int64).tobytes(), "at": np.array([o[2] for o in part], "<u4").tobytes(), "windows": np.array([everything >> (64 - o[3]) for o in part], "<u8").tobytes(), "which": b"", "texts": b"", "sizes": b""}],
+                    [{"shard": -1 - serial % shards, "known": True, **_owners(part), "windows": np.array([everything >> (64 - o[3]) for o in part], "<u8").tobytes(), "which": b"", "texts": b"", "sizes": b""}],
                     schema=_STRETCHES,
                 )
                 serial += 1
@@ -275,6 +288,10 @@ def _emit_stretches(length: int, shards: int):
     return run
 
 
+def _owners(owners: list[tuple]) -> dict[str, bytes]:
+    return {"docs": _squeezed(np.array([o[0] for o in owners], np.int64), "<i8", True), "keys": _squeezed(np.array([o[1] for o in owners], np.int64), "<u4"), "at": _squeezed(np.array([o[2] for o in owners], np.int64), "<u4")}
+
+
 def _stretch_rows(seen, extra, shards):
     by: dict[int, list] = {}
     for k, own in [*seen.items(), *((k, o) for k, more in extra.items() for o in more)]:
@@ -283,7 +300,7 @@ def _stretch_rows(seen, extra, shards):
         number: dict[tuple[int, bytes], int] = {}
         which = [number.setdefault(k, len(number)) for k, _ in found]
         yield pa.RecordBatch.from_pylist(
-            [{"shard": shard, "known": False, "docs": np.array([o[0] for _, o in found], np.int64).tobytes(), "keys": np.array([o[1] for _, o in found], np.int64).tobytes(), "at": np.array([o[2] for _, o in found], "<u4").tobytes(), "windows": b"", "which": np.array(which, "<u4").tobytes(), "texts": zlib.compress(b"".join(t for _, t in number), 1), "sizes": np.array([len(t) for _, t in number], "<u4").tobytes()}],
+            [{"shard": shard, "known": False, **_owners([o for _, o in found]), "windows": b"", "which": _squeezed(np.array(which, np.int64), "<i4", True), "texts": zlib.compress(b"".join(t for _, t in number), 1), "sizes": _squeezed(np.array([len(t) for _, t in number]), "<u2")}],
             schema=_STRETCHES,
         )
 
@@ -295,17 +312,17 @@ def _sort_shard(length: int, parts: int):
         for b in table.to_batches():
             for i in range(b.num_rows):
                 row = {c: b[c][i].as_py() for c in b.schema.names}
-                d, k, a = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["keys"], np.int64), np.frombuffer(row["at"], "<u4")
+                d, k, a = _restored(row["docs"], "<i8", True), _restored(row["keys"], "<u4").astype(np.int64), _restored(row["at"], "<u4")
                 if row["known"]:
                     sure.append((d, k, a, np.frombuffer(row["windows"], "<u8")))
                     continue
-                cuts = np.append(0, np.cumsum(np.frombuffer(row["sizes"], "<u4").astype(np.int64))).tolist()
+                cuts = np.append(0, np.cumsum(_restored(row["sizes"], "<u2").astype(np.int64))).tolist()
                 text = zlib.decompress(row["texts"])
                 names = np.array([number.setdefault(text[s:e], len(number)) for s, e in zip(cuts[:-1], cuts[1:], strict=True)], np.int64)
                 docs.append(d)
                 keys.append(k)
                 at.append(a)
-                which.append(names[np.frombuffer(row["which"], "<u4")])
+                which.append(names[_restored(row["which"], "<i4", True)])
         if docs:
             docs, keys, at, which = (np.concatenate(x) for x in (docs, keys, at, which))
             windows = _marks(list(number), docs, which, length)
@@ -390,7 +407,7 @@ def find_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ())
     joins take the same columns, so that the texts are shuffled once.
     """
     more = [F.col(c).alias(f"kept{i}") for i, c in enumerate(keep)]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tkey"), *more)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").bitwiseAND(0xFFFFFFFF).alias("tkey"), *more)
     names = [f"kept{i}" for i in range(len(keep))]
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     info = materialize(docs.select("doc_id", "tkey", F.sha2(text, 256).alias("sha"), F.octet_length(text).alias("n")), "texts")
