@@ -190,7 +190,7 @@ _SHARED = "hub boolean, token long, grp long, n long, pos long"
 
 
 def _shared(percent: int):
-    """Of a bucket, the postings whose n-gram two groups have, and (as hub rows: grp, token = other group, n = shared, pos = least to share) whom each meets first and nearest."""
+    """Of a bucket, the postings whose n-gram two groups have that fit, and (as hub rows: grp, token = other group, n = shared, pos = least to share) whom each meets first and nearest."""
 
     def run(table: pa.Table) -> pa.Table:
         token, grp, n, pos = (np.concatenate([np.frombuffer(x, k) for x in table[c].to_pylist()]).astype(np.int64) for c, k in (("token", "<i8"), ("grp", "<i8"), ("n", "<u4"), ("pos", "<u4")))
@@ -201,6 +201,12 @@ def _shared(percent: int):
         token, grp, n, pos = token[keep], grp[keep], n[keep], pos[keep]
         order = np.lexsort((grp, n, token))
         token, grp, n, pos = token[order], grp[order], n[order], pos[order]
+        # the nearest sizes stand beside; where they don't fit, none does, and two alone have to fit wholly
+        beside = (token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:])
+        alone = beside & ~np.append(False, token[2:] == token[:-2]) & ~np.append(token[2:] == token[:-2], False)
+        beside &= ~alone | _fits(n[:-1], pos[:-1], n[1:], pos[1:], percent)
+        keep = np.append(beside, False) | np.append(False, beside)
+        token, grp, n, pos = token[keep], grp[keep], n[keep], pos[keep]
         links = []
         if len(token):
             first = np.append(True, token[1:] != token[:-1])
@@ -292,7 +298,7 @@ def _bloom(ids: DataFrame, count: int):
     out = np.zeros((SLICES, bits // 8 // SLICES), np.uint8)
     for r in ids.select("id").mapInArrow(run, "slice int, counts binary").groupBy("slice").applyInArrow(merged, "slice int, counts binary").collect():
         out[r.slice] = np.frombuffer(r.counts, np.uint8)
-    return np.packbits(np.unpackbits(out.ravel())), bits
+    return out.ravel(), bits
 
 
 def _bloom_places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -438,9 +444,9 @@ def _enough(runs: DataFrame, percent: int) -> DataFrame:
     return runs.join(good, "grp")
 
 
-def _apart(runs: DataFrame, percent: int) -> DataFrame:
+def _apart(runs: DataFrame, percent: int, rounds: int = 1) -> DataFrame:
     """Postings whose n-gram two families have, of groups that keep enough of them."""
-    for _ in range(2):
+    for _ in range(rounds):
         apart = runs.groupBy("token").agg(F.min("family").alias("l"), F.max("family").alias("h")).filter("l <> h").select("token")
         runs = _enough(runs.join(apart, "token"), percent)
     return runs
@@ -481,15 +487,16 @@ def near_copy_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     best = met.groupBy("grp").agg(F.max(F.struct("shared", (-F.col("token")).alias("low"))).alias("x")).select(F.col("grp").alias("a"), (-F.col("x.low")).alias("b"))
     links = best.unionByName(sets.filter("rep <> grp").select(F.col("rep").alias("a"), F.col("grp").alias("b")))
     links = materialize(links, "first")
-    families = materialize(connected_components(met.select(F.col("grp").alias("a"), F.col("token").alias("b")).unionByName(links)), "families")
-    labels = materialize(connected_components(_verified(docs, _pair_places(links), words, percent)), "labels")
+    families = materialize(connected_components(met.select(F.col("grp").alias("a"), F.col("token").alias("b")).unionByName(links), 2, partly=True), "families")
+    linked = materialize(_verified(docs, _pair_places(links), words, percent), "linked")
+    labels = materialize(connected_components(linked, 2, partly=True), "labels")
     named = sets.select("rep", "grp", "n").join(labels.withColumnRenamed("component", "label"), F.col("rep") == F.col("node"), "left").drop("node")
     named = named.join(families.withColumnRenamed("component", "family"), F.col("rep") == F.col("node"), "left").drop("node")
     named = materialize(named.select("rep", "grp", "n", F.coalesce("label", "rep").alias("label"), F.coalesce("family", "rep").alias("family")), "named")
 
     span = named.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("family").alias("family"))
     runs = materialize(_apart(_enough(postings.filter("not hub").select("token", "grp", "n", "pos"), percent).join(span, "grp"), percent), "runs")
-    joined = materialize(connected_components(_toward(runs, percent)), "joined").withColumnRenamed("node", "family")
+    joined = materialize(connected_components(_toward(runs, percent), 2, partly=True), "joined").withColumnRenamed("node", "family")
     whole = F.coalesce("component", "family").alias("family")
     named = materialize(named.join(joined, "family", "left").select("rep", "grp", "n", "label", whole), "named2")
     runs = materialize(_apart(runs.join(joined, "family", "left").select("token", "grp", "n", "pos", "low", "high", whole), percent), "runs2")
@@ -501,7 +508,7 @@ def near_copy_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     x, y = (named.select(F.col("grp").alias(g), F.col("rep").alias(r), F.col("label").alias(c)) for g, r, c in (("g", "b", "lb"), ("h", "a", "la")))
     more = materialize(rest.join(x, "g").join(y, "h").filter("la <> lb").select("a", "b").distinct(), "second")
     more = _verified(docs, _pair_places(more).unionByName(blocks), words, percent)
-    component = connected_components(labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    component = connected_components(linked.unionByName(more))
     component = materialize(component, "components")
     whole = sets.join(component, sets.rep == component.node, "left").select("sig", "n", F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(whole.filter("component_id is not null"), ["sig", "n"], "left")
