@@ -124,15 +124,20 @@ def capitalize(spark, sf):
     return read(spark, sf, "documents").select("doc_id", text.capitalize(F.col("text")).alias("capital"))
 
 
-@query("SELECT strftime(o_orderdate, '%B %Y') AS label, year(o_orderdate)::BIGINT AS y, month(o_orderdate)::BIGINT AS m, count(*)::BIGINT AS n, min(strftime(o_orderdate, '%B %-d, %Y')) AS first_day, string_agg(CASE WHEN o_orderkey % 50 = 0 THEN 'case-' || o_orderkey END, ',' ORDER BY o_orderdate DESC, o_orderkey) AS cases FROM orders GROUP BY ALL")
+@query("SELECT strftime(o_orderdate, '%B %Y') AS label, year(o_orderdate)::BIGINT AS y, month(o_orderdate)::BIGINT AS m, count(*)::BIGINT AS n, min(strftime(o_orderdate, '%B %-d, %Y')) AS first_day FROM orders GROUP BY ALL")
 def timeline_by_month(spark, sf):
-    """Groups by month; of each the 'cases' (every fiftieth order) are listed, newest first."""
+    """Groups by month."""
     day = F.col("o_orderdate")
-    case = F.when(F.col("o_orderkey") % 50 == 0, F.struct((-F.unix_seconds(day.cast("timestamp"))).alias("d"), F.col("o_orderkey").alias("k")))
     rows = read(spark, sf, "orders").groupBy(text.month_label(day).alias("label"), F.year(day).cast("long").alias("y"), F.month(day).cast("long").alias("m"))
-    rows = rows.agg(F.count("*").alias("n"), F.min(text.long_date(day)).alias("first_day"), F.array_sort(F.collect_list(case)).alias("c"))
-    joined = F.array_join(F.transform("c", lambda x: F.concat(F.lit("case-"), x["k"].cast("string"))), ",")
-    return rows.select("label", "y", "m", "n", "first_day", F.when(F.size("c") > 0, joined).alias("cases"))
+    return rows.agg(F.count("*").alias("n"), F.min(text.long_date(day)).alias("first_day"))
+
+
+@query("SELECT label, place, o_orderkey, day FROM (SELECT strftime(o_orderdate, '%B %Y') AS label, o_orderkey, strftime(o_orderdate, '%B %-d, %Y') AS day, row_number() OVER (PARTITION BY strftime(o_orderdate, '%B %Y') ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders) WHERE place <= 10")
+def timeline_cases(spark, sf):
+    """Each month's ten newest cases."""
+    day = F.col("o_orderdate")
+    rows = read(spark, sf, "orders").select("o_orderkey", "o_orderdate", text.month_label(day).alias("label"), text.long_date(day).alias("day"))
+    return relations.first_in_group(rows, "label", [day.desc(), F.col("o_orderkey")], 10).select("label", "place", "o_orderkey", "day")
 
 
 @query("SELECT y, m, n, row_number() OVER (ORDER BY y DESC, m DESC) AS place FROM (SELECT year(o_orderdate)::BIGINT AS y, month(o_orderdate)::BIGINT AS m, count(*)::BIGINT AS n FROM orders GROUP BY ALL)")
@@ -292,9 +297,9 @@ def cname_host(spark, sf):
 @query("SELECT o_custkey, array_to_string(list(o_orderpriority ORDER BY o_orderkey)[1:3], '|') AS topics FROM orders GROUP BY o_custkey")
 def first_topics(spark, sf):
     """The first three topics of each record."""
-    all_of = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority")))
-    rows = read(spark, sf, "orders").groupBy("o_custkey").agg(all_of.alias("t"))
-    return rows.select("o_custkey", F.array_join(F.transform(F.slice("t", 1, 3), lambda x: x["o_orderpriority"]), "|").alias("topics"))
+    first = relations.first_in_group(read(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), "o_custkey", [F.col("o_orderkey")], 3)
+    rows = first.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("t"))
+    return rows.select("o_custkey", F.array_join(F.transform("t", lambda x: x["o_orderpriority"]), "|").alias("topics"))
 
 
 @query("SELECT c_custkey, c_name, p AS priority FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS p FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
