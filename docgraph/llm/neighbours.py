@@ -80,7 +80,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, width)
 
 
-def nearest_neighbours(embeddings: DataFrame, every: int = 100, k: int = 10, shortlist: int = 160, probe: float = 0.8, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def nearest_neighbours(embeddings: DataFrame, every: int = 100, k: int = 10, shortlist: int = 160, probe: float = 0.9, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row whose vec_id is divisible by ``every``.
 
     ``embeddings`` has vec_id and embedding.  Score is the Euclidean distance of the original vectors in doubles; ties go
