@@ -27,7 +27,8 @@ from .common import materialize
 from .suffixes import suffix_array
 
 PIECE = 1 << 20  #: bytes of a text that are hashed at once
-BUCKET_BYTES, SHARD_BYTES = 48 << 20, 4 << 20  #: bytes of the corpus for each bucket of hashes and each shard of stretches
+HELD = 100_000  #: stretches that a task holds before it sends them
+BUCKET_BYTES, SHARD_BYTES = 32 << 20, 4 << 20  #: bytes of the corpus for each bucket of hashes and each shard of stretches
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -251,10 +252,20 @@ def stretches(raw: bytes, flags: bytes, length: int) -> Iterator[tuple[int, int,
 
 
 def _emit_stretches(length: int, shards: int):
-    everything = 2**64 - 1
+    everything, serial = 2**64 - 1, 0
+
+    def send(seen, extra, known):
+        nonlocal serial
+        yield from _stretch_rows(seen, extra, shards)
+        for s in range(0, len(known), 50_000):
+            part = known[s : s + 50_000]
+            yield pa.RecordBatch.from_pylist(
+                [{"shard": -1 - serial % shards, "known": True, **_owners(part), "windows": np.array([everything >> (64 - o[3]) for o in part], "<u8").tobytes(), "which": b"", "texts": b"", "sizes": b""}],
+                schema=_STRETCHES,
+            )
+            serial += 1
 
     def run(batches):
-        serial = 0
         for b in batches:
             seen: dict[tuple[int, bytes], tuple] = {}
             extra: dict[tuple[int, bytes], list] = {}
@@ -276,14 +287,10 @@ def _emit_stretches(length: int, shards: int):
                         known.append(was)
                         known += extra.pop(k, [])
                         seen[k] = own
-            yield from _stretch_rows(seen, extra, shards)
-            for s in range(0, len(known), 50_000):
-                part = known[s : s + 50_000]
-                yield pa.RecordBatch.from_pylist(
-                    [{"shard": -1 - serial % shards, "known": True, **_owners(part), "windows": np.array([everything >> (64 - o[3]) for o in part], "<u8").tobytes(), "which": b"", "texts": b"", "sizes": b""}],
-                    schema=_STRETCHES,
-                )
-                serial += 1
+                if len(seen) + len(known) > HELD:
+                    yield from send(seen, extra, known)
+                    seen, extra, known = {}, {}, []
+            yield from send(seen, extra, known)
 
     return run
 
