@@ -27,7 +27,7 @@ from .common import materialize
 from .suffixes import suffix_array
 
 PIECE = 1 << 20  #: bytes of a text that are hashed at once
-HELD = 100_000  #: stretches that a task holds before it sends them
+HELD = 250_000  #: stretches that a task holds before it sends them
 BUCKET_BYTES, SHARD_BYTES = 32 << 20, 4 << 20  #: bytes of the corpus for each bucket of hashes and each shard of stretches
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
