@@ -6,8 +6,8 @@ table of fixed size counts the n-grams of all documents, and hashes break ties.
 
 Equal sets are one set.  Sets with equal prefix and size are one group; groups meet at the n-grams of their prefixes
 and pass filters on size, position and number shared.  First each group goes to the one that it shares most with, and
-each member to its group's first.  These links are verified and bind components; with those to every group
-that is met first or next, unverified, they bind families.  What is
+each member to its group's first.  These links are verified and bind components.  Groups that meet first or next, unverified,
+bind families, perhaps not wholly; a member's family is its group's.  What is
 left is verified in two ways, so that no link between components is lost: the members of a family that isn't wholly one
 component are compared block by block, where each set travels once for each block of its family and only links
 come out; group pairs between families are expanded to members, pair by pair.
@@ -487,12 +487,13 @@ def near_copy_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     best = met.groupBy("grp").agg(F.max(F.struct("shared", (-F.col("token")).alias("low"))).alias("x")).select(F.col("grp").alias("a"), (-F.col("x.low")).alias("b"))
     links = best.unionByName(sets.filter("rep <> grp").select(F.col("rep").alias("a"), F.col("grp").alias("b")))
     links = materialize(links, "first")
-    families = materialize(connected_components(met.select(F.col("grp").alias("a"), F.col("token").alias("b")).unionByName(links), 2, partly=True), "families")
+    # of groups alone, and members have their group's: what the family of two groups settles holds for all their members
+    families = materialize(connected_components(met.select(F.col("grp").alias("a"), F.col("token").alias("b")), 2, partly=True), "families")
     linked = materialize(_verified(docs, _pair_places(links), words, percent), "linked")
     labels = materialize(connected_components(linked, 2, partly=True), "labels")
     named = sets.select("rep", "grp", "n").join(labels.withColumnRenamed("component", "label"), F.col("rep") == F.col("node"), "left").drop("node")
-    named = named.join(families.withColumnRenamed("component", "family"), F.col("rep") == F.col("node"), "left").drop("node")
-    named = materialize(named.select("rep", "grp", "n", F.coalesce("label", "rep").alias("label"), F.coalesce("family", "rep").alias("family")), "named")
+    named = named.join(families.withColumnRenamed("component", "family"), F.col("grp") == F.col("node"), "left").drop("node")
+    named = materialize(named.select("rep", "grp", "n", F.coalesce("label", "rep").alias("label"), F.coalesce("family", "grp").alias("family")), "named")
 
     span = named.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("family").alias("family"))
     runs = materialize(_apart(_enough(postings.filter("not hub").select("token", "grp", "n", "pos"), percent).join(span, "grp"), percent), "runs")
