@@ -1,9 +1,11 @@
 """Packing by lexical retrieval: sequences are filled with documents that BM25 finds near.
 
-Each task packs the documents of its partition shard by shard.  A shard has an inverted index over token ids; the
-window's seed document asks it for unused neighbours, which fill the window in order of their scores.  The last one is
+Token ids are made once and written; document frequencies, number and mean length are counted over all documents.  Each
+task packs the documents of its partition shard by shard.  A shard has an inverted index over token ids, weighted by the
+corpus's counts; the window's seed document asks it for unused neighbours, which fill the window in order of their
+scores.  Documents of other shards are not asked for.  The last one is
 cut at the window's end, and what is left of it is the next seed, so only a partition's last sequence has padding.
-No row is shuffled and a task holds one shard at a time.
+No document is shuffled and a task holds one shard at a time.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 WINDOW, SHARD_TOKENS = 1024, 1 << 21
 SPECIAL = "<|endoftext|>"
 K1, B = 1.2, 0.75
@@ -51,10 +55,26 @@ class TokenIds:
         return np.array([*ids, 0], np.uint32)
 
 
+class Statistics:
+    """What BM25 takes from a corpus: the documents that have each token id, their number and mean length."""
+
+    def __init__(self, df: np.ndarray, n: int, tokens: int):
+        self.df, self.n, self.mean = df, n, tokens / max(n, 1)
+
+
+def corpus_statistics(counts: DataFrame) -> Statistics:
+    """The sum of all tasks' ``counts`` (term, c); as many rows as the vocabulary has ids reach the driver.  Term -1 counts documents, -2 ids."""
+    found = {r.term: r.c for r in counts.groupBy("term").agg(F.sum("c").alias("c")).collect()}
+    n, tokens = found.pop(-1, 0), found.pop(-2, 0)
+    df = np.zeros(max(found, default=0) + 1, np.int64)
+    df[list(found)] = list(found.values())
+    return Statistics(df, n, tokens)
+
+
 class Index:
-    """BM25 over the token ids of a shard's documents."""
+    """BM25 over the token ids of a shard's documents; by the ``corpus`` that they are of, or by themselves."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Statistics | None = None):
         size = np.array([len(d) for d in docs])
         key = np.repeat(np.arange(len(docs)), size) << 32 | np.concatenate(docs).astype(np.int64)
         key.sort()
@@ -65,13 +85,14 @@ class Index:
         self.bounds = np.searchsorted(doc, np.arange(len(docs) + 1))
         self.terms, place = np.unique(term, return_inverse=True)
         self.own = place  # terms of each document, in the order of ``bounds``
-        df = np.bincount(place, minlength=len(self.terms))
-        idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5)).astype(np.float32)
-        norm = K1 * (1 - B + B * size / size.mean()).astype(np.float32)
+        held = np.bincount(place, minlength=len(self.terms))
+        df, n, mean = (corpus.df[self.terms], corpus.n, corpus.mean) if corpus else (held, len(docs), size.mean())
+        idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        norm = K1 * (1 - B + B * size / mean).astype(np.float32)
         weight = idf[place] * tf * (K1 + 1) / (tf + norm[doc])
         order = np.argsort(place, kind="stable")
         self.postings, self.weights = doc[order], weight[order]
-        self.lists = np.append(0, np.cumsum(df))
+        self.lists = np.append(0, np.cumsum(held))
         self.n = len(docs)
 
     def neighbours(self, doc: int, used: np.ndarray, most: int) -> np.ndarray:
@@ -104,9 +125,9 @@ class Packer:
         return take
 
 
-def pack_shard(packer: Packer, names: list, docs: list[np.ndarray]) -> None:
+def pack_shard(packer: Packer, names: list, docs: list[np.ndarray], corpus: Statistics | None = None) -> None:
     """Place every id of every document: seeds in order, each followed by its unused neighbours."""
-    index = Index(docs)
+    index = Index(docs, corpus)
     used = np.zeros(len(docs), bool)
     done = [len(d) // WINDOW * WINDOW for d in docs]
     for i, d in enumerate(docs):
@@ -151,27 +172,51 @@ def pack_documents(docs: DataFrame, model: str | None = None, ranks: str | None
         packer.rows = []
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
+    written = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("term", pa.int64()), ("c", pa.int64())])
+
+    def encoded(batches) -> Iterator[pa.RecordBatch]:
+        """The ids of each document, then the task's counts."""
         encode = TokenIds(model, ranks)
+        df, n, tokens = np.zeros(1 << 16, np.int64), 0, 0
+        for b in batches:
+            out = []
+            for text in b["text"]:
+                ids = encode(text.as_py())
+                if (top := int(ids.max())) >= len(df):
+                    df = np.append(df, np.zeros(top + 1, np.int64))
+                df[ids] += 1  # once for an id, however often it is there
+                tokens += len(ids)
+                out.append(ids.astype("<u4").tobytes())
+            n += len(out)
+            none = pa.nulls(len(out), pa.int64())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(out, pa.binary()), none, none], schema=written)
+        terms = np.flatnonzero(df)
+        columns = [pa.nulls(len(terms) + 2, pa.int64()), pa.nulls(len(terms) + 2, pa.binary()), pa.array(np.append(terms, (-1, -2))), pa.array(np.append(df[terms], (n, tokens)))]
+        yield pa.RecordBatch.from_arrays(columns, schema=written)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
         packer, whole = Packer(base), Packer(base | 1 << 39)
         names, held, tokens = [], [], 0
         for b in batches:
-            for doc, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
-                ids = encode(text.as_py())
+            for doc, raw in zip(b["doc_id"].to_pylist(), b["ids"], strict=True):
+                ids = np.frombuffer(raw.as_py(), "<u4")
                 for start in range(0, len(ids) // WINDOW * WINDOW, WINDOW):
                     whole.put(doc, ids, start, WINDOW)
                 names.append(doc)
                 held.append(ids)
                 tokens += len(ids)
                 if tokens >= shard_tokens:
-                    pack_shard(packer, names, held)
+                    pack_shard(packer, names, held, corpus.value)
                     yield drain(packer)
                     yield drain(whole)
                     names, held, tokens = [], [], 0
         if held:
-            pack_shard(packer, names, held)
+            pack_shard(packer, names, held, corpus.value)
         yield drain(packer)
         yield drain(whole)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in NAMES))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encoded, "doc_id long, ids binary, term long, c long")
+    ids = materialize(ids, "ids")
+    corpus = docs.sparkSession.sparkContext.broadcast(corpus_statistics(ids.filter("term is not null").select("term", "c")))
+    return ids.filter("term is null").select("doc_id", "ids").mapInArrow(run, ", ".join(f"{n} long" for n in NAMES))
