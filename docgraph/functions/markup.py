@@ -9,6 +9,25 @@ from .paths import slug_anchor, sluggify
 
 HREF = r'href="([^"]*)"'
 WIKILINK = r"(!?)\[\[([^\[\]\|#\\]*)(#[^\[\]\|\\]*)?(?:\\?\|([^\[\]]*))?\]\]"
+#: The dialects' own signs.  A callout is ``[!kind|metadata]`` with - or + for folded; an image's alias ends in ``WxH``;
+#: a block's id stands behind ^; Roam writes {{...}}, ^^ and __; ox-hugo writes {{< >}}, {#id} and doubled backslashes.
+CALLOUT = r"^>?\s*\[!([\w-]+)\|?(.*?)\]([+-]?)\s*(.*)$"
+SIZED = r"^(?:(.*)\|)?(\d+)(?:x(\d+))?$"
+HIGHLIGHT, BLOCK = r"==([^=]+)==", r"\^([-_A-Za-z0-9]+)$"
+YOUTUBE, PLAYLIST = r"^.*(?:youtu\.be/|v/|u/\w/|embed/|watch\?v=|&v=)([^#&?]*).*", r"[?&]list=([^#?&]*)"
+CHECKBOX = r"^\s*[-*+]\s+\[([ xX])\]"
+ROAM = (
+    (r"\{\{or:(.*?)\}\}", "$1"), (r"\{\{.*?\bTODO\b.*?\}\}", '<input type="checkbox" disabled>'), (r"\{\{.*?\bDONE\b.*?\}\}", '<input type="checkbox" checked disabled>'),
+    (r"\{\{.*?\[\[video\]\].*?:(.*?)\}\}", '<video src="$1" controls>'), (r"\{\{.*?\[\[audio\]\].*?:(.*?)\}\}", '<audio src="$1" controls>'),
+    (r"\{\{.*?\[\[pdf\]\].*?:(.*?)\}\}", '<embed src="$1">'), (r"(?m)^\[\[>\]\]\s*(.*)$", "<blockquote>$1</blockquote>"), (r"\^\^(.+?)\^\^", "<mark>$1</mark>"), (r"__(.+?)__", "<em>$1</em>"),
+)
+OXHUGO = (
+    (r"\[([^\]]+)\]\(\{\{< relref \"([^\"]+)\" >\}\}\)", "[$1]($2)"), (r"(?m)^(.*)\{#[^}]*\}$", "$1"), (r'<figure src="(.*)">', "![]($1)"), (r'\{\{<\s*figure src="([^"]*)"[^>]*>\}\}', "![]($1)"),
+    (r"\\\\\((.+?)\\\\\)", "\\$$1\\$"), (r"(?s)(?:\\begin\{equation\}|\\\\\[)(.+?)(?:\\\\\]|\\end\{equation\})", "\\$\\$$1\\$\\$"), (r"\{\{<[^>]*>\}\}", ""),
+)
+MATH = r"(?s)\$\$?.+?\$\$?"
+CODE = r"(?s)```.*?```|`[^`\n]*`"
+
 _TAG = r"(?:^|[\s])#((?:[-_\p{L}\p{M}\p{N}\x{1F300}-\x{1FAFF}]+)(?:/[-_\p{L}\p{M}\p{N}\x{1F300}-\x{1FAFF}]+)*)"
 
 #: Other names of callouts.
@@ -60,32 +79,37 @@ def wikilinks(text: Column) -> Column:
 
 
 def embed_size(alias: Column) -> Column:
-    """(width, height) of an image's alias such as ``100x50``; ``auto`` where it has none."""
-    width, height = F.regexp_extract(alias, r"^(\d+)(?:x(\d+))?$", 1), F.regexp_extract(alias, r"^(\d+)(?:x(\d+))?$", 2)
-    return F.struct(F.when(width == "", "auto").otherwise(width).alias("width"), F.when(height == "", "auto").otherwise(height).alias("height"))
+    """(alt, width, height) of an image's alias such as ``100x50`` or ``logo|100x50``; ``auto`` where it has no size, and then all of it is alt."""
+    sized = alias.rlike(SIZED)
+    side = lambda k: F.coalesce(F.nullif(F.regexp_extract(alias, SIZED, k), F.lit("")), F.lit("auto"))
+    return F.struct(F.when(sized, F.regexp_extract(alias, SIZED, 1)).otherwise(alias).alias("alt"), side(2).alias("width"), side(3).alias("height"))
 
 
 def callout(line: Column) -> Column:
     """Kind, metadata, fold and title of a callout's first line; a kind of null where there is none."""
-    pattern = r"^>?\s*\[!(\w+)\|?(.*?)\]([+-]?)\s*(.*)$"
-    kind = F.lower(F.regexp_extract(line, pattern, 1))
+    kind = F.lower(F.regexp_extract(line, CALLOUT, 1))
     names = F.create_map(*[F.lit(x) for pair in CALLOUTS.items() for x in pair])
     return F.struct(
         F.when(kind != "", F.coalesce(F.try_element_at(names, kind), kind)).alias("kind"),
-        F.regexp_extract(line, pattern, 2).alias("metadata"),
-        F.regexp_extract(line, pattern, 3).alias("fold"),
-        F.trim(F.regexp_extract(line, pattern, 4)).alias("title"),
+        F.regexp_extract(line, CALLOUT, 2).alias("metadata"),
+        F.regexp_extract(line, CALLOUT, 3).alias("fold"),
+        F.trim(F.regexp_extract(line, CALLOUT, 4)).alias("title"),
     )
 
 
+def slug_tag(tag: Column) -> Column:
+    """A tag with each of its segments slugged."""
+    return F.array_join(F.transform(F.split(tag, "/"), sluggify), "/")
+
+
 def inline_tags(text: Column) -> Column:
     """Distinct slugged tags; those of digits and slashes alone are none."""
     found = F.regexp_extract_all(text, F.lit(_TAG), F.lit(1))
-    return F.array_distinct(F.transform(F.filter(found, lambda t: ~t.rlike(r"^[/\d]+$")), sluggify))
+    return F.array_distinct(F.transform(F.filter(found, lambda t: ~t.rlike(r"^[/\d]+$")), slug_tag))
 
 
 def highlights(text: Column) -> Column:
-    return F.regexp_replace(text, r"==([^=]+)==", '<span class="text-highlight">$1</span>')
+    return F.regexp_replace(text, HIGHLIGHT, '<span class="text-highlight">$1</span>')
 
 
 def arrows(text: Column) -> Column:
@@ -95,38 +119,63 @@ def arrows(text: Column) -> Column:
 
 
 def block_id(paragraph: Column) -> Column:
-    return F.regexp_extract(paragraph, r"\^([-_A-Za-z0-9]+)$", 1)
+    return F.regexp_extract(paragraph, BLOCK, 1)
 
 
 def youtube_id(url: Column) -> Column:
-    found = F.regexp_extract(url, r"^.*(?:youtu\.be/|v/|u/\w/|embed/|watch\?v=|&v=)([^#&?]*).*", 1)
+    found = F.regexp_extract(url, YOUTUBE, 1)
     return F.when(F.length(found) == 11, found)
 
 
+def youtube_playlist(url: Column) -> Column:
+    """The list that a video's address names, or null."""
+    return F.nullif(F.regexp_extract(url, PLAYLIST, 1), F.lit(""))
+
+
+def has_mermaid(text: Column) -> Column:
+    """Whether a fenced block is a diagram."""
+    return text.rlike(r"(?m)^\s*```mermaid\s*$")
+
+
 def checkbox(item: Column) -> Column:
-    mark = F.regexp_extract(item, r"^\s*[-*+]\s+\[([ xX])\]", 1)
+    mark = F.regexp_extract(item, CHECKBOX, 1)
     return F.when(mark != "", F.lower(mark) == "x")
 
 
-def roam(text: Column) -> Column:
-    """The Roam dialect: choices, to-dos, embeds, highlights and italics."""
-    for pattern, by in (
-        (r"\{\{or:(.*?)\}\}", "$1"), (r"\{\{.*?\bTODO\b.*?\}\}", '<input type="checkbox" disabled>'), (r"\{\{.*?\bDONE\b.*?\}\}", '<input type="checkbox" checked disabled>'),
-        (r"\{\{.*?\[\[video\]\].*?:(.*?)\}\}", '<video src="$1" controls>'), (r"\{\{.*?\[\[audio\]\].*?:(.*?)\}\}", '<audio src="$1" controls>'),
-        (r"\{\{.*?\[\[pdf\]\].*?:(.*?)\}\}", '<embed src="$1">'), (r"\^\^(.+?)\^\^", "<mark>$1</mark>"), (r"__(.+?)__", "<em>$1</em>"),
-    ):
+def outside(text: Column, pattern: str, rewrite) -> Column:
+    """``rewrite`` on the parts of a text between the matches of ``pattern``, which stay as they are."""
+    gaps, kept = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.array_join(F.transform(gaps, lambda g, i: F.concat(rewrite(g), F.coalesce(F.get(kept, i), F.lit("")))), "")
+
+
+def inside(text: Column, pattern: str, rewrite) -> Column:
+    """``rewrite`` on the matches of ``pattern``; what is between stays."""
+    gaps, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(rewrite(F.get(found, i)), F.lit("")))), "")
+
+
+def _replaced(text: Column, rules) -> Column:
+    for pattern, by in rules:
         text = F.regexp_replace(text, pattern, by)
     return text
 
 
+def roam(text: Column) -> Column:
+    """The Roam dialect: choices, to-dos, embeds, quotes, highlights and italics; code stays as it is."""
+    return outside(text, CODE, lambda t: _replaced(t, ROAM))
+
+
 def oxhugo(text: Column) -> Column:
-    """The ox-hugo dialect: references, heading ids, short codes, figures and math."""
-    for pattern, by in (
-        (r"\[([^\]]+)\]\(\{\{< relref \"([^\"]+)\" >\}\}\)", "[$1]($2)"), (r"(?m)^(.*)\{#[^}]*\}$", "$1"), (r'<figure src="(.*)">', "![]($1)"), (r'\{\{<\s*figure src="([^"]*)"[^>]*>\}\}', "![]($1)"),
-        (r"\\\\\((.+?)\\\\\)", "\\$$1\\$"), (r"\{\{<[^>]*>\}\}", ""),
-    ):
-        text = F.regexp_replace(text, pattern, by)
-    return text
+    """The ox-hugo dialect: references, heading ids, short codes, figures and math, in which an escaped underscore loses its escape; code stays as it is."""
+    return outside(text, CODE, lambda t: inside(_replaced(t, OXHUGO), MATH, lambda m: F.replace(m, F.lit("\\_"), F.lit("_"))))
+
+
+def pretty_text(text: Column, href: Column) -> Column:
+    """(text, kind) of a link: what is written as its own path shows the last segment; other wording is an alias and stays."""
+    bare = F.regexp_replace(href, "#.*$", "")
+    own = text == href
+    short = F.when(link_kind(href) == "internal", F.coalesce(F.nullif(F.element_at(F.split(bare, "/"), -1), F.lit("")), text)).otherwise(text)
+    return F.struct(F.when(own, short).otherwise(text).alias("text"), F.when(own, link_kind(href)).otherwise(F.concat(F.lit("alias "), link_kind(href))).alias("kind"))
 
 
 def markdown_headings(text: Column) -> Column:

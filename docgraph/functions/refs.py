@@ -76,3 +76,15 @@ def interpretation(text: Column, number: Column) -> Column:
     paragraph = F.regexp_substr(text, F.concat(F.lit(r"(?m)^\s*\d+\.[^\n]*"), name, F.lit(r"[^\n]*")))
     sentence = F.regexp_substr(text, F.concat(F.lit(r"[^.\n]*"), name, F.lit(r"[^.\n]*\.?")))
     return F.trim(F.coalesce(paragraph, sentence, F.lit("No specific interpretation found")))
+
+
+def article_url(number: Column) -> Column:
+    """Where a chip that names an article leads; nothing asks whether that page is there."""
+    return F.concat(F.lit("/GDPR/Article-"), number.cast("string"))
+
+
+def editorial(line: Column) -> Column:
+    """House style: the big solidus in a case number behind a pipe, an escaped bracket behind a link, questions as headings."""
+    line = F.regexp_replace(line, r"\|(C-\d+)/(\d+)", "|$1⧸$2")
+    line = F.regexp_replace(line, r"\]\]\)", r"]]\\)")
+    return F.regexp_replace(line, r"(?i)^#*\s*((?:first|second|third|fourth|preliminary) question.*)$", "### $1")

@@ -105,10 +105,15 @@ def parse_date(value: Column) -> Column:
     return F.coalesce(*(F.try_to_timestamp(value, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss.SSSX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")))
 
 
-def natural_key(text: Column, width: int = 12) -> Column:
-    """A sort key in which numbers order by value: digits are padded."""
+def natural_key(text: Column) -> Column:
+    """A sort key in which numbers of any length order by value: parts of text, and of digits by their count without leading zeros, then as they are."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, width, "0")).otherwise(p)), "")
+
+    def key(p: Column) -> Column:
+        number, bare = p.rlike(r"^\d"), F.regexp_replace(p, "^0+", "")
+        return F.struct(F.when(number, "0").otherwise(p).alias("text"), F.when(number, F.length(bare)).otherwise(0).alias("size"), F.when(number, bare).otherwise("").alias("digits"))
+
+    return F.transform(parts, key)
 
 
 def search_tokens(text: Column) -> Column:
@@ -124,6 +129,30 @@ def search_terms(query: Column) -> Column:
     return F.array_sort(terms, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
 
 
+def highlighted(token: Column, terms: Column, start: str = '<span class="highlight">', end: str = "</span>") -> Column:
+    """A token in which the first of ``terms`` that it holds, whatever the case, is marked; a token without one stays."""
+    term = F.element_at(F.filter(terms, lambda t: F.contains(F.lower(token), F.lower(t))), 1)
+    at = F.locate(F.lower(term), F.lower(token))
+    found = F.concat(F.substring(token, F.lit(1), at - 1), F.lit(start), F.substring(token, at, F.length(term)), F.lit(end), F.substr(token, at + F.length(term)))
+    return F.when((F.size(F.filter(terms, lambda t: F.contains(F.lower(token), F.lower(t)))) > 0), found).otherwise(token)
+
+
+def title_from_file(name: Column) -> Column:
+    """``C-12-20`` to ``C-12/20``: the second hyphen of a case's file name is a slash."""
+    return F.regexp_replace(F.regexp_replace(name, r"\.[A-Za-z0-9]+$", ""), "^([^-]*-[^-]*)-", "$1/")
+
+
+def replace_in_turn(text: Column, pairs: Column) -> Column:
+    """Each pair (old, new) of an array of structs in turn, literally; every place of old becomes new."""
+    return F.aggregate(pairs, text, lambda t, p: F.replace(t, p["old"], p["new"]))
+
+
+def case_of_slug(slug: Column) -> Column:
+    """The case number that a slug holds, else its last segment."""
+    last = F.element_at(F.split(slug, "/"), -1)
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_extract(last, r"(?i)(C-\d+-\d+)", 1), r"^(?i)c-(\d+)-(\d+)$", "C-$1/$2"), F.lit("")), last)
+
+
 def case_file_name(number: Column) -> Column:
     """A case number as a file name."""
     return F.replace(number, F.lit("/"), F.lit("-"))

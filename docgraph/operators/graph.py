@@ -2,29 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import basename, segment_prefixes
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the one that the cluster names in spark.checkpoint.dir; only where that is unset, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="docgraph-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the shared folder, which the loss of an executor doesn't touch."""
-    spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..functions.paths import ancestors, basename, segment_prefixes
+from .relations import numbered
+from .tables import written
 
 
 def reach(edges: DataFrame, start: DataFrame, depth: int = -1, undirected: bool = False) -> DataFrame:
@@ -34,13 +17,13 @@ def reach(edges: DataFrame, start: DataFrame, depth: int = -1, undirected: bool
         steps = steps.unionByName(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     steps = steps.distinct()
     frontier = start.select("origin", "node", F.lit(0).cast("long").alias("hops")).distinct()
-    seen = _written(frontier)
+    seen = written(frontier)
     frontier = seen
     k = 0
     while depth < 0 or k < depth:
         k += 1
         new = frontier.join(steps, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct()
-        frontier = _written(new.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("hops", F.lit(k).cast("long")))
+        frontier = written(new.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("hops", F.lit(k).cast("long")))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -57,9 +40,9 @@ def leaves(edges: DataFrame, start: DataFrame) -> DataFrame:
     return found.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti").select("origin", "node")
 
 
-def leaf_ancestors(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(origin, node): all that lead to the leaves that each start reaches, without the leaves."""
-    ends = leaves(edges, start)
+def leaf_ancestors(edges: DataFrame, start: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """(origin, node): all that lead to the leaves that each start reaches, without the leaves; ``ends`` are those leaves where they are known."""
+    ends = leaves(edges, start) if ends is None else ends
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return reach(back, ends).filter("hops > 0").select("origin", "node").distinct().join(ends, ["origin", "node"], "left_anti")
 
@@ -113,6 +96,18 @@ def without_subtrees(nodes: DataFrame, dropped) -> DataFrame:
     return nodes.filter(~F.exists(F.split("path", "/"), dropped)).withColumn("name", basename(F.col("path")))
 
 
+def neighbours(edges: DataFrame) -> DataFrame:
+    """(node, other, way) of every edge from either end; way is ``in`` or ``out``."""
+    out = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit("out").alias("way"))
+    return out.unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit("in").alias("way"))).distinct()
+
+
+def folder_paths(pages: DataFrame) -> DataFrame:
+    """path, place: folders of pages (slug) in pre-order, each before what it holds: the order of the arrays of their segments."""
+    rows = pages.select(F.explode(ancestors(F.col("slug"))).alias("path")).distinct().withColumn("_all", F.lit(1))
+    return numbered(rows, "_all", [F.split("path", "/")]).select("path", "place")
+
+
 def link_graph(links: DataFrame, tags: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src, dst, kind): valid links, and a page's tags as edges to ``tags/...``."""
     ours = links.join(nodes.select(F.col("slug").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst", F.lit("link").alias("kind"))

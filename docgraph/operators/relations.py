@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, basename, parent, segment_prefixes
+from .tables import written
 
 
 def edges(pages: DataFrame, key: str, links: Column) -> DataFrame:
@@ -45,12 +46,10 @@ def neighbourhood_links(links: DataFrame, members: DataFrame) -> DataFrame:
     return links.select("src", "dst")
 
 
-def page_tags(pages: DataFrame, key: str, tags: Column, hierarchical: bool = True) -> DataFrame:
-    """Distinct (key, tag); a nested tag also counts as those it is nested in."""
-    tag = pages.select(key, F.explode(tags).alias("tag"))
-    if hierarchical:
-        tag = tag.select(key, F.explode(segment_prefixes(F.col("tag"))).alias("tag"))
-    return tag.distinct()
+def page_tags(pages: DataFrame, key: str, tags: Column, hierarchical: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct (key, tag) with the columns ``keep``; a nested tag also counts as those it is nested in."""
+    names = F.flatten(F.transform(tags, segment_prefixes)) if hierarchical else tags
+    return pages.select(key, F.explode(F.array_distinct(names)).alias("tag"), *keep).distinct()
 
 
 def first_in_group(rows: DataFrame, group: str, order: list[Column], most: int, place: str = "place") -> DataFrame:
@@ -58,6 +57,37 @@ def first_in_group(rows: DataFrame, group: str, order: list[Column], most: int,
     return rows.withColumn(place, F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long")).filter(F.col(place) <= most)
 
 
+def numbered(rows: DataFrame, group: str, order: list[Column], place: str = "place") -> DataFrame:
+    """Every row's number within its group, from 1, without a task that holds a whole group.
+
+    Rows are dealt by ranges of (group, order), written with their range's number, and numbered within (range, group); the
+    rows of earlier ranges are added, of which there are at most as many counts as ranges and groups.
+    """
+    dealt = written(rows.repartitionByRange(F.col(group), *order).withColumn("_range", F.spark_partition_id()))
+    size = dealt.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    size = size.select(F.col(group).alias("_group"), F.col("_range").alias("_at"), before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order))
+    found = dealt.withColumn(place, own.cast("long")).join(size, (F.col(group).eqNullSafe(F.col("_group"))) & (F.col("_range") == F.col("_at")))
+    return found.withColumn(place, F.col(place) + F.col("_before")).select(*rows.columns, place)
+
+
+def folder_dates(pages: DataFrame) -> DataFrame:
+    """folder, date and n for the folders that hold pages (slug, date, title): the date of the first page under the order of lists."""
+    below = pages.select(F.explode(ancestors(F.col("slug"))).alias("folder"), "slug", "date", "title")
+    return below.groupBy("folder").agg(F.max("date").alias("date"), F.count("*").alias("n"))
+
+
+def is_case_page(slug: Column, folder: Column) -> Column:
+    """Pages of the case-law folder, by their slug or by the folder that they name."""
+    return F.lower(slug).startswith("case-law/") | F.coalesce(F.lower(folder).isin("case law", "case-law"), F.lit(False))
+
+
+def with_alias_slugs(pages: DataFrame) -> DataFrame:
+    """Every slug that names may mean: pages (slug, aliases) and their aliases, repeats and all, as repeats tell that a name is not unique."""
+    return pages.select("slug").unionByName(pages.select(F.explode("aliases").alias("slug")))
+
+
 def override(defaults: DataFrame, own: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Rows of ``defaults`` with the columns that ``own`` knows better."""
     better = own.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
@@ -91,12 +121,18 @@ def breadcrumbs(pages: DataFrame) -> DataFrame:
 
 
 def transclude(embeds: DataFrame, pages: DataFrame) -> DataFrame:
-    """embeds (src, pos, target, block) with ``content``: the block of that id, else the whole page; null where unresolved.
+    """embeds (src, pos, target, block) with ``content``: the block of that id, a heading's section, else the whole page; null where unresolved.
 
-    ``pages`` has slug, text and blocks (a map from id to paragraph).
+    ``pages`` has slug, text and blocks (a map from id to paragraph), and may have sections (a map from a heading's slug to its
+    text).  A block is named ``^id`` or ``id``, a heading ``#slug``.
     """
-    found = embeds.join(pages.select(F.col("slug").alias("target"), "text", "blocks"), "target", "left")
-    content = F.when(F.coalesce("block", F.lit("")) == "", F.col("text")).otherwise(F.try_element_at("blocks", F.col("block")))
+    has = "sections" in pages.columns
+    found = embeds.join(pages.select(F.col("slug").alias("target"), "text", "blocks", *(["sections"] if has else [])), "target", "left")
+    name = F.coalesce("block", F.lit(""))
+    content = F.when(name == "", F.col("text"))
+    if has:
+        content = content.when(name.startswith("#"), F.try_element_at("sections", F.substr(name, F.lit(2))))
+    content = content.otherwise(F.try_element_at("blocks", F.regexp_replace(name, r"^\^", "")))
     return found.select("src", "pos", "target", "block", content.alias("content"))
 
 
@@ -111,9 +147,9 @@ def theta_matches(left: DataFrame, right: DataFrame, numbers_left: Column, numbe
 
 
 def rules_for(rulings: DataFrame, key: str, points: Column, number: Column) -> DataFrame:
-    """key, article, place and rule: the points that name an article; failing those, the first point if the whole does.
+    """key, article, place and rule: the points that name an article, in their order.
 
-    ``number`` is an array of the articles of a point as a function of text.
+    ``number`` is an array of the articles of a point as a function of rule.
     """
     each = rulings.select(key, F.posexplode(points).alias("pos", "rule"))
     named = each.withColumn("article", F.explode(number))
@@ -121,6 +157,14 @@ def rules_for(rulings: DataFrame, key: str, points: Column, number: Column) -> D
     return named.select(key, "article", place.cast("long").alias("place"), "rule")
 
 
+def rules_or_whole(rulings: DataFrame, key: str, points: Column, number: Column, wanted: DataFrame, whole: Column) -> DataFrame:
+    """key, article, rule for each row of ``wanted`` (key, article): the points that name the article, else the whole ruling."""
+    named = rules_for(rulings, key, points, number).select(key, "article", "rule")
+    all_of = rulings.select(key, whole.alias("_whole"))
+    asked = wanted.join(named, [key, "article"], "left").join(all_of, key)
+    return asked.select(key, "article", F.coalesce("rule", "_whole").alias("rule"))
+
+
 def rollup_counts(rows: DataFrame, outer: str, inner: str) -> DataFrame:
     """Counts by both columns, by the outer, and of all; what is summed over is null."""
     return rows.rollup(outer, inner).agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WINDOW = 30  #: tokens of an excerpt's window
@@ -11,22 +11,59 @@ SHOWN = 8  #: results a field
 
 def index(docs: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
     """(field, token, id, pos) of every word."""
-    out = None
-    for field, tokens in fields.items():
-        rows = docs.select(F.lit(field).alias("field"), F.col(key).alias("id"), F.posexplode(tokens).alias("pos", "token")).select("field", "token", "id", F.col("pos").cast("long").alias("pos"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    named = F.array(*[F.struct(F.lit(f).alias("field"), tokens.alias("tokens")) for f, tokens in fields.items()])
+    rows = docs.select(F.col(key).alias("id"), F.explode(named).alias("f")).select("id", "f.field", F.posexplode("f.tokens").alias("pos", "token"))
+    return rows.select("field", "token", "id", F.col("pos").cast("long").alias("pos"))
+
+
+def store(postings: DataFrame, path: str, files: int | None = None) -> DataFrame:
+    """Write an index once: postings by token and document (positions in an array), split by the token's first two letters and sorted by token.
+
+    A query by prefix reads the folders of its letters and, by the statistics of sorted files, few row groups there.  What
+    every task writes is sorted; common tokens are dealt by document too, so that none fills one task.
+    """
+    rows = postings.groupBy("field", "token", "id").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    rows = rows.select(F.col("field"), "token", "id", F.size("at").cast("long").alias("hits"), F.element_at("at", 1).alias("first"), "at", head(F.col("token")).alias("head"))
+    parts = files or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(parts, "head", "token", "id").sortWithinPartitions("head", "token", "id")
+    rows.write.partitionBy("head").parquet(path)
+    return read_index(rows.sparkSession, path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("field string, token string, id long, hits long, first long, at array<long>, head string").parquet(path)
+
+
+def head(token: Column) -> Column:
+    """The folder of a token: the code points of its first two letters, so that any letter makes a plain name."""
+    return F.concat_ws("-", F.ascii(token).cast("string"), F.when(F.length(token) > 1, F.ascii(F.substring(token, 2, 1)).cast("string")))
+
+
+def heads(term: str) -> Column:
+    """Whether a folder may hold words that begin with ``term``."""
+    codes = [str(ord(c)) for c in term[:2]]
+    column = F.col("head")
+    return column == "-".join(codes) if len(codes) == 2 else (column == codes[0]) | column.startswith(codes[0] + "-")
 
 
 def query(postings: DataFrame, terms: list[str]) -> DataFrame:
     """(field, id, hits, first): documents in whose field each term begins a word.
 
-    Terms are few, so each is a test on the token that the scan can push down; no join is needed.
+    ``postings`` is an index or a stored one.  Terms are few, so each is a test on the token that the scan can push down;
+    no join is needed.
     """
-    which = F.array_compact(F.array(*[F.when(F.col("token").startswith(t), F.lit(i)) for i, t in enumerate(terms)]))
-    found = postings.withColumn("terms", which).filter(F.size("terms") > 0)
-    seen = [F.max(F.array_contains("terms", i)) for i in range(len(terms))]
-    rows = found.groupBy("field", "id").agg(F.count("*").alias("hits"), F.min("pos").alias("first"), *[s.alias(f"t{i}") for i, s in enumerate(seen)])
+    kept = postings
+    if "head" in postings.columns:
+        folders = heads(terms[0])
+        for t in terms[1:]:
+            folders = folders | heads(t)
+        kept = postings.filter(folders)
+    begins = F.col("token").startswith(terms[0])
+    for t in terms[1:]:
+        begins = begins | F.col("token").startswith(t)
+    found = kept.filter(begins)
+    n, first = (F.sum("hits"), F.min("first")) if "hits" in postings.columns else (F.count("*"), F.min("pos"))
+    rows = found.groupBy("field", "id").agg(n.alias("hits"), first.alias("first"), *[F.max(F.col("token").startswith(t)).alias(f"t{i}") for i, t in enumerate(terms)])
     for i in range(len(terms)):
         rows = rows.filter(F.col(f"t{i}"))
     return rows.select("field", "id", "hits", "first")
@@ -45,17 +82,28 @@ def merged(results: DataFrame, fields: tuple[str, ...] = ("title", "content", "t
     return best.select("id", "k.prio", "k.rank")
 
 
-def best_window(docs: DataFrame, key: str, tokens: Column, hit: Column, width: int = WINDOW) -> DataFrame:
-    """key, n (tokens) and best: where the window of ``width`` tokens with most hits starts; the last of equals, 0 for short texts.
+def records(results: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """Results (id, ...) with the columns of their documents; results are few, documents are not moved."""
+    return docs.join(F.broadcast(results.withColumnRenamed("id", key)), key)  # SHOWN rows a field
+
 
-    ``hit`` is a condition on the column token.  Starts stop ``width`` before the end.
+def best_window(tokens: Column, hit, width: int = WINDOW) -> Column:
+    """Where the window of ``width`` tokens with most hits starts; the last of equals, 0 for short texts.
+
+    ``hit`` is a condition on a token.  All is done within the row: sums of hits up to each place, then the difference of two.
+    Starts stop ``width`` before the end.
     """
-    rows = docs.select(key, F.posexplode(tokens).alias("pos", "token"))
-    window = Window.partitionBy(key).orderBy("pos").rowsBetween(0, width - 1)
-    rows = rows.withColumn("s", F.sum(hit.cast("long")).over(window)).withColumn("n", F.count("*").over(Window.partitionBy(key)))
-    start = F.when(F.col("pos") < F.col("n") - width, F.struct("s", "pos"))
-    best = rows.groupBy(key, "n").agg(F.max(start).alias("b"))
-    return best.select(key, F.col("n").cast("long").alias("n"), F.coalesce(F.col("b.pos"), F.lit(0)).cast("long").alias("best"))
+    flags = F.transform(tokens, lambda t: F.when(hit(t), 1).otherwise(0))
+    places = F.filter(F.transform(flags, lambda f, i: F.when(f == 1, i)), lambda i: i.isNotNull())
+    # a window with most hits, the last such, either starts at a hit or stands as late as it can; ends move by one hit at a time
+    last = F.size(tokens) - width - 1
+
+    def window(at: Column) -> Column:
+        return F.struct(F.size(F.filter(F.slice(flags, at + 1, width), lambda f: f == 1)).alias("s"), at.alias("pos"))
+
+    starts = F.array_append(F.filter(places, lambda p: p <= last), last)
+    best = F.array_max(F.transform(starts, window))
+    return F.when(last < 0, 0).otherwise(best["pos"]).cast("long")
 
 
 def excerpt_bounds(best: Column, n: Column, width: int = WINDOW) -> tuple[Column, Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import relations
+from ..operators.tables import shared_folder
 from ..sources import sinks
 from ..streaming import incremental
 from . import pipeline
@@ -222,18 +223,26 @@ def rebuild_set(spark, sf):
     return build.withColumn("build", F.lit(True)).unionByName(remove.withColumn("build", F.lit(False)))
 
 
+def _streamed(spark, sf, rows, emit=None):
+    """What a stream over ``rows``, in four files that hold events of all times, leaves: each file is a micro-batch."""
+    root = shared_folder(spark)
+    rows.repartition(4, "event_id").write.parquet(f"{root}/events")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/events")
+    q = incremental.run_incremental(stream, f"{root}/state", f"{root}/checkpoint", "user_id", ["user_id", "value"], ("ts", "event_id"), emit)
+    q.awaitTermination()
+    return incremental.live(spark, f"{root}/state", rows.select("user_id", "value", "ts", "event_id").schema, ["user_id", "value"])
+
+
 @query(f"WITH {_LAST} SELECT user_id, value FROM la WHERE change <> 'delete'")
 def stream_incremental(spark, sf):
-    """The same snapshot, kept by a stream over the events in micro-batches."""
-    from ..operators.graph import shared_folder
+    """The same snapshot, kept by a stream over the events in micro-batches that come in no order."""
+    return _streamed(spark, sf, _events(spark, sf))
 
-    root = shared_folder(spark)
-    raw = spark.readStream.schema(read(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    change = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "add").otherwise("change")
-    events = raw.select("event_id", "user_id", "ts", "value", change.alias("change"))
-    q = incremental.run_incremental(events, f"{root}/state", f"{root}/checkpoint", "user_id", ["user_id", "value"], ("ts", "event_id"))
-    q.awaitTermination()
-    return spark.read.parquet(f"{root}/state/v{q.lastProgress['batchId']}")
+
+@query("SELECT user_id, value FROM events WHERE false")
+def stream_without_events(spark, sf):
+    """A stream that never has a batch leaves an empty state."""
+    return _streamed(spark, sf, _events(spark, sf).filter(F.lit(False)))
 
 
 @query(f"WITH {LINKS} SELECT src, dst FROM lk WHERE src <> dst AND length(dst) > 6 UNION SELECT dst, src FROM lk WHERE length(dst) = 3")
@@ -245,9 +254,10 @@ def edge_union(spark, sf):
     return merge(e.filter("src <> dst and length(dst) > 6"), e.filter("length(dst) = 3").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-@query("SELECT p_brand, array_to_string(list_sort(list_distinct(list(p_type))), ', ') AS items, count(DISTINCT p_type)::BIGINT AS n FROM part GROUP BY p_brand")
+@query("SELECT p_brand, part, string_agg(p_type, ', ' ORDER BY p_type) AS items, count(*)::BIGINT AS n FROM (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY p_type) - 1) // 5 AS part FROM (SELECT DISTINCT p_brand, p_type FROM part)) GROUP BY ALL")
 def grouped_report(spark, sf):
-    return sinks.grouped_lines(read(spark, sf, "part"), "p_brand", "p_type")
+    """Lines of five items at most."""
+    return sinks.grouped_lines(read(spark, sf, "part"), "p_brand", "p_type", 5)
 
 
 @query("SELECT c_custkey AS id, c_mktsegment AS before, lower(c_mktsegment) AS after FROM customer WHERE c_custkey % 7 = 0")
@@ -282,9 +292,9 @@ def distinct_lines(spark, sf):
     return read(spark, sf, "part").select(F.col("p_name").alias("line")).filter(~F.contains("line", F.lit("bolt"))).distinct()
 
 
-@query(f"WITH {PAGES} SELECT page_id, CASE WHEN strip = '' THEN 'A page' ELSE strip END AS description FROM (SELECT page_id, substr(title, 1, 20) AS strip FROM pg)")
+@query(f"WITH {PAGES} SELECT page_id, CASE WHEN title = '' THEN 'A page' ELSE title END AS description FROM pg")
 def head_metadata(spark, sf):
-    return pages(spark, sf, "page_id").select("page_id", F.coalesce(text.truthy(F.substring("title", 1, 20)), F.lit("A page")).alias("description"))
+    return pages(spark, sf, "page_id").select("page_id", F.coalesce(text.truthy(F.col("title")), F.lit("A page")).alias("description"))
 
 
 @query("SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS host FROM pages")
@@ -318,23 +328,27 @@ def canonical_redirect(spark, sf):
     return pages(spark, sf, "page_id", "html").select("page_id", F.coalesce(canonical(html), "slug").alias("final"))
 
 
-@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderdate END DESC NULLS LAST, lpad(o_orderkey::VARCHAR, 12, '0')) AS place, o_orderpriority FROM orders")
+@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderdate END DESC NULLS LAST, o_orderkey) AS place, o_orderpriority FROM orders")
 def explorer_by_date(spark, sf):
     """Folders of cases list by date, newest first; other folders by natural order of names."""
     name = F.col("o_orderkey").cast("string")
-    order = [F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderdate")).desc_nulls_last(), text.natural_key(name)]
-    return relations.first_in_group(read(spark, sf, "orders"), "o_orderpriority", order, 10**9).select("o_orderkey", "place", "o_orderpriority")
+    rows = read(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate", text.natural_key(name).alias("key"))
+    order = [F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderdate")).desc_nulls_last(), F.col("key")]
+    return relations.numbered(rows, "o_orderpriority", order).select("o_orderkey", "place", "o_orderpriority")
+
+
+_DEPTH = "len(list_filter(string_split(src, '/'), lambda s: s <> '')) - 1"
+_ROOTED = f"CASE WHEN {_DEPTH} <= 0 THEN '.' ELSE array_to_string(list_transform(range({_DEPTH}), lambda i: '..'), '/') END"
 
 
-@query(f"WITH {LINKS} SELECT src, dst, CASE WHEN length(dst) % 2 = 0 THEN repeat('../', len(string_split(src, '/')) - 1) || 'x/../img/' || dst ELSE dst END AS url FROM lk WHERE NOT contains(dst, '/') AND NOT contains(dst, '.') AND NOT regexp_matches(src, '(^|/)index$') AND contains(src, '/')")
+@query(f"WITH {LINKS} SELECT src, dst, CASE WHEN length(dst) % 2 = 0 THEN {_ROOTED} || '/x/../img/' || dst WHEN starts_with(dst, './') OR starts_with(dst, '../') THEN {_ROOTED} || '/x/../' || dst ELSE dst END AS url FROM lk")
 def rebased_urls(spark, sf):
     """URLs relative to a page at the root, rewritten for the pages that quote it."""
     from ..functions.paths import rebase
 
-    rows = links(spark, sf).filter(~F.contains("dst", F.lit("/")) & ~F.contains("dst", F.lit(".")) & F.contains("src", F.lit("/")) & ~F.col("src").rlike("(^|/)index$"))
     url = F.when(F.length("dst") % 2 == 0, F.concat(F.lit("./img/"), "dst")).otherwise(F.col("dst"))
     made = rebase(url, F.col("src"), F.lit("x"))
-    return rows.select("src", "dst", F.regexp_replace(made, r"/\./", "/").alias("url"))
+    return links(spark, sf).select("src", "dst", F.regexp_replace(made, r"/\./", "/").alias("url"))
 
 
 @query("SELECT c_custkey AS id, 'C-' || c_custkey || '.html' AS destination FROM customer WHERE c_custkey % 2 = 0")

@@ -28,7 +28,7 @@ def _notes(spark, sf):
     s, k = (lambda c: c.cast("string")), F.col("o_orderkey")
     body = F.concat(
         F.lit("Links to [[Order "), s(k + 1), F.lit("|the next]], [[Order "), s(k + 2), F.lit("#Part "), s(k % 7), F.lit("]] and ![[pic"), s(k % 9), F.lit(".png|100x50]].\n\n> [!"),
-        F.when(k % 3 == 0, "Caution").when(k % 3 == 1, "tldr").otherwise("own"), F.lit("]- About "), s(k), F.lit("\n\nTagged #lang/"), F.lower("o_orderstatus"), F.lit(" and #"), s(k % 100), F.lit(" too.\n\nA block ^b"), s(k % 2), F.lit("\n\n^alone"),
+        F.when(k % 3 == 0, "Caution").when(k % 3 == 1, "tldr").otherwise("my-own"), F.lit("]- About "), s(k), F.lit("\n\nTagged #lang/"), F.lower("o_orderstatus"), F.lit(" and #"), s(k % 100), F.lit(" too.\n\nA block ^b"), s(k % 2), F.lit("\n\n^alone"),
     )
     return read(spark, sf, "orders").select(k.alias("id"), body.alias("body"), "o_orderstatus")
 
@@ -39,7 +39,7 @@ def wikilink_parse(spark, sf):
     return rows.select("id", F.col("pos").cast("long").alias("pos"), "w.name", "w.heading", "w.alias", "w.embed")
 
 
-@query("SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'warning' WHEN 1 THEN 'abstract' ELSE 'own' END AS kind, '-' AS fold, 'About ' || o_orderkey AS title FROM orders")
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'warning' WHEN 1 THEN 'abstract' ELSE 'my-own' END AS kind, '-' AS fold, 'About ' || o_orderkey AS title FROM orders")
 def callout_parse(spark, sf):
     line = F.element_at(F.split("body", "\n\n"), 2)
     return _notes(spark, sf).select("id", markup.callout(line).alias("c")).select("id", "c.kind", "c.fold", "c.title")
@@ -56,28 +56,30 @@ def block_references(spark, sf):
     return markup.block_table(notes, "note", F.col("body")).select(F.col("note").alias("id"), F.col("id").alias("block"), "paragraph")
 
 
-@query("SELECT o_orderkey AS src, CASE WHEN o_orderkey % 3 = 0 THEN 'A block' WHEN o_orderkey % 3 = 1 THEN 'whole ' || o_orderkey + 1 END AS content FROM orders WHERE o_orderkey + 1 IN (SELECT o_orderkey FROM orders)")
+@query("SELECT o_orderkey AS src, CASE o_orderkey % 4 WHEN 0 THEN 'A block' WHEN 1 THEN 'whole ' || o_orderkey + 1 WHEN 2 THEN 'Under ' || o_orderkey + 1 END AS content FROM orders WHERE o_orderkey + 1 IN (SELECT o_orderkey FROM orders)")
 def transclusion(spark, sf):
-    """Each order embeds the next one: a block, the whole, or a block that isn't there."""
+    """Each order embeds the next one: a block, the whole, a heading's section, or a block that isn't there."""
     o = read(spark, sf, "orders").select("o_orderkey")
     k = F.col("o_orderkey")
-    blocks = F.create_map(F.lit("b0"), F.lit("A block"))
-    pages = o.select(k.cast("string").alias("slug"), F.concat(F.lit("whole "), k.cast("string")).alias("text"), blocks.alias("blocks"))
-    embeds = o.join(o.select((k - 1).alias("o_orderkey")), "o_orderkey").select(k.alias("src"), F.lit(0).alias("pos"), (k + 1).cast("string").alias("target"), F.when(k % 3 == 0, "b0").when(k % 3 == 1, "").otherwise("lost").alias("block"))
+    body = F.concat(F.lit("whole "), k.cast("string"))
+    blocks, sections = F.create_map(F.lit("b0"), F.lit("A block")), F.create_map(F.lit("part-one"), F.concat(F.lit("Under "), k.cast("string")))
+    pages = o.select(k.cast("string").alias("slug"), body.alias("text"), blocks.alias("blocks"), sections.alias("sections"))
+    block = F.when(k % 4 == 0, "^b0").when(k % 4 == 1, "").when(k % 4 == 2, "#part-one").otherwise("lost")
+    embeds = o.join(o.select((k - 1).alias("o_orderkey")), "o_orderkey").select(k.alias("src"), F.lit(0).alias("pos"), (k + 1).cast("string").alias("target"), block.alias("block"))
     return transclude(embeds, pages).select("src", "content")
 
 
-@query("SELECT o_orderkey AS id, 'a <mark>' || o_orderkey || '</mark> <em>b</em> <input type=\"checkbox\" disabled> x' AS body FROM orders")
+@query("SELECT o_orderkey AS id, 'a <mark>' || o_orderkey || '</mark> <em>b</em> <input type=\"checkbox\" disabled> x `__code__`' || chr(10) || '<blockquote>said ' || o_custkey || '</blockquote>' AS body FROM orders")
 def roam_rewrite(spark, sf):
     s = F.col("o_orderkey").cast("string")
-    body = F.concat(F.lit("a ^^"), s, F.lit("^^ __b__ {{[[TODO]]}} {{or:x}}"))
+    body = F.concat(F.lit("a ^^"), s, F.lit("^^ __b__ {{[[TODO]]}} {{or:x}} `__code__`\n[[>]] said "), F.col("o_custkey").cast("string"))
     return read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), markup.roam(body).alias("body"))
 
 
-@query("SELECT o_orderkey AS id, '[to](p' || o_orderkey || ') and ![](f.png)' AS body FROM orders")
+@query("SELECT o_orderkey AS id, '[to](p' || o_orderkey || ') and ![](f.png) $a_' || o_custkey || '$ $$x_1' || chr(10) || 'y$$ but b\\_c and `<figure src=\"g.png\">`' AS body FROM orders")
 def oxhugo_rewrite(spark, sf):
     s = F.col("o_orderkey").cast("string")
-    body = F.concat(F.lit('[to]({{< relref "p'), s, F.lit('" >}}) and <figure src="f.png">'))
+    body = F.concat(F.lit('[to]({{< relref "p'), s, F.lit('" >}}) and {{< figure src="f.png" >}} $a\\_'), F.col("o_custkey").cast("string"), F.lit('$ \\\\[x\\_1\ny\\\\] but b\\_c and `<figure src="g.png">`'))
     return read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), markup.oxhugo(body).alias("body"))
 
 
@@ -87,19 +89,20 @@ def inline_rewrites(spark, sf):
     return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), body.alias("body"))
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN lpad(p_partkey::VARCHAR, 11, 'x') END AS video, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS done FROM part")
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN lpad(p_partkey::VARCHAR, 11, 'x') END AS video, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS done, CASE WHEN p_partkey % 5 = 0 THEN 'PL' || p_partkey END AS playlist, p_partkey % 4 = 0 AS mermaid FROM part")
 def youtube_checkbox(spark, sf):
     k = F.col("p_partkey")
-    url = F.concat(F.lit("https://www.youtube.com/watch?v="), F.when(k % 2 == 0, F.lpad(k.cast("string"), 11, "x")).otherwise("short"))
+    url = F.concat(F.lit("https://www.youtube.com/watch?v="), F.when(k % 2 == 0, F.lpad(k.cast("string"), 11, "x")).otherwise("short"), F.when(k % 5 == 0, F.concat(F.lit("&list=PL"), k.cast("string"), F.lit("&index=2"))).otherwise(""))
+    body = F.when(k % 4 == 0, "text\n```mermaid\ngraph\n```").otherwise("```js\nmermaid\n```")
     item = F.when(k % 3 == 0, "- [x] done").when(k % 3 == 1, "- [ ] open").otherwise("- plain")
-    return read(spark, sf, "part").select(k.alias("id"), markup.youtube_id(url).alias("video"), markup.checkbox(item).alias("done"))
+    return read(spark, sf, "part").select(k.alias("id"), markup.youtube_id(url).alias("video"), markup.checkbox(item).alias("done"), markup.youtube_playlist(url).alias("playlist"), markup.has_mermaid(body).alias("mermaid"))
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN p_size::VARCHAR ELSE 'auto' END AS width, CASE WHEN p_size % 4 = 0 THEN '7' ELSE 'auto' END AS height FROM part")
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN 'logo' WHEN p_size % 2 = 0 THEN '' ELSE 'alt text' END AS alt, CASE WHEN p_size % 2 = 0 THEN p_size::VARCHAR ELSE 'auto' END AS width, CASE WHEN p_size % 4 = 0 THEN '7' ELSE 'auto' END AS height FROM part")
 def embed_sizes(spark, sf):
     k = F.col("p_size")
-    alias = F.when(k % 4 == 0, F.concat(k.cast("string"), F.lit("x7"))).when(k % 2 == 0, k.cast("string")).otherwise("alt text")
-    return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), markup.embed_size(alias).alias("e")).select("id", "e.width", "e.height")
+    alias = F.when(k % 4 == 0, F.concat(F.lit("logo|"), k.cast("string"), F.lit("x7"))).when(k % 2 == 0, k.cast("string")).otherwise("alt text")
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), markup.embed_size(alias).alias("e")).select("id", "e.alt", "e.width", "e.height")
 
 
 @query("SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS yaml FROM nation")

@@ -110,19 +110,19 @@ def link_kind(spark, sf):
 _EXTS = "CASE page_id % 6 WHEN 0 THEN '.PNG' WHEN 1 THEN '.mp4' WHEN 2 THEN '.mp3' WHEN 3 THEN '.pdf' WHEN 4 THEN '.webp' ELSE '' END"
 
 
-@query(f"SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'image' WHEN 1 THEN 'video' WHEN 2 THEN 'audio' WHEN 3 THEN 'pdf' WHEN 4 THEN 'image' ELSE 'transclude' END AS kind, {PATH.replace('url', 'url')} || {_EXTS} AS target FROM pages WHERE NOT regexp_matches({PATH}, '\\.[A-Za-z0-9]+$')")
+@query(f"""SELECT page_id, CASE WHEN e IN ('png', 'jpg', 'jpeg', 'gif', 'bmp', 'svg', 'webp') THEN 'image' WHEN e IN ('mp4', 'webm', 'ogv', 'mov', 'mkv') THEN 'video' WHEN e IN ('mp3', 'wav', 'm4a', 'ogg', '3gp', 'flac') THEN 'audio' WHEN e = 'pdf' THEN 'pdf' ELSE 'transclude' END AS kind, target
+FROM (SELECT page_id, target, CASE WHEN contains(target, '.') THEN split_part(lower(target), '.', -1) END AS e FROM (SELECT page_id, {PATH} || {_EXTS} AS target FROM pages))""")
 def embed_kind(spark, sf):
     n, path = F.col("page_id") % 6, paths.url_path(F.col("url"))
     ext = F.when(n == 0, ".PNG").when(n == 1, ".mp4").when(n == 2, ".mp3").when(n == 3, ".pdf").when(n == 4, ".webp").otherwise("")
-    rows = read(spark, sf, "pages").filter(~paths.has_extension(path)).select("page_id", F.concat(path, ext).alias("target"))
+    rows = read(spark, sf, "pages").select("page_id", F.concat(path, ext).alias("target"))
     return rows.select("page_id", markup.embed_kind(F.col("target")).alias("kind"), "target")
 
 
-@query(f"WITH {LINKS} SELECT dst, src, place FROM (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY src) AS place FROM lk) WHERE place <= 10")
+@query(f"WITH {NODES} SELECT dst, src, place FROM (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY src) AS place FROM lk WHERE dst IN (SELECT slug FROM nd)) WHERE place <= 10")
 def backlinks_topk(spark, sf):
-    """Every link target's first ten referrers: the flagship query."""
-    found = links(spark, sf)
-    return relations.first_in_group(found, "dst", [F.col("src")], 10).select("dst", "src", "place")
+    """Every page's first ten referrers: the flagship query."""
+    return relations.backlinks(links(spark, sf), nodes(spark, sf), 10)
 
 
 @query(f"WITH {NODES} SELECT slug, count(src)::BIGINT AS n FROM nd LEFT JOIN lk ON dst = slug GROUP BY slug")
@@ -142,13 +142,13 @@ def valid_links(spark, sf):
 
 @query(f"""WITH {PAGES}, ln AS (SELECT slug AS src, regexp_extract(slug, '[^/]*$') AS target FROM pg UNION SELECT slug, 'nowhere' FROM pg),
 u AS (SELECT regexp_extract(slug, '[^/]*$') AS name, count(*) AS n, min(slug) AS hit FROM pg GROUP BY 1 HAVING count(*) = 1),
-r AS (SELECT src, target, hit, CASE WHEN len(list_filter(string_split(src, '/'), lambda s: s <> '')) <= 1 THEN '.' ELSE array_to_string(list_transform(range(len(list_filter(string_split(src, '/'), lambda s: s <> '')) - 1), lambda i: '..'), '/') END AS root FROM ln LEFT JOIN u ON name = target)
-SELECT src, target, CASE WHEN target = 'index' AND hit IS NULL THEN root || '/' WHEN hit IS NULL THEN root || '/' || target WHEN hit = 'index' THEN root || '/' WHEN regexp_matches(hit, '/index$') THEN root || '/' || regexp_replace(hit, 'index$', '') ELSE root || '/' || hit END AS url FROM r WHERE target <> 'index'""")
+r AS (SELECT src, target, CASE WHEN target <> 'index' THEN hit END AS hit, CASE WHEN len(list_filter(string_split(src, '/'), lambda s: s <> '')) <= 1 THEN '.' ELSE array_to_string(list_transform(range(len(list_filter(string_split(src, '/'), lambda s: s <> '')) - 1), lambda i: '..'), '/') END AS root FROM ln LEFT JOIN u ON name = target)
+SELECT src, target, CASE WHEN target = 'index' AND hit IS NULL THEN root || '/' WHEN hit IS NULL THEN root || '/' || target WHEN hit = 'index' THEN root || '/' WHEN regexp_matches(hit, '/index$') THEN root || '/' || regexp_replace(hit, 'index$', '') ELSE root || '/' || hit END AS url FROM r""")
 def shortest_link_resolution(spark, sf):
     """Links by bare names: those of one page only lead there, others stay as written."""
     p = pages(spark, sf).select("slug")
     ln = p.select(F.col("slug").alias("src"), paths.basename(F.col("slug")).alias("target")).unionByName(p.select(F.col("slug").alias("src"), F.lit("nowhere").alias("target"))).distinct()
-    return paths.resolve_links(ln.filter("target <> 'index'"), p, "shortest").select("src", "target", "url")
+    return paths.resolve_links(ln, p, "shortest").select("src", "target", "url")
 
 
 @query(f"WITH {PAGES} SELECT regexp_extract(slug, '^(.*)/[^/]*$', 1) AS folder, count(*)::BIGINT AS n FROM pg WHERE contains(slug, '/') AND NOT regexp_matches(slug, '(^|/)index$') GROUP BY 1")
@@ -182,11 +182,15 @@ def explorer_tree(spark, sf):
     return graph.tree(pages(spark, sf))
 
 
-@query(_TREE + r", k AS (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent, bool_or(path = slug) AS is_file FROM t GROUP BY ALL) SELECT path, row_number() OVER (PARTITION BY parent ORDER BY is_file, array_to_string(list_transform(regexp_extract_all(lower(regexp_extract(path, '[^/]*$')), '(\d+|\D+)'), lambda p: CASE WHEN regexp_matches(p, '^\d') THEN lpad(p, 12, '0') ELSE p END), '') COLLATE C, path) AS place FROM k".replace(" COLLATE C", ""))
+#: Numbers by their value, which the engine never computes.
+NATURAL = r"list_transform(regexp_extract_all(lower({x}), '(\d+|\D+)'), lambda p: {{'t': CASE WHEN regexp_matches(p, '^\d') THEN '0' ELSE p END, 'n': CASE WHEN regexp_matches(p, '^\d') THEN p::HUGEINT ELSE 0 END}})"
+
+
+@query(_TREE + f", k AS (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent, bool_or(path = slug) AS is_file FROM t GROUP BY ALL) SELECT path, row_number() OVER (PARTITION BY parent ORDER BY is_file, {NATURAL.format(x="regexp_extract(path, '[^/]*$')")}, path) AS place FROM k")
 def explorer_sort(spark, sf):
     """Folders before files, numbers by value."""
-    key = text.natural_key(paths.basename(F.col("path")))
-    return relations.first_in_group(graph.tree(pages(spark, sf)).withColumn("key", key), "parent", [F.col("is_file"), F.col("key"), F.col("path")], 10**9).select("path", "place")
+    rows = graph.tree(pages(spark, sf)).withColumn("key", text.natural_key(paths.basename(F.col("path"))))
+    return relations.numbered(rows, "parent", [F.col("is_file"), F.col("key"), F.col("path")]).select("path", "place")
 
 
 @query(_TREE + "SELECT DISTINCT path FROM t WHERE NOT list_contains(string_split(path, '/'), 'en')")
@@ -210,7 +214,7 @@ def tag_hierarchy(spark, sf):
 @query(f"WITH {_TAGS} SELECT tag, doc_id, place FROM (SELECT tag, tp.doc_id, row_number() OVER (PARTITION BY tag ORDER BY n_chars DESC, tp.doc_id) AS place FROM tp JOIN documents d ON d.doc_id = tp.doc_id) WHERE place <= 10")
 def tag_topk(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", "n_chars", F.array(F.concat_ws("/", "lang", "source")).alias("tags"))
-    tags = relations.page_tags(d.select("doc_id", "tags", "n_chars"), "doc_id", F.col("tags")).join(d.select("doc_id", "n_chars"), "doc_id")
+    tags = relations.page_tags(d, "doc_id", F.col("tags"), keep=("n_chars",))
     return relations.first_in_group(tags, "tag", [F.desc("n_chars"), F.col("doc_id")], 10).select("tag", "doc_id", "place")
 
 
@@ -245,8 +249,11 @@ def request_resolution(spark, sf):
     return rows.select("page_id", F.coalesce("f1", "f2").alias("file"))
 
 
-@query(f"WITH {PAGES} SELECT DISTINCT slug, lower({sql_sluggify('title')}) AS alias, CASE WHEN regexp_matches(slug, '(^|/)index$') THEN './' || regexp_replace(slug, 'index$', '') ELSE './' || slug END AS url FROM pg WHERE NOT contains(title, '/') AND NOT regexp_matches(title, '\\.')")
+_ROOT = "(CASE WHEN len(list_filter(string_split({x}, '/'), lambda s: s <> '')) <= 1 THEN '.' ELSE array_to_string(list_transform(range(len(list_filter(string_split({x}, '/'), lambda s: s <> '')) - 1), lambda i: '..'), '/') END)"
+
+
+@query(f"WITH {PAGES}, al AS (SELECT DISTINCT slug, lower({sql_sluggify('title')}) AS alias FROM pg) SELECT slug, alias, {_ROOT.format(x='alias')} || '/' || regexp_replace(regexp_replace(slug, '(^|/)index$', '\\1'), '^/', '') AS url FROM al")
 def alias_redirects(spark, sf):
-    """Each page's title as an alias at the root, and the relative URL that it leads to."""
-    rows = pages(spark, sf).filter(~F.contains("title", F.lit("/")) & ~F.contains("title", F.lit("."))).select("slug", F.lower(paths.sluggify(F.col("title"))).alias("alias")).distinct()
-    return rows.select("slug", "alias", paths.resolve_relative(F.lit("alias"), F.col("slug")).alias("url"))
+    """Each page's title as an alias, and the relative URL that it leads to."""
+    rows = pages(spark, sf).select("slug", F.lower(paths.sluggify(F.col("title"))).alias("alias")).distinct()
+    return rows.select("slug", "alias", paths.resolve_relative(F.col("alias"), F.col("slug")).alias("url"))

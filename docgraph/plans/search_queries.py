@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import refs, text
 from ..operators import relations, search
+from ..operators.tables import shared_folder
 from .tables import query, read
 
 _TERMS = ["th", "re"]
@@ -21,15 +22,39 @@ def _postings(spark, sf):
     return search.index(c, "id", {"title": text.search_tokens(title), "content": text.search_tokens(F.col("text"))})
 
 
+def _stored(spark, sf):
+    """The stored index of a session's tables: written at its first use."""
+    sc = spark.sparkContext
+    known = sc._docgraph_indexes = getattr(sc, "_docgraph_indexes", {})
+    if sf not in known:
+        known[sf] = f"{shared_folder(spark)}/index"
+        search.store(_postings(spark, sf), known[sf])
+    return search.read_index(spark, known[sf])
+
+
+@query(f"WITH {_TOK} SELECT field, count(DISTINCT token)::BIGINT AS tokens, count(*)::BIGINT AS n FROM tk GROUP BY field")
+def search_index(spark, sf):
+    """What the stored index holds."""
+    return _stored(spark, sf).groupBy("field").agg(F.countDistinct("token").alias("tokens"), F.sum("hits").alias("n"))
+
+
 @query(f"WITH {_RANK} SELECT field, id, hits, first, rank FROM rk")
 def search_basic(spark, sf):
-    """Documents in whose fields every term begins a word, the best eight of each field."""
-    return search.ranked(search.query(_postings(spark, sf), _TERMS)).select("field", "id", "hits", "first", "rank")
+    """Documents in whose fields every term begins a word, the best eight of each field, from the stored index."""
+    return search.ranked(search.query(_stored(spark, sf), _TERMS)).select("field", "id", "hits", "first", "rank")
+
+
+@query(f"WITH {_RANK} SELECT rk.field, rk.rank, c.conv_id, c.turn, c.role, c.text FROM rk JOIN conversations c ON c.conv_id * 100 + c.turn = rk.id")
+def search_records(spark, sf):
+    """Results with their records."""
+    found = search.ranked(search.query(_stored(spark, sf), _TERMS)).select("field", "rank", "id")
+    docs = read(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("key"), "conv_id", "turn", "role", "text")
+    return search.records(found, docs, "key").select("field", "rank", "conv_id", "turn", "role", "text")
 
 
 @query(f"WITH {_RANK}, x AS (SELECT id, CASE field WHEN 'title' THEN 1 ELSE 2 END::BIGINT AS prio, rank FROM rk) SELECT id, prio, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY prio, rank) AS r FROM x) WHERE r = 1")
 def search_merge(spark, sf):
-    return search.merged(search.ranked(search.query(_postings(spark, sf), _TERMS)))
+    return search.merged(search.ranked(search.query(_stored(spark, sf), _TERMS)))
 
 
 @query(rf"WITH tk AS (SELECT doc_id AS id, unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}]+'), lambda x: x <> '')) AS token, unnest(range(len(list_filter(string_split_regex(lower(text), '[^\p{{L}}]+'), lambda x: x <> '')))) AS pos FROM documents WHERE source = 'src3'), ht AS (SELECT id, count(*)::BIGINT AS hits, min(pos)::BIGINT AS first FROM tk WHERE starts_with(token, 'th') GROUP BY id) SELECT id, hits, first, row_number() OVER (ORDER BY hits DESC, first, id) AS rank FROM ht QUALIFY rank <= 8")
@@ -46,38 +71,48 @@ b AS (SELECT doc_id, n, coalesce((SELECT w2.pos FROM w w2 WHERE w2.doc_id = w.do
 
 
 def _best(spark, sf):
-    token = F.lower("token")
-    return search.best_window(read(spark, sf, "documents"), "doc_id", F.split("text", " "), token.startswith("th") | token.startswith("re"))
+    """Documents as words, n and the best window."""
+    rows = read(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("words")).filter("words is not null")
+    begins = lambda t: F.lower(t).startswith("th") | F.lower(t).startswith("re")
+    return rows.select("doc_id", "words", F.size("words").cast("long").alias("n"), search.best_window(F.col("words"), begins).alias("best"))
 
 
 @query(f"WITH {_WIN} SELECT doc_id, n::BIGINT AS n, best FROM b")
 def search_window(spark, sf):
-    return _best(spark, sf)
+    return _best(spark, sf).select("doc_id", "n", "best")
 
 
 @query(f"WITH {_WIN}, x AS (SELECT doc_id, n, greatest(best - 30, 0) AS a FROM b) SELECT x.doc_id, a::BIGINT AS start, least(a + 60, n - 1)::BIGINT AS stop, array_to_string(string_split(text, ' ')[a + 1:least(a + 60, n - 1)], ' ') AS excerpt FROM x JOIN documents d ON d.doc_id = x.doc_id")
 def search_excerpt(spark, sf):
     start, stop = search.excerpt_bounds(F.col("best"), F.col("n"))
-    rows = read(spark, sf, "documents").select("doc_id", "text").join(_best(spark, sf), "doc_id").select("doc_id", "text", start.alias("start"), stop.alias("stop"))
-    words = F.slice(F.split("text", " "), F.col("start").cast("int") + 1, F.greatest(F.col("stop") - F.col("start"), F.lit(0)).cast("int"))
+    rows = _best(spark, sf).select("doc_id", "words", start.alias("start"), stop.alias("stop"))
+    words = F.slice("words", F.col("start").cast("int") + 1, F.greatest(F.col("stop") - F.col("start"), F.lit(0)).cast("int"))
     return rows.select("doc_id", "start", "stop", F.array_join(words, " ").alias("excerpt"))
 
 
-@query("SELECT DISTINCT event_type, array_to_string(list_sort(list_distinct([event_type, 'to', 'the', event_type || ' to', event_type || ' to the']), 'ASC'), '|') AS terms FROM events")
+@query(r"""SELECT doc_id, array_to_string(list_transform(string_split(text, ' '), lambda t: CASE WHEN contains(lower(t), 'the') THEN t[1:instr(lower(t), 'the') - 1] || '<span class="highlight">' || t[instr(lower(t), 'the'):instr(lower(t), 'the') + 2] || '</span>' || t[instr(lower(t), 'the') + 3:] WHEN contains(lower(t), 're') THEN t[1:instr(lower(t), 're') - 1] || '<span class="highlight">' || t[instr(lower(t), 're'):instr(lower(t), 're') + 1] || '</span>' || t[instr(lower(t), 're') + 2:] ELSE t END), ' ') AS shown FROM documents WHERE text IS NOT NULL""")
+def search_highlight(spark, sf):
+    """Every word with the first term that it holds marked; of two terms the longer is tried first."""
+    rows = read(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("words")).filter("words is not null")
+    terms = F.array(F.lit("the"), F.lit("re"))
+    return rows.select("doc_id", F.array_join(F.transform("words", lambda w: text.highlighted(w, terms)), " ").alias("shown"))
+
+
+@query("SELECT DISTINCT event_type, array_to_string([event_type || ' to the'] || [event_type || ' to'] || list_transform(list_sort(list_transform([event_type, 'the', 'to'], lambda t: {'n': -length(t), 't': t})), lambda x: x.t), '|') AS terms FROM events")
 def search_terms(spark, sf):
-    """Words and phrases of a query; compared as a set, the order is tested apart."""
+    """Words and phrases of a query, in the order in which they are tried: longest first."""
     terms = text.search_terms(F.concat("event_type", F.lit(" to the")))
-    return read(spark, sf, "events").select("event_type", F.array_join(F.array_sort(terms), "|").alias("terms")).distinct()
+    return read(spark, sf, "events").select("event_type", F.array_join(terms, "|").alias("terms")).distinct()
 
 
-#: Texts with references that the documents lack: each document is said to refer to articles by its id and length.
-_REF = "rf AS (SELECT doc_id, 'See [[Article ' || doc_id % 99 + 1 || ']] and Article ' || n_chars % 120 || '(1) of the act; Article 6 and 7' AS body FROM documents)"
+#: References that the documents lack stand behind their whole texts: each is said to refer to articles by its id and length.
+_REF = "rf AS (SELECT doc_id, coalesce(text, '') || ' See [[Article ' || doc_id % 99 + 1 || ']] and Article ' || n_chars % 120 || '(1) of the act; Article 6 and 7' AS body FROM documents)"
 
 
 def _bodies(spark, sf):
     d = read(spark, sf, "documents")
     s = lambda c: c.cast("string")
-    body = F.concat(F.lit("See [[Article "), s(F.col("doc_id") % 99 + 1), F.lit("]] and Article "), s(F.col("n_chars") % 120), F.lit("(1) of the act; Article 6 and 7"))
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit(" See [[Article "), s(F.col("doc_id") % 99 + 1), F.lit("]] and Article "), s(F.col("n_chars") % 120), F.lit("(1) of the act; Article 6 and 7"))
     return d.select("doc_id", body.alias("body"))
 
 
@@ -90,7 +125,7 @@ def ref_extract(spark, sf):
     return rows.select("doc_id", F.array_join(refs.numbers(F.col("body")).cast("array<string>"), ",").alias("articles"), F.array_join(F.regexp_extract_all("body", F.lit(refs.BRACKETED), F.lit(1)), ",").alias("bracketed"))
 
 
-@query(f"WITH {_REF}, x AS (SELECT doc_id, unnest({_NUM}) AS article FROM rf) SELECT article::BIGINT AS article, array_to_string(list_sort(list(doc_id::VARCHAR)), ', ') AS items, count(*)::BIGINT AS n FROM x GROUP BY article")
+@query(f"WITH {_REF}, x AS (SELECT doc_id::VARCHAR AS d, unnest({_NUM})::BIGINT AS article FROM rf) SELECT article, part, string_agg(d, ', ' ORDER BY d) AS items, count(*)::BIGINT AS n FROM (SELECT *, (row_number() OVER (PARTITION BY article ORDER BY d) - 1) // 1000 AS part FROM x) GROUP BY ALL")
 def inverted_index(spark, sf):
     from ..sources.sinks import grouped_lines
 
@@ -127,7 +162,7 @@ def theta_regex_join(spark, sf):
     return found.select("doc_id", F.col("article").cast("long").alias("article"))
 
 
-_RUL = r"""ru AS (SELECT item_id, '1. Article ' || item_id % 5 || ' holds. ' || split_part(text, ' ', 1) || chr(10) || '2. No more.' || chr(10) || '3. Article ' || item_id % 5 || ' and Article ' || item_id % 7 || '.' AS ruling FROM benchmark),
+_RUL = r"""ru AS (SELECT item_id, '1. Article ' || item_id % 5 || ' holds. ' || text || chr(10) || '2. No more.' || chr(10) || '3. Article ' || item_id % 5 || ' and Article ' || item_id % 7 || '.' AS ruling FROM benchmark),
 pt AS (SELECT item_id, trim(p) AS rule, pos FROM (SELECT item_id, unnest(ps) AS p, unnest(range(len(ps))) AS pos FROM (SELECT item_id, list_filter(list_transform(string_split_regex(chr(10) || ruling, '\n\s*\d+\.\s+'), lambda p: trim(p)), lambda p: p <> '') AS ps FROM ru))),
 nm AS (SELECT item_id, rule, pos, unnest(list_distinct(list_transform(regexp_extract_all(rule, 'Article\s+(\d+)', 1), lambda x: x::BIGINT))) AS article FROM pt)"""
 
@@ -135,7 +170,7 @@ nm AS (SELECT item_id, rule, pos, unnest(list_distinct(list_transform(regexp_ext
 def _rulings(spark, sf):
     s = lambda c: c.cast("string")
     b, i = read(spark, sf, "benchmark"), F.col("item_id")
-    ruling = F.concat(F.lit("1. Article "), s(i % 5), F.lit(" holds. "), F.split_part("text", F.lit(" "), F.lit(1)), F.lit("\n2. No more.\n3. Article "), s(i % 5), F.lit(" and Article "), s(i % 7), F.lit("."))
+    ruling = F.concat(F.lit("1. Article "), s(i % 5), F.lit(" holds. "), F.col("text"), F.lit("\n2. No more.\n3. Article "), s(i % 5), F.lit(" and Article "), s(i % 7), F.lit("."))
     return b.select("item_id", ruling.alias("ruling"))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import resolve_relative, slugify_file_path
 from ..functions.text import escape_html, rss_date
+from ..operators.relations import numbered
+from .vault import split_front
 
 
 def content_index(pages: DataFrame, with_empty: bool = False) -> DataFrame:
@@ -48,9 +50,19 @@ def host(base: Column) -> Column:
     return F.parse_url(F.concat(F.lit("https://"), base), F.lit("HOST"))
 
 
-def grouped_lines(rows: DataFrame, group: str, item: str) -> DataFrame:
-    """group and its distinct items joined in order: the rows of an inverted or forward report."""
-    return rows.groupBy(group).agg(F.array_join(F.sort_array(F.collect_set(F.col(item).cast("string"))), ", ").alias("items"), F.countDistinct(item).alias("n"))
+CHUNK_ITEMS = 1000  #: items of a line of a report
+
+
+def grouped_lines(rows: DataFrame, group: str, item: str, chunk: int = CHUNK_ITEMS) -> DataFrame:
+    """group, part, items and n: a report's lines, each with at most ``chunk`` of the group's distinct items, joined in order of their text.
+
+    Items are numbered within their group by ranges, so a group of any size is spread over tasks and lines; a sink writes the parts
+    of a group one after another.
+    """
+    each = rows.select(group, F.col(item).cast("string").alias("_item")).distinct()
+    placed = numbered(each, group, [F.col("_item")], "_place").withColumn("part", F.floor((F.col("_place") - 1) / F.lit(chunk)).cast("long"))
+    lines = placed.groupBy(group, "part").agg(F.array_sort(F.collect_list("_item")).alias("_all"))
+    return lines.select(group, "part", F.array_join("_all", ", ").alias("items"), F.size("_all").cast("long").alias("n"))
 
 
 def splice(text: Column, heading: str, section: Column) -> Column:
@@ -74,3 +86,21 @@ def changed_rows(before: DataFrame, after: DataFrame, key: str, value: str) -> D
     """A change log of a copy-on-write rewrite: rows whose value differs."""
     old = before.select(key, F.col(value).alias("before"))
     return after.select(key, F.col(value).alias("after")).join(old, key).filter(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def rewrites(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
+    """What a rewrite in place would write, as a new dataset: each changed row under its key, and what it was under the key with ``.backup``."""
+    log = changed_rows(before, after, key, value)
+    backup = log.select(F.concat(key, F.lit(".backup")).alias(key), F.col("before").alias(value))
+    return log.select(key, F.col("after").alias(value)).unionByName(backup)
+
+
+def write_pages(pages: DataFrame, folder: str) -> None:
+    """One folder a page (slug, value), named by its slug; missing folders are made."""
+    pages.select("slug", "value").write.partitionBy("slug").option("lineSep", "\n").text(folder)
+
+
+def front_dump(files: DataFrame) -> DataFrame:
+    """path and entry: the front matter of every file that has some, under its path."""
+    front, _ = split_front(F.col("value"))
+    return files.select("path", front.alias("_front")).filter("_front <> ''").select("path", F.concat(F.lit("## "), "path", F.lit("\n"), "_front").alias("entry"))

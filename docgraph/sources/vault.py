@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,41 @@ def read_files(spark: SparkSession, folder: str, pattern: str = "*.md", ignore:
     return rows
 
 
+def ignored(path: Column, rules: list[str]) -> Column:
+    """Whether the lines of a .gitignore leave a path out: the last rule that fits decides, ``!`` takes back, a folder's rule holds below it."""
+    out = F.lit(False)
+    for line in rules:
+        rule = line.rstrip()
+        if not rule or rule.startswith("#"):
+            continue
+        keep, rule = rule.startswith("!"), rule.removeprefix("!").removeprefix("\\")
+        out = F.when(path.rlike(_rule(rule)), F.lit(not keep)).otherwise(out)
+    return out
+
+
+def _rule(rule: str) -> str:
+    """A .gitignore rule as a pattern of paths below the folder that holds it."""
+    folder, rule = rule.endswith("/"), rule.rstrip("/")
+    anchored, rule = "/" in rule, rule.removeprefix("/")
+    out, i = "", 0
+    while i < len(rule):
+        if rule.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif rule.startswith("**", i):
+            out, i = out + ".*", i + 2
+        elif rule[i] == "*":
+            out, i = out + "[^/]*", i + 1
+        elif rule[i] == "?":
+            out, i = out + "[^/]", i + 1
+        elif rule[i] == "[" and "]" in rule[i + 2 :]:
+            end = rule.index("]", i + 2)
+            inner = rule[i + 1 : end].replace("\\", r"\\")
+            out, i = out + ("[^" + inner[1:] if inner[0] in "!^" else "[" + inner) + "]", end + 1
+        else:
+            out, i = out + re.escape(rule[i]), i + 1
+    return ("^" if anchored else "^(?:.*/)?") + out + ("/" if folder else "(?:/|$)")
+
+
 def read_assets(spark: SparkSession, folder: str) -> DataFrame:
     """path and length of files that aren't pages; no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
