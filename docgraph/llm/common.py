@@ -2,31 +2,73 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import written
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; only where that is unset, a temporary one is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="docgraph-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/docgraph-{uuid.uuid4().hex}"
+BATCH_ROWS = 1000  #: rows of an Arrow batch while a table is written
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Texts are long: batches of fewer rows than Spark's default, so that tasks hold less of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before) if int(before) > 0 else BATCH_ROWS, BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet to the shared folder and read it again.
-
-    The written table survives the loss of any executor.  An empty table keeps its schema.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Cut lineage by a table in the shared folder, written in small batches."""
+    with small_batches(df.sparkSession):
+        return written(df, name)
+
+
+def release() -> None:
+    """Give memory that is free back to the system, which a worker that waits for its next task would keep."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(work: Callable) -> Callable:
+    """``work`` (on batches, or on a group's table), after which its memory is given back."""
+
+    @functools.wraps(work)
+    def run(x):
+        out = work(x)
+        if isinstance(out, pa.Table):
+            release()
+            return out
+        return _then_release(out)
+
+    return run
+
+
+def _then_release(batches: Iterator) -> Iterator:
+    try:
+        yield from batches
+    finally:
+        release()
+
+
+def packed(a: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(a).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, kind, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, size * np.dtype(kind).itemsize, "zstd"), kind)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,22 +8,18 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def connected_components(links: DataFrame, rounds: int = 60, partly: bool = False) -> DataFrame:
+def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node of ``links`` (a, b); component is the least node that links reach.
 
-    ``partly`` stops after ``rounds`` with what has come together by then: nodes of one component are connected, but
-    a long chain may still be in parts.
-
     Links may point either way, repeat, or join a node to itself; none may be null.  No links give no rows.  Each round
     is two aggregations and joins over the links that are left, written to the shared folder; nothing is collected.
+    Rounds grow as the logarithm of the longest chain; after ``rounds`` of them, beyond any chain there can be, it raises.
     """
     edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "links")
-    for k in range(rounds + 1):
-        if partly and k == rounds:
-            break
+    for _ in range(rounds):
         heads = edges.select(F.col("u").alias("head")).distinct()
-        crossed = None if partly else edges.groupBy("v").agg(F.count("*").alias("n")).join(heads, F.col("v") == F.col("head"), "left").filter("n > 1 or head is not null")
-        if crossed is not None and crossed.isEmpty():  # every node hangs on one that hangs on none
+        crossed = edges.groupBy("v").agg(F.count("*").alias("n")).join(heads, F.col("v") == F.col("head"), "left").filter("n > 1 or head is not null")
+        if crossed.isEmpty():  # every node hangs on one that hangs on none
             break
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
@@ -34,6 +30,21 @@ def connected_components(links: DataFrame, rounds: int = 60, partly: bool = Fals
         edges = materialize(small, "links")
     else:
         raise RuntimeError("components have not settled")
-    low = edges.groupBy("v").agg(F.min("u").alias("u")).select(F.col("v").alias("node"), F.col("u").alias("component"))
     heads = edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
-    return low.unionByName(heads.join(low, "node", "left_anti") if partly else heads)
+    return edges.groupBy("v").agg(F.min("u").alias("u")).select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(heads)
+
+
+def roots(parents: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, root) of every node that has a parent in the forest ``parents`` (a, b), where b < a; a node's parents beyond the least are left out.
+
+    Each round halves every way to a root by one join; rounds grow as the logarithm of the longest way.
+    """
+    at = materialize(parents.filter("b < a").groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), "roots")
+    for _ in range(rounds):
+        up = at.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        new = at.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        new = materialize(new, "roots")
+        at = new.select("node", "root")
+        if new.filter("moved").isEmpty():
+            return at
+    raise RuntimeError("roots have not settled")

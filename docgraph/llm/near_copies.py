@@ -6,16 +6,14 @@ table of fixed size counts the n-grams of all documents, and hashes break ties.
 
 Equal sets are one set.  Sets with equal prefix and size are one group; groups meet at the n-grams of their prefixes
 and pass filters on size, position and number shared.  First each group goes to the one that it shares most with, and
-each member to its group's first.  These links are verified and bind components.  Groups that meet first or next, unverified,
-bind families, perhaps not wholly; a member's family is its group's.  What is
-left is verified in two ways, so that no link between components is lost: the members of a family that isn't wholly one
-component are compared block by block, where each set travels once for each block of its family and only links
+each member to its group's first: a forest, whose roots are families.  Its links are verified, and the roots of what holds are
+labels.  What is left is verified in two ways, so that no link between labels is lost: the members of a family with
+several labels are compared block by block, where each set travels once for each block of its family and only links
 come out; group pairs between families are expanded to members, pair by pair.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialize
-from .components import connected_components
+from .common import by_bytes, materialize, packed, releasing, unpacked
+from .components import connected_components, roots
 
 COUNTERS, SLICES = 1 << 22, 64
 BLOOM_BITS = 1 << 27  #: at most; a filter that gets full passes more and loses nothing
 CHUNK = 2 << 20
+BLOCK_SETS, BLOCK_BYTES = 512, 32 << 20  #: most that a block of a family holds, whichever is less, but one set
+PAIRS = 1 << 19  #: group pairs that a task holds
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -61,7 +61,7 @@ class Shingler:
 
     def ngrams(self, texts: list) -> tuple[np.ndarray, list[tuple[int, int]], dict[int, np.ndarray]]:
         """Hashes of all n-grams of whole texts one after another, each text's part, and the hash of texts shorter than an n-gram."""
-        if len(self.numbers) > 400_000:
+        if len(self.numbers) > 200_000:
             self.numbers = _Numbers()
         words, parts, short = [], [], {}
         for i, text in enumerate(texts):
@@ -106,55 +106,67 @@ def common_least(size, percent: int):
     return np.minimum(required(size, percent), 2 + size // 20)
 
 
-def _sum_slices(table: pa.Table) -> pa.Table:
-    total = np.zeros(COUNTERS // SLICES, np.int64)
-    for x in table["counts"]:
-        total += np.frombuffer(zlib.decompress(x.as_py()), np.int32)
-    return pa.table({"slice": pa.array([table["slice"][0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-
 def frequency_classes(docs: DataFrame, words: int) -> np.ndarray:
-    """A class for each counter: how far the n-grams it counts, over all documents, exceed what chance puts there.  Four megabytes at any size."""
+    """A class for each counter: how far the n-grams it counts, over all documents, exceed what chance puts there.
+
+    Tasks send their counters by slices; a slice's counters are summed one by one as they come, and its classes, four
+    megabytes of them in all at any size, go to the driver.
+    """
+    width = COUNTERS // SLICES
 
     def run(batches):
-        counts, shingler = np.zeros(COUNTERS, np.int64), Shingler(words)
+        counts, shingler = np.zeros(COUNTERS, np.uint32), Shingler(words)
         for b in batches:
             texts = b["text"].to_pylist()
             for s, e in by_bytes(texts, CHUNK):
                 h, parts, short = shingler.ngrams(texts[s:e])
-                h = np.concatenate([*(h[i:j] for i, j in parts), *short.values()])
-                counts += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        if counts.any():
-            parts = counts.reshape(SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(p.astype(np.int32).tobytes(), 1) for p in parts], pa.binary())], names=["slice", "counts"])
-
-    rows = docs.select("text").mapInArrow(run, "slice int, counts binary").groupBy("slice").applyInArrow(_sum_slices, "slice int, counts binary")
-    slices = {r.slice: np.frombuffer(r.counts, np.int64) for r in rows.toLocalIterator()}
-    mean = sum(int(x.sum()) for x in slices.values()) / COUNTERS
-    usual, out = mean + 4 * mean**0.5 + 8, np.zeros((SLICES, COUNTERS // SLICES), np.uint8)
-    for i, x in slices.items():
-        out[i] = np.where(x > usual, 1 + 2 * np.log2(np.maximum(x / usual, 1)), 0)
+                for own in (*(h[i:j] for i, j in parts), *short.values()):
+                    np.add.at(counts, (own % np.uint64(COUNTERS)).astype(np.int64), 1)
+        for i, part in enumerate(counts.reshape(SLICES, -1)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed(part)], pa.binary())], names=["slice", "counts"])
+
+    def merge(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, x in zip(b["slice"].to_pylist(), b["counts"], strict=True):
+                total.setdefault(i, np.zeros(width, np.int64))
+                total[i] += unpacked(x.as_py(), np.uint32, width)
+        for i, x in total.items():
+            middle = float(np.median(x))  # no n-gram, however frequent, moves it
+            usual = middle + 4 * middle**0.5 + 8
+            classes = np.where(x > usual, 1 + 2 * np.log2(np.maximum(x / usual, 1)), 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([classes.tobytes()], pa.binary())], names=["slice", "classes"])
+
+    rows = docs.select("text").mapInArrow(releasing(run), "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(merge, "slice int, classes binary")
+    out = np.zeros((SLICES, width), np.uint8)
+    for r in rows.collect():  # SLICES rows
+        out[r.slice] = np.frombuffer(r.classes, np.uint8)
     return out.ravel()
 
 
+_SIGNED = "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, prefix binary"
+
+
 def _signatures(docs: DataFrame, words: int, percent: int, classes) -> DataFrame:
-    """doc_id, n, sig (of the set), prefix (hashes in the common order)."""
+    """doc_id, n, a signature of the set (s1, s2), one of its prefix (p1, p2) and the prefix (hashes in the common order)."""
 
     def run(batches):
         shingler, order = Shingler(words), classes.value
         for b in batches:
             texts = b["text"].to_pylist()
-            n, sig, prefix = [], [], []
+            n, sign, prefix = [], [], []
             for s, e in by_bytes(texts, CHUNK):
                 for h in shingler.sets(texts[s:e]):
-                    n.append(len(h))
-                    sig.append(np.array([h.sum(), np.bitwise_xor.reduce(_mix(h * _M1)) if len(h) else 0], np.uint64).tobytes())
                     rank = order[(h % np.uint64(COUNTERS)).astype(np.int64)]
-                    size = len(h) - required(len(h), percent) + int(common_least(len(h), percent))
-                    prefix.append(h[np.argsort(rank, kind="stable")[: size if len(h) else 0]].tobytes())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.binary())], names=["doc_id", "n", "sig", "prefix"])
+                    size = len(h) - required(len(h), percent) + int(common_least(len(h), percent)) if len(h) else 0
+                    n.append(len(h))
+                    prefix.append(h[np.argsort(rank, kind="stable")[:size]].tobytes())
+                    sign.append(xxhash.xxh3_128_digest(h.tobytes()) + xxhash.xxh3_128_digest(prefix[-1]))
+            four = np.frombuffer(b"".join(sign), "<i8").reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), *(pa.array(four[:, k]) for k in range(4)), pa.array(prefix, pa.binary())], names=["doc_id", "n", "s1", "s2", "p1", "p2", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig binary, prefix binary")
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), _SIGNED)
 
 
 _POSTINGS = "bucket int, token binary, grp binary, n binary, pos binary"
@@ -200,6 +212,7 @@ def _shared(percent: int):
         keep = np.append(same, False) | np.append(False, same)
         token, grp, n, pos = token[keep], grp[keep], n[keep], pos[keep]
         order = np.lexsort((grp, n, token))
+        order = order[np.append(True, np.diff(token[order]) | np.diff(grp[order]) | np.diff(n[order]) != 0)[: len(order)]]  # a repeated row's are one
         token, grp, n, pos = token[order], grp[order], n[order], pos[order]
         # the nearest sizes stand beside; where they don't fit, none does, and two alone have to fit wholly
         beside = (token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:])
@@ -229,10 +242,9 @@ def _shared(percent: int):
 
 
 def _rest(percent: int):
-    """Group pairs of each run of postings (sorted by token) that aren't wholly within one component or one family, with how often they meet."""
+    """Group pairs of each run of postings (sorted by token) that aren't wholly within one label or one family, with how often they meet."""
 
-    def of_run(grp, n, pos, low, high, family) -> np.ndarray:
-        out = []
+    def of_run(grp, n, pos, low, high, family) -> Iterator[np.ndarray]:
         for s in range(0, len(grp), 1024):  # blocks, so that memory stays bounded
             i = np.arange(s, min(s + 1024, len(grp)))
             end = int(np.searchsorted(n, n[i[-1]] * 100 // percent, side="right"))
@@ -244,36 +256,42 @@ def _rest(percent: int):
                 a, b = np.nonzero(ok)
                 i_, j_ = i[a], j[b]
                 a, b = grp[i_], grp[j_]
-                out.append(np.stack([np.minimum(a, b), np.maximum(a, b), common_least(np.minimum(n[i_], n[j_]), percent)], 1))
-        return np.concatenate(out)
-
-    def flush(held):
-        grp = np.concatenate([h[1] for h in held])
-        token = np.concatenate([h[0] for h in held])
-        rest = [np.concatenate([h[k] for h in held]) for k in range(2, 7)]
-        cuts = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
-        found = [of_run(grp[s:e], *(c[s:e] for c in rest)) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield np.stack([np.minimum(a, b), np.maximum(a, b), common_least(np.minimum(n[i_], n[j_]), percent)], 1)
+
+    def flush(found: list[np.ndarray]):
         pairs, count = np.unique(np.concatenate(found), axis=0, return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2]), pa.array(count.astype(np.int64))], names=["g", "h", "least", "shared"])
 
     def run(batches):
-        held: list[tuple] = []
-        for b in batches:
-            x = tuple(np.array(b[c], np.int64) for c in ("token", "grp", "n", "pos", "low", "high", "family"))
-            if not len(x[0]):
-                continue
-            cut = int(np.searchsorted(x[0], x[0][-1]))  # the last run may go on
-            if held and (cut or held[-1][0][-1] != x[0][0]):
-                if held[-1][0][-1] != x[0][0]:
-                    yield flush(held)
-                    held = []
-            if cut:
-                held.append(tuple(c[:cut] for c in x))
-                yield flush(held)
-                held = []
-            held.append(tuple(c[cut:] for c in x))
-        if held:
-            yield flush(held)
+        held, found, size = [], [], 0
+
+        def runs(final: bool):
+            """Pairs of the runs that are whole; what may go on stays held."""
+            nonlocal held
+            columns = [np.concatenate([h[k] for h in held]) for k in range(7)] if held else [np.empty(0, np.int64)] * 7
+            token = columns[0]
+            cuts = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token)) if len(token) else np.zeros(1, np.int64)
+            whole = cuts if final else cuts[:-1]
+            held = [] if final or not len(token) else [tuple(c[cuts[-2] :] for c in columns)]
+            for s, e in zip(whole[:-1], whole[1:], strict=True):
+                yield from of_run(*(c[s:e] for c in columns[1:]))
+
+        def pairs():
+            for b in batches:
+                if b.num_rows:
+                    held.append(tuple(np.array(b[c], np.int64) for c in ("token", "grp", "n", "pos", "low", "high", "family")))
+                    if held[0][0][0] != held[-1][0][-1]:
+                        yield from runs(False)
+            yield from runs(True)
+
+        for p in pairs():
+            found.append(p)
+            size += len(p)
+            if size > PAIRS:
+                yield flush(found)
+                found, size = [], 0
+        if found:
+            yield flush(found)
 
     return run
 
@@ -281,23 +299,28 @@ def _rest(percent: int):
 def _bloom(ids: DataFrame, count: int):
     """A bit table that holds the ids, of at most BLOOM_BITS bits."""
     bits = min(BLOOM_BITS, 1 << max(14, (16 * max(count, 1)).bit_length()))
+    width = bits // 8 // SLICES
 
     def run(batches):
-        table = np.zeros(bits, np.int8)
+        table = np.zeros(bits // 8, np.uint8)
         for b in batches:
             for k in _bloom_places(np.array(b["id"], np.int64), bits):
-                table[k] = 1
-        for i, p in enumerate(np.packbits(table).reshape(SLICES, -1)):
+                np.bitwise_or.at(table, k >> 3, (128 >> (k & 7)).astype(np.uint8))
+        for i, p in enumerate(table.reshape(SLICES, -1)):
             if p.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([p.tobytes()], pa.binary())], names=["slice", "counts"])
-
-    def merged(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint8) for x in table["counts"].to_pylist()]
-        return pa.table({"slice": pa.array([table["slice"][0].as_py()], pa.int32()), "counts": pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed(p)], pa.binary())], names=["slice", "bits"])
 
-    out = np.zeros((SLICES, bits // 8 // SLICES), np.uint8)
-    for r in ids.select("id").mapInArrow(run, "slice int, counts binary").groupBy("slice").applyInArrow(merged, "slice int, counts binary").collect():
-        out[r.slice] = np.frombuffer(r.counts, np.uint8)
+    def merge(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, x in zip(b["slice"].to_pylist(), b["bits"], strict=True):
+                total[i] = total.get(i, 0) | unpacked(x.as_py(), np.uint8, width)
+        for i, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["slice", "bits"])
+
+    out = np.zeros((SLICES, width), np.uint8)
+    for r in ids.select("id").mapInArrow(run, "slice int, bits binary").repartition(SLICES, "slice").mapInArrow(merge, "slice int, bits binary").collect():  # 16 MB at most
+        out[r.slice] = np.frombuffer(r.bits, np.uint8)
     return out.ravel(), bits
 
 
@@ -307,27 +330,22 @@ def _bloom_places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def _sets_of(docs: DataFrame, words: int, model) -> DataFrame:
-    """doc_id and set (five bytes of each hash, in order) of the documents that the bit table holds."""
+    """doc_id and set (hashes in order) of the documents that the bit table holds."""
 
     def run(batches):
         shingler, (table, bits) = Shingler(words), model.value
         for b in batches:
-            ids = np.array(b["doc_id"].fill_null(-1), np.int64)
+            ids = np.array(b["doc_id"], np.int64)
             hit = np.ones(len(ids), bool)
             for k in _bloom_places(ids, bits):
                 hit &= (table[k >> 3] >> (7 - (k & 7))) & 1 > 0
             rows = np.flatnonzero(hit)
             texts = [b["text"][i].as_py() for i in rows]
-            sets = [np.unique(h >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for s, e in by_bytes(texts, CHUNK) for h in shingler.sets(texts[s:e])]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(sets, pa.binary())], names=["doc_id", "set"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set binary")
-
+            for s, e in by_bytes(texts, CHUNK):
+                sets = [h.tobytes() for h in shingler.sets(texts[s:e])]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows[s:e]]), pa.array(sets, pa.binary())], names=["doc_id", "set"])
 
-def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(releasing(run), "doc_id long, set binary")
 
 
 def _pair_places(pairs: DataFrame, star: int = 2000) -> DataFrame:
@@ -338,13 +356,13 @@ def _pair_places(pairs: DataFrame, star: int = 2000) -> DataFrame:
     return spread.unionByName(hubs).select("doc_id", F.col("b").alias("home"), F.lit(-1).alias("s"), "i", F.lit(-1).alias("t"), F.lit(0).alias("j"), "side")
 
 
-def _block_places(members: DataFrame, percent: int, block: int = 512) -> DataFrame:
+def _block_places(members: DataFrame, percent: int) -> DataFrame:
     """Where sets go for families (rep, n, family): classes of size are split into blocks; blocks meet in their class and with the next.
 
     A set that is similar to one of class s is of class s - 1 to s + 1.
     """
     m = members.withColumn("s", F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int"))
-    size = m.groupBy("family", "s").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("k"))
+    size = m.groupBy("family", "s").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK_SETS), F.sum("n") * F.lit(8.0 / BLOCK_BYTES))).cast("int").alias("k"))
     at = m.join(size, ["family", "s"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
     same = at.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
         "rep", "family", "s", F.least("own", "j").alias("i"), F.col("s").alias("t"), F.greatest("own", "j").alias("j"), F.lit(0).alias("side")
@@ -363,7 +381,7 @@ def _overlaps(sets: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
     _, name, count = np.unique(flat, return_inverse=True, return_counts=True)
     keep = count[name] > 1
     name, owner = np.unique(name[keep], return_inverse=True)[1], owner[keep]
-    out = np.zeros((len(sets), len(sets)), np.float32)
+    out = np.zeros((len(sets), len(sets)))
     order = np.argsort(name, kind="stable")
     name, owner = name[order], owner[order]
     for low in range(0, int(name[-1]) + 1 if len(name) else 0, width):
@@ -395,8 +413,8 @@ def _verified(docs: DataFrame, dest: DataFrame, words: int, percent: int) -> Dat
     compared with each other, and enough links come out to bind what is bound.
     """
     dest = materialize(dest, "places")
-    ids = dest.select(F.col("doc_id").alias("id")).distinct()
-    model = docs.sparkSession.sparkContext.broadcast(_bloom(ids, ids.count()))
+    ids = dest.select(F.col("doc_id").alias("id"))
+    model = docs.sparkSession.sparkContext.broadcast(_bloom(ids, dest.agg(F.approx_count_distinct("doc_id")).first()[0]))
     place = ["home", "s", "i", "t", "j"]
     rows = _sets_of(docs, words, model).join(dest, "doc_id").select(*place, "side", F.col("doc_id").alias("a"), "set").repartition(*place).sortWithinPartitions(*place, "side", "a")
 
@@ -410,7 +428,7 @@ def _verified(docs: DataFrame, dest: DataFrame, words: int, percent: int) -> Dat
         for batch in batches:
             a_out, b_out = [], []
             for *here, side, a, raw in zip(*(batch[c].to_pylist() for c in (*place, "side", "a", "set")), strict=True):
-                x = _unpack(raw)
+                x = np.frombuffer(raw, "<u8")
                 if here != at:
                     if at is not None and at[3] >= 0:
                         yield blocks_done()
@@ -429,7 +447,9 @@ def _verified(docs: DataFrame, dest: DataFrame, words: int, percent: int) -> Dat
         if at is not None and at[3] >= 0:
             yield blocks_done()
 
-    return rows.mapInArrow(run, "a long, b long")
+    found = materialize(rows.mapInArrow(releasing(run), "a long, b long"), "verified")
+    model.destroy()
+    return found
 
 
 def _least_shared(percent: int):
@@ -453,11 +473,12 @@ def _apart(runs: DataFrame, percent: int, rounds: int = 1) -> DataFrame:
 
 
 def _toward(runs: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of families: of a group's to the one that most have where it shares enough n-grams."""
+    """Parents (a, b) of families: of a group's family and the one that most have where it shares enough n-grams the larger goes to the smaller."""
     count = runs.groupBy("token", "family").agg(F.count("*").alias("c"))
     most = count.groupBy("token").agg(F.max(F.struct("c", (-F.col("family")).alias("f"))).alias("m")).select("token", (-F.col("m.f")).alias("most"))
     shared = runs.join(most, "token").filter("family <> most").groupBy("grp", "family", "most").agg(F.count("*").alias("c"), F.max("n").alias("n"))
-    return shared.filter(F.col("c") >= _least_shared(percent)).select(F.col("family").alias("a"), F.col("most").alias("b"))
+    near = shared.filter(F.col("c") >= _least_shared(percent))
+    return near.select(F.greatest("family", "most").alias("a"), F.least("family", "most").alias("b")).groupBy("a").agg(F.min("b").alias("b"))
 
 
 def near_copy_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -466,51 +487,59 @@ def near_copy_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     Documents link when the Jaccard similarity of their sets of word n-grams is at least ``percent`` / 100; a component's
     id is the least doc_id that links reach.  With fewer words than an n-gram has, the whole sequence is one; without
     words or text a set is empty and linked with nothing.  A row with a null doc_id is kept, linked
-    with nothing, and its component is null.  doc_id is taken for a key: a row that repeats it with another
-    text gets the component of one of these texts.  Repeated rows repeat.  An empty table gives no rows.  Other columns
-    are ignored.
+    with nothing, and its component is null.  Rows with one doc_id are one document with the links of all their texts, and
+    each has the size of its own.  Repeated rows repeat.  An empty table gives no rows.  Other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     classes = spark.sparkContext.broadcast(frequency_classes(docs, words))
     signed = materialize(_signatures(docs, words, percent, classes), "signatures")
+    classes.destroy()
+    key = ["s1", "s2", "n"]
     known = signed.filter("n > 0 and doc_id is not null")
-    sets = known.groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-    sets = materialize(sets.withColumn("grp", F.min("rep").over(Window.partitionBy("n", "prefix"))), "sets")
-    groups = sets.filter("grp = rep").select("grp", "n", "prefix")
-    size = sets.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0]
+    reps = known.groupBy(*key, "p1", "p2").agg(F.min("doc_id").alias("rep"))
+    reps = materialize(reps, "reps")
+    firsts = reps.groupBy("p1", "p2", "n").agg(F.min("rep").alias("grp"))
+    sets = materialize(reps.join(firsts, ["p1", "p2", "n"]).select(*key, "rep", "grp"), "sets")
+    groups = known.join(sets.filter("grp = rep").select(*key, F.col("grp").alias("doc_id")), [*key, "doc_id"], "left_semi").select(F.col("doc_id").alias("grp"), "n", "prefix")
+    size = signed.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0]
     buckets = max(4, size // (4 << 20))
-    postings = groups.mapInArrow(_emit_postings(buckets), _POSTINGS).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared(percent), _SHARED)
+    postings = groups.mapInArrow(_emit_postings(buckets), _POSTINGS).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(releasing(_shared(percent)), _SHARED)
     postings = materialize(postings, "postings")
 
     met = postings.filter("hub").groupBy("grp", "token", "pos").agg(F.sum("n").alias("shared")).filter("shared >= pos")
     best = met.groupBy("grp").agg(F.max(F.struct("shared", (-F.col("token")).alias("low"))).alias("x")).select(F.col("grp").alias("a"), (-F.col("x.low")).alias("b"))
-    links = best.unionByName(sets.filter("rep <> grp").select(F.col("rep").alias("a"), F.col("grp").alias("b")))
-    links = materialize(links, "first")
-    # of groups alone, and members have their group's: what the family of two groups settles holds for all their members
-    families = materialize(connected_components(met.select(F.col("grp").alias("a"), F.col("token").alias("b")), 2, partly=True), "families")
-    linked = materialize(_verified(docs, _pair_places(links), words, percent), "linked")
-    labels = materialize(connected_components(linked, 2, partly=True), "labels")
-    named = sets.select("rep", "grp", "n").join(labels.withColumnRenamed("component", "label"), F.col("rep") == F.col("node"), "left").drop("node")
-    named = named.join(families.withColumnRenamed("component", "family"), F.col("grp") == F.col("node"), "left").drop("node")
+    best = materialize(best, "best")
+    members = sets.filter("rep <> grp").select(F.col("rep").alias("a"), F.col("grp").alias("b"))
+    linked = _verified(docs, _pair_places(best.unionByName(members)), words, percent)
+    labels = roots(linked).withColumnsRenamed({"node": "rep", "root": "label"})
+    families = roots(best).withColumnsRenamed({"node": "grp", "root": "family"})
+    named = sets.select("rep", "grp", "n").join(labels, "rep", "left").join(families, "grp", "left")
     named = materialize(named.select("rep", "grp", "n", F.coalesce("label", "rep").alias("label"), F.coalesce("family", "grp").alias("family")), "named")
 
     span = named.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("family").alias("family"))
-    runs = materialize(_apart(_enough(postings.filter("not hub").select("token", "grp", "n", "pos"), percent).join(span, "grp"), percent), "runs")
-    joined = materialize(connected_components(_toward(runs, percent), 2, partly=True), "joined").withColumnRenamed("node", "family")
-    whole = F.coalesce("component", "family").alias("family")
+    runs = materialize(_apart(postings.filter("not hub").select("token", "grp", "n", "pos").join(span, "grp"), percent), "runs")
+    joined = roots(materialize(_toward(runs, percent), "toward")).withColumnsRenamed({"node": "family", "root": "whole"})
+    whole = F.coalesce("whole", "family").alias("family")
     named = materialize(named.join(joined, "family", "left").select("rep", "grp", "n", "label", whole), "named2")
     runs = materialize(_apart(runs.join(joined, "family", "left").select("token", "grp", "n", "pos", "low", "high", whole), percent), "runs2")
 
     split = named.groupBy("family").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("family")
-    blocks = _block_places(named.select("rep", "n", "family").join(split, "family"), percent)
-    rest = runs.repartition("token").sortWithinPartitions("token", "n", "grp").select("token", "grp", "n", "pos", "low", "high", "family").mapInArrow(_rest(percent), "g long, h long, least long, shared long")
-    rest = rest.groupBy("g", "h", "least").agg(F.sum("shared").alias("shared")).filter("shared >= least").select("g", "h")
+    blocks = _block_places(materialize(named.join(split, "family").select("rep", "n", "family"), "split"), percent)
+    rest = runs.repartition("token").sortWithinPartitions("token", "n", "grp").select("token", "grp", "n", "pos", "low", "high", "family").mapInArrow(releasing(_rest(percent)), "g long, h long, least long, shared long")
+    rest = materialize(rest.groupBy("g", "h", "least").agg(F.sum("shared").alias("shared")).filter("shared >= least").select("g", "h"), "rest")
     x, y = (named.select(F.col("grp").alias(g), F.col("rep").alias(r), F.col("label").alias(c)) for g, r, c in (("g", "b", "lb"), ("h", "a", "la")))
     more = materialize(rest.join(x, "g").join(y, "h").filter("la <> lb").select("a", "b").distinct(), "second")
     more = _verified(docs, _pair_places(more).unionByName(blocks), words, percent)
-    component = connected_components(linked.unionByName(more))
-    component = materialize(component, "components")
-    whole = sets.join(component, sets.rep == component.node, "left").select("sig", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.join(whole.filter("component_id is not null"), ["sig", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    component = materialize(connected_components(linked.unionByName(more).unionByName(_same_document(known, sets))), "components")
+    whole = sets.join(component, sets.rep == component.node, "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
+    out = signed.select("doc_id", *key).join(whole, key, "left")
+    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"))
+
+
+def _same_document(known: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between a doc_id that has several sets and their first documents."""
+    several = known.groupBy("doc_id").agg(F.min("s1").alias("l"), F.max("s1").alias("h"), F.min("s2").alias("l2"), F.max("s2").alias("h2")).filter("l <> h or l2 <> h2").select("doc_id")
+    own = materialize(known.join(several, "doc_id", "left_semi").select("doc_id", "s1", "s2", "n").distinct(), "several")
+    return own.join(sets, ["s1", "s2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
