@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, releasing
 from .suffixes import suffix_array
 
 PIECE = 1 << 20  #: bytes of a text that are hashed at once
@@ -121,7 +121,7 @@ def _bytes(text) -> bytes:
 
 _HASHES = pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), ("docs", pa.binary()), ("keys", pa.binary()), ("doc", pa.binary()), ("place", pa.binary()), ("spans", pa.binary()), ("hash", pa.binary())])
 _PARTS = pa.schema([("part", pa.int64()), ("docs", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("items", pa.binary())])
-_STRETCHES = pa.schema([("shard", pa.int64()), ("known", pa.bool_()), ("docs", pa.binary()), ("keys", pa.binary()), ("at", pa.binary()), ("windows", pa.binary()), ("which", pa.binary()), ("texts", pa.binary()), ("sizes", pa.binary())])
+_STRETCHES = pa.schema([("shard", pa.int64()), ("known", pa.bool_()), ("docs", pa.binary()), ("keys", pa.binary()), ("at", pa.binary()), ("windows", pa.binary()), ("which", pa.binary()), ("texts", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary())])
 _ITEMS = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("items", pa.binary())])
 _FLAG = np.dtype([("place", "<u4"), ("spans", "<u2")])
 _MARK = np.dtype([("at", "<u4"), ("windows", "<u8")])
@@ -260,7 +260,7 @@ def _emit_stretches(length: int, shards: int):
         for s in range(0, len(known), 50_000):
             part = known[s : s + 50_000]
             yield pa.RecordBatch.from_pylist(
-                [{"shard": -1 - serial % shards, "known": True, **_owners(part), "windows": np.array([everything >> (64 - o[3]) for o in part], "<u8").tobytes(), "which": b"", "texts": b"", "sizes": b""}],
+                [{"shard": -1 - serial % shards, "known": True, **_owners(part), "windows": np.array([everything >> (64 - o[3]) for o in part], "<u8").tobytes(), "which": b"", "texts": b"", "sizes": b"", "hashes": b""}],
                 schema=_STRETCHES,
             )
             serial += 1
@@ -304,17 +304,19 @@ def _stretch_rows(seen, extra, shards):
     for k, own in [*seen.items(), *((k, o) for k, more in extra.items() for o in more)]:
         by.setdefault(k[0] % shards, []).append((k, own))
     for shard, found in by.items():
+        found.sort(key=lambda x: x[0][0])
         number: dict[tuple[int, bytes], int] = {}
         which = [number.setdefault(k, len(number)) for k, _ in found]
+        hashes = np.array([h >> 32 for h, _ in number], np.int64)
         yield pa.RecordBatch.from_pylist(
-            [{"shard": shard, "known": False, **_owners([o for _, o in found]), "windows": b"", "which": _squeezed(np.array(which, np.int64), "<i4", True), "texts": zlib.compress(b"".join(t for _, t in number), 1), "sizes": _squeezed(np.array([len(t) for _, t in number]), "<u2")}],
+            [{"shard": shard, "known": False, **_owners([o for _, o in found]), "windows": b"", "which": _squeezed(np.array(which, np.int64), "<i4", True), "texts": zlib.compress(b"".join(t for _, t in number), 1), "sizes": _squeezed(np.array([len(t) for _, t in number]), "<u2"), "hashes": _squeezed(hashes, "<u4", True)}],
             schema=_STRETCHES,
         )
 
 
 def _sort_shard(length: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
-        docs, keys, at, which, windows, number = [], [], [], [], [], {}
+        docs, keys, at, which, number, hashes = [], [], [], [], {}, []
         sure: list[tuple] = []
         for b in table.to_batches():
             for i in range(b.num_rows):
@@ -325,14 +327,16 @@ def _sort_shard(length: int, parts: int):
                     continue
                 cuts = np.append(0, np.cumsum(_restored(row["sizes"], "<u2").astype(np.int64))).tolist()
                 text = zlib.decompress(row["texts"])
+                before = len(number)
                 names = np.array([number.setdefault(text[s:e], len(number)) for s, e in zip(cuts[:-1], cuts[1:], strict=True)], np.int64)
+                hashes.append(_restored(row["hashes"], "<u4", True)[names >= before])
                 docs.append(d)
                 keys.append(k)
                 at.append(a)
                 which.append(names[_restored(row["which"], "<i4", True)])
         if docs:
-            docs, keys, at, which = (np.concatenate(x) for x in (docs, keys, at, which))
-            windows = _marks(list(number), docs, which, length)
+            docs, keys, at, which, hashes = (np.concatenate(x) for x in (docs, keys, at, which, hashes))
+            windows = _repeats(list(number), hashes, docs, which, length)
             hit = windows > 0
             sure.append((docs[hit], keys[hit], at[hit], windows[hit]))
         ids, keys, at, windows = (np.concatenate([s[j] for s in sure]) for j in range(4))
@@ -343,6 +347,27 @@ def _sort_shard(length: int, parts: int):
     return run
 
 
+def _repeats(texts: list[bytes], hashes: np.ndarray, docs: np.ndarray, which: np.ndarray, length: int) -> np.ndarray:
+    """For each occurrence a bit for each window that a smaller document has too.
+
+    Equal windows have one anchor, so they stand in stretches of one hash: where a hash has a single stretch, all its windows
+    repeat as the stretch does, and only stretches of hashes that have several are sorted.  Hashes that agree in the part of
+    them that is sent are sorted together, which changes nothing.
+    """
+    least = np.full(len(texts), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, docs)
+    _, group, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    several = count[group] > 1
+    sizes = np.array([len(t) for t in texts], np.uint64)
+    every = np.uint64(2**64 - 1) >> (np.uint64(63) - (sizes - np.uint64(length)))
+    bits = np.where(docs > least[which], every[which], np.uint64(0))
+    on = several[which]
+    if on.any():
+        name = np.cumsum(several) - 1
+        bits[on] = _marks([t for t, s in zip(texts, several.tolist(), strict=True) if s], docs[on], name[which[on]], length)
+    return bits
+
+
 def _marks(texts: list[bytes], docs: np.ndarray, which: np.ndarray, length: int) -> np.ndarray:
     """For each occurrence (document, number of its stretch) a bit for each window that a smaller document has too."""
     least = np.full(len(texts), np.iinfo(np.int64).max)
@@ -403,7 +428,7 @@ def covered(n: int, marks: bytes | None, length: int) -> np.ndarray:
 
 def _returned(rows: DataFrame, key: str, groups: int, work, parts: int, kind: np.dtype) -> DataFrame:
     """What ``work`` finds in each group of rows, as doc_id, tkey and items."""
-    found = rows.repartition(groups, key).groupBy(key).applyInArrow(work, _spark(_PARTS))
+    found = rows.repartition(groups, key).groupBy(key).applyInArrow(releasing(work), _spark(_PARTS))
     return found.repartition(parts, "part").groupBy("part").applyInArrow(_unpacked(kind), _spark(_ITEMS))
 
 
@@ -422,9 +447,9 @@ def find_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ())
     buckets, shards = max(4, total // BUCKET_BYTES), max(4, total // SHARD_BYTES)
     firsts = info.filter(F.col("n") >= length).groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     copies = info.join(firsts.filter("copies > 1"), "sha").filter("doc_id > first_id").groupBy("doc_id", "tkey").agg(F.min("first_id").alias("first_id"))
-    hashes = docs.select("doc_id", "tkey", "text").mapInArrow(_emit_hashes(length, buckets), _spark(_HASHES))
+    hashes = docs.select("doc_id", "tkey", "text").mapInArrow(releasing(_emit_hashes(length, buckets)), _spark(_HASHES))
     places = _returned(hashes, "bucket", buckets, lambda t: _repeated(t, shards), shards, _FLAG).join(copies, ["doc_id", "tkey"], "left_anti")
-    cut = docs.join(places, ["doc_id", "tkey"], "left").mapInArrow(_emit_stretches(length, shards), _spark(_STRETCHES))
+    cut = docs.join(places, ["doc_id", "tkey"], "left").mapInArrow(releasing(_emit_stretches(length, shards)), _spark(_STRETCHES))
     marks = _returned(cut, "shard", shards, _sort_shard(length, shards), shards, _MARK).withColumnRenamed("items", "marks")
     known = marks.join(copies, ["doc_id", "tkey"], "full")
     return docs.join(known, ["doc_id", "tkey"], "left").select("doc_id", "text", *names, "marks", "first_id")
