@@ -6,8 +6,9 @@ A byte goes if a string of ``length`` bytes that covers it also starts in a docu
    anchors, so a window can only repeat where its anchor's hash does.  Hashes meet in buckets, packed, each once a batch.
 2. Around each anchor whose hash repeats, the stretch that holds just the windows of that anchor is cut out.
    Stretches of one hash meet in one shard; equal stretches of a batch travel once, with the least doc_id.
-3. A shard's stretches are sorted by external induced sorting (see ``suffixes``).  Where neighbours share ``length`` bytes, the
-   windows are equal and the least doc_id keeps its own.
+3. Where a hash has one stretch, all its documents but the least repeat it.  The others of a shard are sorted by external induced
+   sorting (see ``suffixes``).  Where neighbours share ``length`` bytes, the windows are equal and the least doc_id keeps its own.
+   A shard is read as a stream, and what grows with it is in files beyond a budget.
 4. The marks return to the documents.  Exact copies of a document are found by hash first and stay out of 2 and 3.
 """
 
@@ -24,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, releasing
-from .suffixes import suffix_array
+from .suffixes import BLOCK, BUDGET, Spool, blocks, room, suffix_array
 
 PIECE = 1 << 20  #: bytes of a text that are hashed at once
 HELD = 250_000  #: stretches that a task holds before it sends them
-BUCKET_BYTES, SHARD_BYTES = 32 << 20, 4 << 20  #: bytes of the corpus for each bucket of hashes and each shard of stretches
+BUCKET_BYTES, SHARD_BYTES = 32 << 20, 16 << 20  #: bytes of the corpus for each bucket of hashes and each shard of stretches
+PART_BYTES = 4 << 20  #: bytes of the corpus for each part that marks go back to
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -314,85 +316,145 @@ def _stretch_rows(seen, extra, shards):
         )
 
 
-def _sort_shard(length: int, parts: int):
-    def run(table: pa.Table) -> pa.Table:
-        docs, keys, at, which, number, hashes = [], [], [], [], {}, []
-        sure: list[tuple] = []
-        for b in table.to_batches():
+class _Shard:
+    """A shard's stretches and whose they are, in memory up to the budget of each array and beyond in files.
+
+    Texts are told apart while they fit; then ``whole`` says no, and a text may stand twice, which costs time and changes nothing.
+    """
+
+    def __init__(self, budget: int):
+        self.budget, self.number, self.used, self.whole = budget, {}, 0, True
+        self.docs, self.keys, self.at, self.which, self.hashes = (Spool(k, budget) for k in ("<i8", "<u4", "<u4", "<i8", "<u4"))
+        self.text, self.sizes = Spool(np.uint8, budget), Spool("<u2", budget)
+
+    def add(self, row: dict) -> None:
+        sizes, text, hashes = _restored(row["sizes"], "<u2"), zlib.decompress(row["texts"]), _restored(row["hashes"], "<u4", True)
+        cuts = np.append(0, np.cumsum(sizes.astype(np.int64))).tolist()
+        own = [text[s:e] for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+        if self.used > self.budget:
+            self.number, self.used, self.whole = {}, 0, False
+        before = self.sizes.n
+        fresh = [k for k, t in enumerate(own) if t not in self.number]
+        self.number.update((own[k], before + i) for i, k in enumerate(fresh))
+        self.used += sum(len(own[k]) + 150 for k in fresh)
+        names = np.array([self.number[t] for t in own], np.int64)
+        self.text.put(np.frombuffer(b"".join(own[k] + b"\xff" for k in fresh), np.uint8) + np.uint8(1))  # 255 is no byte of UTF-8 and becomes the end mark 0
+        self.sizes.put(sizes[fresh])
+        self.hashes.put(hashes[fresh])
+        self.which.put(names[_restored(row["which"], "<i4", True)])
+        for spool, name, kind, steps in ((self.docs, "docs", "<i8", True), (self.keys, "keys", "<u4", False), (self.at, "at", "<u4", False)):
+            spool.put(_restored(row[name], kind, steps))
+
+    def marks(self, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Blocks of (document, key, place, windows that a smaller document has too) of the occurrences that have some."""
+        docs, which = self.docs.array(), self.which.array()
+        rows = (docs, which, self.text.array(), self.sizes.array(), self.hashes.array() if self.whole else None)
+        keys, at = self.keys.array(), self.at.array()
+        self.number = {}
+        for s, e, bits in repeated_windows(*rows, length, self.budget):
+            hit = np.flatnonzero(bits)
+            yield docs[s:e][hit], keys[s:e][hit].astype(np.int64), at[s:e][hit], bits[hit]
+
+
+def _sort_shards(length: int, parts: int, budget: int = BUDGET):
+    """Work on a stream of stretches by shard, one shard at a time."""
+
+    def marked(ids, keys, at, windows) -> Iterator[pa.RecordBatch]:
+        marks = np.empty(len(ids), _MARK)
+        marks["at"], marks["windows"] = at, windows
+        yield from _packed(ids, keys, marks, parts).to_batches()
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        now, shard = None, None
+        for b in batches:
             for i in range(b.num_rows):
                 row = {c: b[c][i].as_py() for c in b.schema.names}
-                d, k, a = _restored(row["docs"], "<i8", True), _restored(row["keys"], "<u4").astype(np.int64), _restored(row["at"], "<u4")
                 if row["known"]:
-                    sure.append((d, k, a, np.frombuffer(row["windows"], "<u8")))
+                    yield from marked(_restored(row["docs"], "<i8", True), _restored(row["keys"], "<u4").astype(np.int64), _restored(row["at"], "<u4"), np.frombuffer(row["windows"], "<u8"))
                     continue
-                cuts = np.append(0, np.cumsum(_restored(row["sizes"], "<u2").astype(np.int64))).tolist()
-                text = zlib.decompress(row["texts"])
-                before = len(number)
-                names = np.array([number.setdefault(text[s:e], len(number)) for s, e in zip(cuts[:-1], cuts[1:], strict=True)], np.int64)
-                hashes.append(_restored(row["hashes"], "<u4", True)[names >= before])
-                docs.append(d)
-                keys.append(k)
-                at.append(a)
-                which.append(names[_restored(row["which"], "<i4", True)])
-        if docs:
-            docs, keys, at, which, hashes = (np.concatenate(x) for x in (docs, keys, at, which, hashes))
-            windows = _repeats(list(number), hashes, docs, which, length)
-            hit = windows > 0
-            sure.append((docs[hit], keys[hit], at[hit], windows[hit]))
-        ids, keys, at, windows = (np.concatenate([s[j] for s in sure]) for j in range(4))
-        marks = np.empty(len(ids), _MARK)
-        marks["at"], marks["windows"] = at, windows
-        return _packed(ids, keys, marks, parts)
+                if row["shard"] != now:
+                    if shard is not None:
+                        for found in shard.marks(length):
+                            yield from marked(*found)
+                    now, shard = row["shard"], _Shard(budget)
+                shard.add(row)
+        if shard is not None:
+            for found in shard.marks(length):
+                yield from marked(*found)
 
     return run
 
 
-def _repeats(texts: list[bytes], hashes: np.ndarray, docs: np.ndarray, which: np.ndarray, length: int) -> np.ndarray:
-    """For each occurrence a bit for each window that a smaller document has too.
+def repeated_windows(docs: np.ndarray, which: np.ndarray, text: np.ndarray, sizes: np.ndarray, hashes: np.ndarray | None, length: int, budget: int = BUDGET) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(start, end, bits) of blocks of occurrences: for each a bit for each window that a smaller document has too.
 
+    Occurrences are documents and numbers of stretches (``which``); ``text`` has the stretches one after another, each with its end mark.
     Equal windows have one anchor, so they stand in stretches of one hash: where a hash has a single stretch, all its windows
-    repeat as the stretch does, and only stretches of hashes that have several are sorted.  Hashes that agree in the part of
-    them that is sent are sorted together, which changes nothing.
+    repeat as the stretch does, and only stretches of hashes that have several are sorted.  Without ``hashes`` all are.  Hashes
+    that agree in the part of them that is sent are sorted together, which changes nothing.
     """
-    least = np.full(len(texts), np.iinfo(np.int64).max)
-    np.minimum.at(least, which, docs)
-    _, group, count = np.unique(hashes, return_inverse=True, return_counts=True)
-    several = count[group] > 1
-    sizes = np.array([len(t) for t in texts], np.uint64)
-    every = np.uint64(2**64 - 1) >> (np.uint64(63) - (sizes - np.uint64(length)))
-    bits = np.where(docs > least[which], every[which], np.uint64(0))
-    on = several[which]
-    if on.any():
-        name = np.cumsum(several) - 1
-        bits[on] = _marks([t for t, s in zip(texts, several.tolist(), strict=True) if s], docs[on], name[which[on]], length)
-    return bits
-
-
-def _marks(texts: list[bytes], docs: np.ndarray, which: np.ndarray, length: int) -> np.ndarray:
-    """For each occurrence (document, number of its stretch) a bit for each window that a smaller document has too."""
-    least = np.full(len(texts), np.iinfo(np.int64).max)
-    np.minimum.at(least, which, docs)
-    joined = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8) + np.uint8(1)  # 255 is no byte of UTF-8 and becomes the end mark 0
-    sizes = np.array([len(t) for t in texts], np.int64)
-    starts = np.append(0, np.cumsum(sizes + 1))[:-1]
-    first_doc = np.empty(int((sizes - length + 1).sum()), np.int64)  # of each window, in order of the text
-    base = np.append(0, np.cumsum(sizes - length + 1))[:-1]
+    n = len(sizes)
+    least = room(n, np.int64, budget)
+    least[:] = np.iinfo(np.int64).max
+    for s, e in blocks(len(docs)):
+        np.minimum.at(least, which[s:e], docs[s:e])
+    several = room(n, bool, budget)
+    if hashes is None:
+        several[:] = True
+    else:
+        _, group, count = np.unique(hashes, return_inverse=True, return_counts=True)
+        several[:] = count[group] > 1
+    first = _first_documents(text, sizes, least, several, length, budget)
+    starts = _running(n, budget, lambda s, e: np.where(several[s:e], sizes[s:e].astype(np.int64) - length + 1, 0))
+    for s, e in blocks(len(docs), BLOCK // 4):
+        own, doc = which[s:e], docs[s:e]
+        windows = sizes[own].astype(np.int64) - length + 1
+        every = np.uint64(2**64 - 1) >> (np.uint64(64) - windows.astype(np.uint64))
+        bits = np.where((doc > least[own]) & ~several[own], every, np.uint64(0))
+        for w in range(int(windows.max())):
+            on = np.flatnonzero(several[own] & (windows > w))
+            hit = first[starts[own[on]] + w] < doc[on]
+            bits[on] |= hit.astype(np.uint64) << np.uint64(w)
+        yield s, e, bits
+
+
+def _running(n: int, budget: int, of) -> np.ndarray:
+    """Sums of what is before each of n values, and of all; ``of`` gives the values of a block."""
+    out, total = room(n + 1, np.int64, budget), 0
+    for s, e in blocks(n):
+        out[s + 1 : e + 1] = total + np.cumsum(of(s, e))
+        total = int(out[e])
+    return out
+
+
+def _first_documents(text: np.ndarray, sizes: np.ndarray, least: np.ndarray, several: np.ndarray, length: int, budget: int) -> np.ndarray:
+    """The least document of each window of the stretches that ``several`` tells, one after another, by sorting their suffixes."""
+    chosen, kept, at = Spool(np.int64, budget), Spool(np.uint8, budget), 0
+    for s, e in blocks(len(sizes), BLOCK // 64):
+        each = sizes[s:e].astype(np.int64) + 1
+        end = at + int(each.sum())
+        kept.put(text[at:end][np.repeat(several[s:e], each)])
+        chosen.put(np.flatnonzero(several[s:e]) + s)
+        at = end
+    chosen, joined = chosen.array(), kept.array()
+    starts = _running(len(chosen), budget, lambda s, e: sizes[chosen[s:e]].astype(np.int64) + 1)
+    base = _running(len(chosen), budget, lambda s, e: sizes[chosen[s:e]].astype(np.int64) - length + 1)
+    first = room(int(base[-1]), np.int64, budget)
     carry: tuple | None = None
 
-    def settle(owner, spot, lcp):
-        new = lcp < length
+    def settle(owner, spot, run):
+        new = run < length
         new[0] = True
         group = np.cumsum(new) - 1
-        low = np.minimum.reduceat(least[owner], np.flatnonzero(new))
-        first_doc[spot] = low[group]
+        low = np.minimum.reduceat(least[chosen[owner]], np.flatnonzero(new))
+        first[spot] = low[group]
 
-    owners = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
-    for sa, lcp in suffix_array(joined, length):
-        owner = owners[sa]
+    for sa, lcp in suffix_array(joined, length, budget):
+        owner = np.searchsorted(starts, sa, side="right") - 1
         place = sa - starts[owner]
         # a suffix in between that is no window has no common prefix of this length with its neighbours
         run = np.minimum(lcp, length).astype(np.int64)
-        ok = place + length <= sizes[owner]
+        ok = np.flatnonzero(place + length < starts[owner + 1] - starts[owner])
         owner, spot, run = owner[ok], base[owner[ok]] + place[ok], run[ok]
         if carry is not None:
             owner, spot, run = np.append(carry[0], owner), np.append(carry[1], spot), np.append(carry[2], run)
@@ -405,13 +467,7 @@ def _marks(texts: list[bytes], docs: np.ndarray, which: np.ndarray, length: int)
         carry = owner[cut:], spot[cut:], run[cut:]
     if carry is not None and len(carry[0]):
         settle(*carry)
-    bits = np.zeros(len(docs), np.uint64)
-    n = (sizes - length + 1)[which]
-    for w in range(int(n.max())):
-        on = n > w
-        hit = first_doc[base[which[on]] + w] < docs[on]
-        bits[on] |= hit.astype(np.uint64) << np.uint64(w)
-    return bits
+    return first
 
 
 def covered(n: int, marks: bytes | None, length: int) -> np.ndarray:
@@ -426,10 +482,9 @@ def covered(n: int, marks: bytes | None, length: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _returned(rows: DataFrame, key: str, groups: int, work, parts: int, kind: np.dtype) -> DataFrame:
-    """What ``work`` finds in each group of rows, as doc_id, tkey and items."""
-    found = rows.repartition(groups, key).groupBy(key).applyInArrow(releasing(work), _spark(_PARTS))
-    return found.repartition(parts, "part").groupBy("part").applyInArrow(_unpacked(kind), _spark(_ITEMS))
+def _by_parts(found: DataFrame, parts: int, kind: np.dtype) -> DataFrame:
+    """What was found, as doc_id, tkey and items."""
+    return found.repartition(parts, "part").groupBy("part").applyInArrow(releasing(_unpacked(kind)), _spark(_ITEMS))
 
 
 def find_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -444,13 +499,15 @@ def find_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ())
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     info = materialize(docs.select("doc_id", "tkey", F.sha2(text, 256).alias("sha"), F.octet_length(text).alias("n")), "texts")
     total = info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets, shards = max(4, total // BUCKET_BYTES), max(4, total // SHARD_BYTES)
+    buckets, shards, parts = max(4, total // BUCKET_BYTES), max(4, total // SHARD_BYTES), max(4, total // PART_BYTES)
     firsts = info.filter(F.col("n") >= length).groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     copies = info.join(firsts.filter("copies > 1"), "sha").filter("doc_id > first_id").groupBy("doc_id", "tkey").agg(F.min("first_id").alias("first_id"))
     hashes = docs.select("doc_id", "tkey", "text").mapInArrow(releasing(_emit_hashes(length, buckets)), _spark(_HASHES))
-    places = _returned(hashes, "bucket", buckets, lambda t: _repeated(t, shards), shards, _FLAG).join(copies, ["doc_id", "tkey"], "left_anti")
+    flags = hashes.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(releasing(lambda t: _repeated(t, parts)), _spark(_PARTS))
+    places = _by_parts(flags, parts, _FLAG).join(copies, ["doc_id", "tkey"], "left_anti")
     cut = docs.join(places, ["doc_id", "tkey"], "left").mapInArrow(releasing(_emit_stretches(length, shards)), _spark(_STRETCHES))
-    marks = _returned(cut, "shard", shards, _sort_shard(length, shards), shards, _MARK).withColumnRenamed("items", "marks")
+    sorted_ = cut.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(releasing(_sort_shards(length, parts)), _spark(_PARTS))
+    marks = _by_parts(sorted_, parts, _MARK).withColumnRenamed("items", "marks")
     known = marks.join(copies, ["doc_id", "tkey"], "full")
     return docs.join(known, ["doc_id", "tkey"], "left").select("doc_id", "text", *names, "marks", "first_id")
 
