@@ -1,13 +1,13 @@
 """SentencePiece encoding with seeded merge dropout, and decoding.
 
 Byte-pair merges of a published SentencePiece model are taken from an agenda, best score first and leftmost among
-equals.  Each candidate merge is skipped if a keyed hash of (seed, unit, variant, its place) falls below the dropout
-rate, so a text has many segmentations, each reproducible, and all decode to the text.
+equals.  Each candidate merge is skipped if a keyed hash of (seed, document, place of the unit, place of the merge) falls below the dropout
+rate, so every occurrence of a word has its own segmentation, each is reproducible, and all decode to the text.
 
 A unit is a run of spaces with the word behind it; no piece of the vocabulary reaches from a word into a space, so units are
-segmented apart.  Each occurrence of a unit draws one of ``variants`` by a hash of document and place; within a
-chunk equal (unit, variant) are segmented once.  Units of like length run through the agenda together as arrays, one
-merge of each in a round.
+segmented apart.  What a unit becomes depends on nothing but which of its possible merges are skipped: for short units these are
+the bits of a number, and within a chunk equal (unit, number) are segmented once.  Units of like length run through the
+agenda together as arrays, one merge of each in a round.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from .common import by_bytes
 SPACE = "▁"
 NEVER = np.int32(2**31 - 1)
 CHUNK, LONG = 1 << 20, 64
+SHORT = 11  #: characters of a unit whose merges have a bit each: SHORT * (SHORT - 1) / 2 of 64
+MEMO = 200_000  #: units whose possible merges a task remembers
 _UNIT = re.compile(" +[^ ]*|[^ ]+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -37,6 +39,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _bit(start, end):
+    """The number of the part start..end of a short unit."""
+    return (end - 1) * (end - 2) // 2 + start
+
+
+def _happens(salts, start, end, rate):
+    """What the keyed hash says of the merge of characters start..end."""
+    h = _mix(salts + (start.astype(np.uint64) << np.uint64(32) | end.astype(np.uint64)) * _M1)
+    return (h >> np.uint64(11)).astype(np.float64) >= rate * 2.0**53
+
+
 class MergeModel:
     """Pieces and merges of a BPE model with byte fallback.
 
@@ -80,6 +93,7 @@ class MergeModel:
                     keys.append(a << 22 | b)
                     ranks.append(rank)
         self._table(np.array(keys, np.int64), np.array(ranks, np.int32))
+        self.plain, self.memo = plain, {}
 
     def _table(self, keys: np.ndarray, ranks: np.ndarray) -> None:
         """Open addressing with linear probes."""
@@ -115,32 +129,54 @@ class MergeModel:
             left = left[~hit & (found != -1)]
         return out
 
+    def possible(self, unit: str) -> int:
+        """A bit for each part of a short unit that is a piece, so that a merge may make it."""
+        bits = self.memo.get(unit)
+        if bits is None:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            bits, plain, text = 0, self.plain, unit.replace(" ", SPACE) if SPACE not in unit else None
+            if text is None:  # a space sign of the text itself is no piece
+                text = unit.replace(SPACE, "\0").replace(" ", SPACE)
+            for j in range(2, len(text) + 1):
+                base = _bit(0, j)
+                for i in range(j - 1):
+                    if text[i:j] in plain:
+                        bits |= 1 << (base + i)
+            self.memo[unit] = bits
+        return bits
+
     def segment(self, units: list[str], salts: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of all units, one after another, and how many each has."""
+        """Piece ids of all units, one after another, and how many each has.
+
+        ``salts`` of units of up to SHORT characters are the bits of the merges that are skipped; of longer ones, keys of the hash
+        that tells.
+        """
         size = np.array([len(u) for u in units])
         flat = self.char_ids[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
         starts = np.append(0, np.cumsum(size))
         out: list = [None] * len(units)
-        groups = np.where(size <= 8, 8, np.where(size <= 16, 16, np.where(size <= 32, 32, np.where(size <= LONG, LONG, 0))))
-        for width in (8, 16, 32, LONG):
+        groups = np.select([size <= 6, size <= SHORT, size <= 16, size <= 32, size <= LONG], [6, SHORT, 16, 32, LONG], 0)
+        for width in (6, SHORT, 16, 32, LONG):
             members = np.flatnonzero(groups == width)
             for s in range(0, len(members), 50_000):
                 rows = members[s : s + 50_000]
                 grid = np.arange(width)[None] < size[rows][:, None]
                 symbols = np.full((len(rows), width), -1, np.int32)
                 symbols[grid] = flat[(starts[rows][:, None] + np.arange(width))[grid]]
-                self._agenda(rows, symbols, size[rows], salts[rows], rate, out)
+                self._agenda(rows, symbols, size[rows], salts[rows], rate, out, width <= SHORT)
         for i in np.flatnonzero(groups == 0):
             out[i] = self.segment_one(flat[starts[i] : starts[i + 1]], salts[i], rate)
         counts = np.array([len(x) for x in out])
         return np.concatenate(out) if out else np.empty(0, np.int32), counts
 
-    def _kept(self, salts, start, end, rate):
-        """Whether the keyed hash lets the merge of characters start..end happen."""
-        h = _mix(salts + (start.astype(np.uint64) << np.uint64(32) | end.astype(np.uint64)) * _M1)
-        return (h >> np.uint64(11)).astype(np.float64) >= rate * 2.0**53
+    def _kept(self, salts, start, end, rate, short: bool):
+        """Whether the merge of characters start..end happens."""
+        if short:
+            return (salts >> _bit(start, end).astype(np.uint64)) & np.uint64(1) == 0
+        return _happens(salts, start, end, rate)
 
-    def _agenda(self, rows, symbols, size, salts, rate, out) -> None:
+    def _agenda(self, rows, symbols, size, salts, rate, out, short) -> None:
         n, width = symbols.shape
         ends = np.broadcast_to(np.arange(1, width + 1, dtype=np.int32), (n, width)).copy()
         rank = np.full((n, width), NEVER, np.int32)  # of the merge of a symbol with the next
@@ -149,7 +185,7 @@ class MergeModel:
         rank[i, j] = self.merge_ranks(symbols[i, j], symbols[i, j + 1])
         hit = np.flatnonzero(rank[i, j] != NEVER)
         i, j = i[hit], j[hit]
-        drop = ~self._kept(salts[i], j, j + 2, rate)
+        drop = ~self._kept(salts[i], j, j + 2, rate, short)
         rank[i[drop], j[drop]] = NEVER
         columns = np.arange(width)
         while n:
@@ -180,18 +216,19 @@ class MergeModel:
                 found = self.merge_ranks(symbols[r, a], symbols[r, a + 1])
                 some = np.flatnonzero(found != NEVER)
                 begin = np.where(a[some] > 0, ends[r[some], np.maximum(a[some] - 1, 0)], 0)
-                kept = self._kept(salts[r[some]], begin, ends[r[some], a[some] + 1], rate)
+                kept = self._kept(salts[r[some]], begin, ends[r[some], a[some] + 1], rate, short)
                 found[some[~kept]] = NEVER
                 rank[r, a] = found
 
     def segment_one(self, symbols: np.ndarray, salt, rate: float) -> np.ndarray:
-        """The same agenda for one long unit, with a heap over linked symbols."""
+        """The same agenda for one unit, with a heap over linked symbols."""
         import heapq
 
         n = len(symbols)
+        short = n <= SHORT
         sym, before, after, end = symbols.tolist(), list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1))
         first = self.merge_ranks(symbols[:-1], symbols[1:])
-        kept = self._kept(np.full(max(n - 1, 0), salt, np.uint64), np.arange(n - 1), np.arange(2, n + 1), rate)
+        kept = self._kept(np.full(max(n - 1, 0), salt, np.uint64), np.arange(n - 1), np.arange(2, n + 1), rate, short)
         heap = [(int(r), i, i + 1, i + 2) for i, (r, k) in enumerate(zip(first, kept, strict=True)) if r != NEVER and k]
         heapq.heapify(heap)
         while heap:
@@ -206,7 +243,7 @@ class MergeModel:
             for a, b in ((before[i], i), (i, after[i])):
                 if a >= 0 and b < n:
                     q = int(self.merge_ranks(np.array([sym[a]]), np.array([sym[b]]))[0])
-                    if q != NEVER and self._kept(np.array([salt], np.uint64), np.array([a]), np.array([end[b]]), rate)[0]:
+                    if q != NEVER and self._kept(np.array([salt], np.uint64), np.array([a]), np.array([end[b]]), rate, short)[0]:
                         heapq.heappush(heap, (q, a, b, end[b]))
         return np.array([s for s in sym if s >= 0], np.int32)
 
@@ -236,8 +273,8 @@ def load_model(path: str) -> MergeModel:
     return MergeModel(path)
 
 
-def encode_texts(model: MergeModel, texts: list, names: list, seed: int, rate: float, variants: int) -> list[np.ndarray]:
-    """Ids of each whole text; ``names`` key the draw of variants, so a text's segmentation depends on nothing else."""
+def encode_texts(model: MergeModel, texts: list, names: list, seed: int, rate: float) -> list[np.ndarray]:
+    """Ids of each whole text; ``names`` key the hashes, so a text's segmentation depends on nothing else."""
     number: dict[str, int] = {}
     owner, which = [], []
     for t in texts:
@@ -249,11 +286,17 @@ def encode_texts(model: MergeModel, texts: list, names: list, seed: int, rate: f
     units, which, owner = list(number), np.array(which), np.array(owner)
     key = np.array([zlib.crc32(str(n).encode()) for n in names], np.uint64)
     place = np.arange(len(which)) - np.repeat(np.cumsum(owner) - owner, owner)
-    draw = _mix(np.repeat(key, owner) * _M1 + place.astype(np.uint64) + np.uint64(seed & 0xFFFFFFFF) * _M2) % np.uint64(variants)
-    both, back = np.unique(which * variants + draw.astype(np.int64), return_inverse=True)
-    unit_hash = np.array([zlib.crc32(u.encode("utf-8", "surrogatepass")) for u in units], np.uint64)
-    salts = _mix(unit_hash[both // variants] * _M1 + (both % variants).astype(np.uint64) * _M2 + np.uint64(seed & 0xFFFFFFFF))
-    ids, counts = model.with_bytes(*model.segment([units[u] for u in (both // variants).tolist()], salts, rate))
+    salts = _mix(_mix(np.repeat(key, owner) * _M1 + place.astype(np.uint64)) + np.uint64(seed & 0xFFFFFFFF) * _M2)
+    short = np.array([len(u) <= SHORT for u in units])
+    bits = np.array([model.possible(u) if s else 0 for u, s in zip(units, short.tolist(), strict=True)], np.uint64)
+    state = np.where(short[which], _skipped(salts, bits[which], rate), salts if rate > 0 else np.uint64(0))
+    # equal (unit, state) once
+    order = np.lexsort((state, which))
+    first = np.append(True, (which[order][1:] != which[order][:-1]) | (state[order][1:] != state[order][:-1]))
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(first) - 1
+    one = order[first]
+    ids, counts = model.with_bytes(*model.segment([units[u] for u in which[one].tolist()], state[one], rate))
     starts = np.append(0, np.cumsum(counts))[:-1]
     size = counts[back]
     ends = np.cumsum(size)
@@ -262,7 +305,22 @@ def encode_texts(model: MergeModel, texts: list, names: list, seed: int, rate: f
     return [flat[s:e] for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, seed: int = 1, rate: float = 0.1, variants: int = 16, digest: bool = False) -> DataFrame:
+def _skipped(salts: np.ndarray, bits: np.ndarray, rate: float) -> np.ndarray:
+    """Of the possible merges of each occurrence (``bits``) those that its hash skips."""
+    out = np.zeros(len(salts), np.uint64)
+    if rate <= 0:
+        return out
+    for end in range(2, SHORT + 1):
+        for start in range(end - 1):
+            k = np.uint64(_bit(start, end))
+            on = np.flatnonzero(bits >> k & np.uint64(1))
+            if len(on):
+                skip = on[~_happens(salts[on], np.array([start]), np.array([end]), rate)]
+                out[skip] |= np.uint64(1) << k
+    return out
+
+
+def encode_documents(docs: DataFrame, path: str | None = None, seed: int = 1, rate: float = 0.1, digest: bool = False) -> DataFrame:
     """doc_id and ids of every row of ``docs`` (doc_id, text); with ``digest`` n_tokens, ids_crc32, decoded_crc32 and lossless instead.
 
     A null or empty text has no ids and decodes to an empty one.  A null doc_id is kept; repeated rows repeat.  An empty
@@ -275,7 +333,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, seed: int = 1, ra
         for b in batches:
             names, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
             for s, e in by_bytes(texts, CHUNK):
-                found = encode_texts(model, texts[s:e], names[s:e], seed, rate, variants)
+                found = encode_texts(model, texts[s:e], names[s:e], seed, rate)
                 ids = pa.array(names[s:e], pa.int64())
                 if not digest:
                     yield pa.RecordBatch.from_arrays([ids, pa.array([f.tolist() for f in found], pa.list_(pa.int32()))], names=["doc_id", "ids"])
