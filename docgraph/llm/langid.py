@@ -19,31 +19,34 @@ from .common import held_out
 
 #: n-grams in a profile, longest n-gram, and documents of each language that profiles are made of.
 PROFILE, LONGEST, SAMPLE = 300, 5, 500
-_BITS = 12
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @lru_cache(1)
 def _codes() -> np.ndarray:
-    """Code point to letter code: 0 for no letter, the code point itself below 2048, else folded into 2048..4094."""
+    """Code point to letter code: the code point of a letter, 0 for what is none."""
     points = np.arange(sys.maxunicode + 1)
     letter = np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
-    return np.where(letter, np.where(points < 2048, points, 2048 + points % 2047), 0).astype(np.int64)
+    return np.where(letter, points, 0).astype(np.uint32)
 
 
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a whole text, as ascending keys, and their counts; empty without letters."""
-    c = _codes()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-    c = np.concatenate(([0], c, [0]))
+    """Distinct n-grams of a whole text, as ascending keys (64-bit hashes), and their counts; empty without letters."""
+    c = _codes()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint64)
+    c = np.concatenate(([np.uint64(0)], c, [np.uint64(0)]))
     c = c[(c > 0) | np.concatenate(([True], c[:-1] > 0))]  # one blank between words
     if not c.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    letter, key, inner = c > 0, c, np.ones(len(c), bool)
-    parts = [c[letter] | 1 << 60]
+    letter, inner = c > 0, np.ones(len(c), bool)
+    key = (c + np.uint64(1)) * _ODD
+    parts = [key[letter]]
     for n in range(2, LONGEST + 1):
-        key = key[:-1] << _BITS | c[n - 1 :]
+        key = (key[:-1] ^ (key[:-1] >> np.uint64(29))) * _ODD + c[n - 1 :] + np.uint64(n)
         inner = inner[:-1] & letter[n - 2 : -1] if n > 2 else inner[:-1]
-        parts.append(key[inner] | n << 60)
+        parts.append(key[inner])
     key = np.concatenate(parts)
+    key ^= key >> np.uint64(32)
+    key = key.view(np.int64)
     key.sort()
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     return key[first], np.diff(np.append(first, len(key)))
