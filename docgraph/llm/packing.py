@@ -1,11 +1,13 @@
 """Packing by lexical retrieval: sequences are filled with documents that BM25 finds near.
 
 Token ids are made once and written; document frequencies, number and mean length are counted over all documents.  Each
-task packs the documents of its partition shard by shard.  A shard has an inverted index over token ids, weighted by the
-corpus's counts; the window's seed document asks it for unused neighbours, which fill the window in order of their
-scores.  Documents of other shards are not asked for.  The last one is
-cut at the window's end, and what is left of it is the next seed, so only a partition's last sequence has padding.
-No document is shuffled and a task holds one shard at a time.
+document's heaviest term (by its BM25 weight, of those that another document has too) deals it to its shard, whatever file it came from, so
+documents of one matter meet.  A term that would fill more than a shard is split by the documents' hashes.
+
+A shard has an inverted index over token ids, weighted by the corpus's counts; the window's seed document asks it for unused
+neighbours, which fill the window in order of their scores.  Documents of other shards are not asked for.  The last one is
+cut at the window's end, and what is left of it is the next seed.  A partition's last window is cut at powers of two, so nothing is
+padded.  A task holds one shard at a time.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, releasing
 
 WINDOW, SHARD_TOKENS = 1024, 1 << 21
+PARTITION_SHARDS = 2  #: shards that a partition holds, about
+DENSE = 8  #: a term of more than one of so many documents of a shard has a row of weights instead of a list
 SPECIAL = "<|endoftext|>"
 K1, B = 1.2, 0.75
 NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -90,17 +94,25 @@ class Index:
         idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
         norm = K1 * (1 - B + B * size / mean).astype(np.float32)
         weight = idf[place] * tf * (K1 + 1) / (tf + norm[doc])
-        order = np.argsort(place, kind="stable")
-        self.postings, self.weights = doc[order], weight[order]
-        self.lists = np.append(0, np.cumsum(held))
         self.n = len(docs)
+        frequent = held * DENSE > self.n
+        self.row = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        self.rows = np.zeros((int(frequent.sum()), self.n), np.float32)
+        on = frequent[place]
+        self.rows[self.row[place[on]], doc[on]] = weight[on]
+        order = np.flatnonzero(~on)
+        order = order[np.argsort(place[order], kind="stable")]
+        self.postings, self.weights = doc[order], weight[order]
+        self.lists = np.append(0, np.cumsum(np.where(frequent, 0, held)))
 
     def neighbours(self, doc: int, used: np.ndarray, most: int) -> np.ndarray:
         """Unused documents that share a term, best first, ties by place; ``most`` at least where there are so many."""
         terms = self.own[self.bounds[doc] : self.bounds[doc + 1]]
+        row = self.row[terms]
+        dense, terms = self.rows[row[row >= 0]].sum(0), terms[row < 0]
         start, size = self.lists[terms], self.lists[terms + 1] - self.lists[terms]
         at = np.repeat(start - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
-        score = np.bincount(self.postings[at], weights=self.weights[at], minlength=self.n)
+        score = np.bincount(self.postings[at], weights=self.weights[at], minlength=self.n) + dense
         score[used] = 0
         found = np.flatnonzero(score)
         if len(found) > most:
@@ -112,18 +124,39 @@ class Packer:
     """Fills windows; the open one goes on from shard to shard."""
 
     def __init__(self, first_id: int):
-        self.sequence, self.filled, self.rows = first_id, 0, []
+        self.sequence, self.filled, self.rows, self.open = first_id, 0, [], []
+
+    def _row(self, doc, ids: np.ndarray, start: int, take: int, offset: int) -> None:
+        self.rows.append((doc, start, take, zlib.crc32(ids[start : start + take].astype("<u4").tobytes()), len(ids), self.sequence, offset))
 
     def put(self, doc, ids: np.ndarray, start: int, count: int) -> int:
         """Place up to ``count`` ids from ``start`` in the open window; returns how many found room."""
         take = min(count, WINDOW - self.filled)
-        piece = ids[start : start + take]
-        self.rows.append((doc, start, take, zlib.crc32(piece.astype("<u4").tobytes()), len(ids), self.sequence, self.filled))
+        self.open.append((doc, ids, start, take))
         self.filled += take
         if self.filled == WINDOW:
-            self.sequence, self.filled = self.sequence + 1, 0
+            offset = 0
+            for doc, ids, start, n in self.open:
+                self._row(doc, ids, start, n, offset)
+                offset += n
+            self.sequence, self.filled, self.open = self.sequence + 1, 0, []
         return take
 
+    def finish(self) -> None:
+        """The open window as sequences whose lengths are powers of two."""
+        left = self.filled
+        pieces, self.open, self.filled = self.open[::-1], [], 0
+        while left:
+            size, offset = 1 << (left.bit_length() - 1), 0
+            while offset < size:
+                doc, ids, start, n = pieces.pop()
+                take = min(n, size - offset)
+                self._row(doc, ids, start, take, offset)
+                offset += take
+                if take < n:
+                    pieces.append((doc, ids, start + take, n - take))
+            self.sequence, left = self.sequence + 1, left - size
+
 
 def pack_shard(packer: Packer, names: list, docs: list[np.ndarray], corpus: Statistics | None = None) -> None:
     """Place every id of every document: seeds in order, each followed by its unused neighbours."""
@@ -157,6 +190,25 @@ def pack_shard(packer: Packer, names: list, docs: list[np.ndarray], corpus: Stat
             queue = []
 
 
+def heaviest_term(ids: np.ndarray, corpus: Statistics) -> int:
+    """The term with the largest BM25 weight in a document, of those that another has too, the smaller of equals; -1 without one."""
+    terms, tf = np.unique(ids, return_counts=True)
+    df = corpus.df[terms]
+    weight = np.log1p((corpus.n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / corpus.mean))
+    weight[df < 2] = -1
+    at = int(weight.argmax())
+    return int(terms[at]) if weight[at] >= 0 else -1
+
+
+_MIX = 0x9E3779B97F4A7C15
+
+
+def _place(term: int, raw: bytes, parts: int) -> int:
+    """Where a document goes: by its term, and if that is split by a hash of its ids."""
+    h = (term + 2) * _MIX + (zlib.crc32(raw) % parts if parts > 1 else 0) * 0xBF58476D1CE4E5B9
+    return (h & (1 << 64) - 1) >> 33
+
+
 def pack_documents(docs: DataFrame, model: str | None = None, ranks: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """NAMES of every piece of every row of ``docs`` (doc_id, text): sequences of at most WINDOW ids.
 
@@ -186,7 +238,7 @@ def pack_documents(docs: DataFrame, model: str | None = None, ranks: str | None
                     df = np.append(df, np.zeros(top + 1, np.int64))
                 df[ids] += 1  # once for an id, however often it is there
                 tokens += len(ids)
-                out.append(ids.astype("<u4").tobytes())
+                out.append(_stored(ids))
             n += len(out)
             none = pa.nulls(len(out), pa.int64())
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(out, pa.binary()), none, none], schema=written)
@@ -194,13 +246,24 @@ def pack_documents(docs: DataFrame, model: str | None = None, ranks: str | None
         columns = [pa.nulls(len(terms) + 2, pa.int64()), pa.nulls(len(terms) + 2, pa.binary()), pa.array(np.append(terms, (-1, -2))), pa.array(np.append(df[terms], (n, tokens)))]
         yield pa.RecordBatch.from_arrays(columns, schema=written)
 
+    def dealt(batches) -> Iterator[pa.RecordBatch]:
+        stats = corpus.value
+        for b in batches:
+            raws = b["ids"].to_pylist()
+            places = []
+            for raw in raws:
+                term = heaviest_term(_loaded(raw), stats)
+                most = stats.df[term] if term >= 0 else stats.n  # no more documents than these go by this term
+                places.append(_place(term, raw, int(most * stats.mean // shard_tokens) + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), b["doc_id"], b["ids"]], names=["place", "doc_id", "ids"])
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
         packer, whole = Packer(base), Packer(base | 1 << 39)
         names, held, tokens = [], [], 0
         for b in batches:
             for doc, raw in zip(b["doc_id"].to_pylist(), b["ids"], strict=True):
-                ids = np.frombuffer(raw.as_py(), "<u4")
+                ids = _loaded(raw.as_py())
                 for start in range(0, len(ids) // WINDOW * WINDOW, WINDOW):
                     whole.put(doc, ids, start, WINDOW)
                 names.append(doc)
@@ -213,10 +276,25 @@ def pack_documents(docs: DataFrame, model: str | None = None, ranks: str | None
                     names, held, tokens = [], [], 0
         if held:
             pack_shard(packer, names, held, corpus.value)
+        packer.finish()
         yield drain(packer)
         yield drain(whole)
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encoded, "doc_id long, ids binary, term long, c long")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(encoded), "doc_id long, ids binary, term long, c long")
     ids = materialize(ids, "ids")
-    corpus = docs.sparkSession.sparkContext.broadcast(corpus_statistics(ids.filter("term is not null").select("term", "c")))
-    return ids.filter("term is null").select("doc_id", "ids").mapInArrow(run, ", ".join(f"{n} long" for n in NAMES))
+    stats = corpus_statistics(ids.filter("term is not null").select("term", "c"))
+    corpus = docs.sparkSession.sparkContext.broadcast(stats)
+    parts = max(1, int(stats.n * stats.mean) // (PARTITION_SHARDS * shard_tokens))
+    placed = ids.filter("term is null").select("doc_id", "ids").mapInArrow(dealt, "place long, doc_id long, ids binary")
+    met = placed.repartition(parts, "place").sortWithinPartitions("place", "doc_id").select("doc_id", "ids")
+    return met.mapInArrow(releasing(run), ", ".join(f"{n} long" for n in NAMES))
+
+
+def _stored(ids: np.ndarray) -> bytes:
+    """Ids as they are written: two bytes each where all fit, else four; the last byte tells."""
+    small = int(ids.max()) < 1 << 16
+    return ids.astype("<u2" if small else "<u4").tobytes() + (b"\2" if small else b"\4")
+
+
+def _loaded(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if raw[-1] == 2 else "<u4", (len(raw) - 1) // raw[-1]).astype(np.uint32)
