@@ -18,7 +18,7 @@ from .common import held_out
 
 SYMBOLS, UPPER, DIGITS, STOPS = b"#*$%&|<>", bytes(range(65, 91)), bytes(range(48, 58)), b".,;:?"
 FEATURES = ("bias", "symbols", "capitals", "digits", "bangs", "stops", "ends", "short", "long", "repeated", "same_words", "mean_word")
-SAMPLE_DOCS, CONTENT_SHARE, LEAST_WORDS = 3000, 0.5, 50
+SAMPLE_DOCS, SAMPLE_LINES, CONTENT_SHARE, LEAST_WORDS = 3000, 256, 0.5, 50
 _SPACES = b" \t\n\x0b\x0c\r"
 
 
@@ -114,8 +114,8 @@ def fit_crf(texts: list[tuple[np.ndarray, np.ndarray]], steps: int = 150, rate:
     return Crf(w, t)
 
 
-def train_crf(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Crf:
-    """Fit on at most ``sample_docs`` labelled documents that aren't held out: those with the smallest hashed doc_id.
+def train_crf(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> Crf:
+    """Fit on at most ``sample_docs`` labelled documents that aren't held out, those with the smallest hashed doc_id, and of each on its first ``sample_lines`` lines.
 
     The lines of a document of quality 1 are content, but for those that equal an earlier line; other lines are
     boilerplate.  Rows with a null doc_id, text or quality teach nothing.
@@ -125,13 +125,13 @@ def train_crf(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS
     def lines(batches):
         for b in batches:
             for doc, quality, text in zip(b["doc_id"].to_pylist(), b["quality"].to_pylist(), b["text"].to_pylist(), strict=True):
-                x = text_lines(text)[0]
+                x = text_lines(text)[0][:sample_lines]
                 y = (x[:, FEATURES.index("repeated")] == 0) & (quality >= 1)
                 yield pa.RecordBatch.from_pylist([{"doc_id": doc, "x": x.tobytes(), "y": y.astype(np.int8).tobytes()}], schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("x", pa.binary()), ("y", pa.binary())])
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    rows = sorted(sample.mapInArrow(lines, "doc_id long, x binary, y binary").collect())  # the lines of sample_docs documents at most
+    rows = sorted(sample.mapInArrow(lines, "doc_id long, x binary, y binary").collect())  # 100 bytes for each of sample_docs x sample_lines lines at most
     return fit_crf([(np.frombuffer(r.x, float).reshape(-1, len(FEATURES)), np.frombuffer(r.y, np.int8)) for r in rows])
 
 
