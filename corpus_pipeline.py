@@ -1,13 +1,17 @@
 """The corpus pipeline: classify, judge lines, drop near copies, cut repeated passages, pack.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes what a stage returns as Parquet to the
-shared folder and the next stage reads it.  All stages but the last return the columns of ``documents``.  Nulls, empty
-texts, repeated rows and empty tables fare as the operators say; columns beyond those of ``documents`` are dropped.
+shared folder and the next stage reads it.  All stages but the last return the columns of ``documents``.
+
+A null or empty text has too few words for the quality rules and goes there, if the classifier kept it.  A null doc_id is no copy of
+anything and loses no passage.  Repeated rows are one document: the Jaccard join keeps one of them.  Very long texts are read whole by every
+stage.  Ties of scores and of texts are broken as the operators say.  An empty table gives no rows.  Columns beyond those of
+``documents``, whatever their names, are dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docgraph.llm.boilerplate import label_documents, train_crf
@@ -39,10 +43,19 @@ def keep_content(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each component the document with the least doc_id stays."""
+    """N-gram Jaccard join: of each component the document with the least doc_id stays, of its rows, if it has several, the one with the first text.
+
+    Rows without a doc_id are documents of their own and stay.  What goes or has to be chosen from is told by doc_id in one table, so texts
+    move once.
+    """
     docs = docs.select(*COLUMNS)
-    others = near_copy_classes(docs, words=5, percent=80).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    classes = near_copy_classes(docs, words=5, percent=80).filter("doc_id is not null")
+    told = classes.groupBy("doc_id").agg(F.min(F.when(F.col("component_id") < F.col("doc_id"), "copy").otherwise("several")).alias("why"), F.count("*").alias("n"))
+    told = materialize(told.filter("why = 'copy' or n > 1").select("doc_id", "why"), "told")
+    known = docs.join(told, "doc_id", "left")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars"))
+    chosen = known.filter("why = 'several'").withColumn("place", first).filter("place = 1")
+    return known.filter("why is null").select(*COLUMNS).unionByName(chosen.select(*COLUMNS))
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
