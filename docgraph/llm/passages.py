@@ -20,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -243,77 +242,129 @@ def _repeated(table: pa.Table, parts: int) -> pa.Table:
     return _packed(ids[hit], keys[hit], flags[hit], parts)
 
 
-def stretches(raw: bytes, flags: bytes, length: int) -> Iterator[tuple[int, int, int]]:
-    """(hash, first window, last window) around each flagged anchor."""
-    k = gram(length)
+def stretches(raw_size: int, flags: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first window, last window) of the stretch around each flagged anchor of a text."""
     found = np.unique(np.frombuffer(flags, _FLAG))
     place, spans = found["place"].astype(np.int64), found["spans"].astype(np.int64)
-    for p, a, z in zip(place.tolist(), (place - (spans >> 6)).tolist(), (place - (spans & 63)).tolist(), strict=True):
-        if z + length <= len(raw) and a >= 0:  # else of another row with this key
-            yield xxhash.xxh3_64_intdigest(raw[p : p + k]), a, z
+    a, z = place - (spans >> 6), place - (spans & 63)
+    ok = (z + length <= raw_size) & (a >= 0)  # else of another row with this key
+    return place[ok], a[ok], z[ok]
+
+
+class _Held:
+    """Stretches of a task that wait to be sent, equal ones together."""
+
+    def __init__(self, length: int):
+        self.length, self.raws, self.parts, self.used, self.n = length, [], [], 0, 0
+
+    def add(self, doc: int, key: int, raw: bytes, flags: bytes) -> None:
+        place, a, z = stretches(len(raw), flags, self.length)
+        if len(place):
+            self.parts.append((np.full(len(place), doc), np.full(len(place), key), place + self.used, a, a + self.used, z - a + 1))
+            self.raws.append(raw)
+            self.used += len(raw)
+            self.n += len(place)
+
+    def groups(self):
+        """Occurrences (document, key, place) in groups of equal stretches, least document first, with the groups' hash and text.
+
+        Returns doc, key, at, windows, group; and of each group its hash, where its text begins, and its size.
+        """
+        text = np.frombuffer(b"".join(self.raws) + b"\0" * 8, np.uint8)
+        doc, key, place, at, begin, windows = (np.concatenate([p[k] for p in self.parts]) for k in range(6))
+        words = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
+        size = windows + self.length - 1
+        h = _hashed(words, place, np.full(len(place), gram(self.length)))
+        whole = _hashed(words, begin, size)
+        order = np.lexsort((doc, whole, h))
+        doc, key, at, windows, begin, size, h, whole = (x[order] for x in (doc, key, at, windows, begin, size, h, whole))
+        new = np.append(True, (h[1:] != h[:-1]) | (whole[1:] != whole[:-1]) | (size[1:] != size[:-1]))
+        same = np.flatnonzero(~new)
+        new[same[~_equal(words, begin[same], begin[same - 1], size[same])]] = True  # hashes only bring together what is compared
+        first = np.flatnonzero(new)
+        return doc, key, at, windows, np.cumsum(new) - 1, h[first], begin[first], size[first], text
+
+
+def _pieces(size: np.ndarray):
+    """(place within, bytes that count) of the words of eight bytes of texts of these sizes, word by word."""
+    for k in range(0, int(size.max(initial=0)), 8):
+        yield k, np.minimum(size - k, 8)
+
+
+def _masked(words: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n bytes from each place on as a number, 0 where n is not positive."""
+    x = words[np.minimum(at, len(words) - 1)]
+    return np.where(n > 0, x & (np.uint64(2**64 - 1) >> ((8 - np.clip(n, 1, 8)).astype(np.uint64) * np.uint64(8))), np.uint64(0))
+
+
+def _hashed(words: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    h = size.astype(np.uint64) * _ODD
+    for k, n in _pieces(size):
+        h = (h ^ _masked(words, at + k, n)) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _equal(words: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    out = np.ones(len(a), bool)
+    for k, n in _pieces(size):
+        out &= _masked(words, a + k, n) == _masked(words, b + k, n)
+    return out
 
 
 def _emit_stretches(length: int, shards: int):
     everything, serial = 2**64 - 1, 0
 
-    def send(seen, extra, known):
+    def send(held: _Held) -> Iterator[pa.RecordBatch]:
         nonlocal serial
-        yield from _stretch_rows(seen, extra, shards)
-        for s in range(0, len(known), 50_000):
-            part = known[s : s + 50_000]
-            yield pa.RecordBatch.from_pylist(
-                [{"shard": -1 - serial % shards, "known": True, **_owners(part), "windows": np.array([everything >> (64 - o[3]) for o in part], "<u8").tobytes(), "which": b"", "texts": b"", "sizes": b"", "hashes": b""}],
-                schema=_STRETCHES,
-            )
+        doc, key, at, windows, group, *texts = held.groups()
+        least = doc[np.append(True, group[1:] != group[:-1])][group]
+        known = doc > least  # another document has the whole stretch
+        own = np.flatnonzero(~known)
+        yield from _stretch_rows(doc[own], key[own], at[own], group[own], *texts, shards)
+        rows = np.flatnonzero(known)
+        rows = rows[np.lexsort((at[rows], key[rows], doc[rows]))]
+        for s in range(0, len(rows), 50_000):
+            r = rows[s : s + 50_000]
+            bits = np.uint64(everything) >> (np.uint64(64) - windows[r].astype(np.uint64))
+            yield pa.RecordBatch.from_pylist([{"shard": -1 - serial % shards, "known": True, **_owners(doc[r], key[r], at[r]), "windows": bits.tobytes(), "which": b"", "texts": b"", "sizes": b"", "hashes": b""}], schema=_STRETCHES)
             serial += 1
 
     def run(batches):
+        held = _Held(length)
         for b in batches:
-            seen: dict[tuple[int, bytes], tuple] = {}
-            extra: dict[tuple[int, bytes], list] = {}
-            known: list[tuple[int, int, int, int]] = []
             for doc, key, text, places in zip(b["doc_id"].to_pylist(), b["tkey"].to_pylist(), b["text"], b["items"].to_pylist(), strict=True):
                 if not places:
                     continue
-                raw = _bytes(text.as_py())
-                for h, a, z in stretches(raw, places, length):
-                    k, own = (h, raw[a : z + length]), (doc, key, a, z - a + 1)
-                    was = seen.get(k)
-                    if was is None:
-                        seen[k] = own
-                    elif was[0] == doc:
-                        extra.setdefault(k, []).append(own)
-                    elif was[0] < doc:
-                        known.append(own)
-                    else:
-                        known.append(was)
-                        known += extra.pop(k, [])
-                        seen[k] = own
-                if len(seen) + len(known) > HELD:
-                    yield from send(seen, extra, known)
-                    seen, extra, known = {}, {}, []
-            yield from send(seen, extra, known)
+                held.add(doc, key, _bytes(text.as_py()), places)
+                if held.n > HELD:
+                    yield from send(held)
+                    held = _Held(length)
+        if held.n:
+            yield from send(held)
 
     return run
 
 
-def _owners(owners: list[tuple]) -> dict[str, bytes]:
-    return {"docs": _squeezed(np.array([o[0] for o in owners], np.int64), "<i8", True), "keys": _squeezed(np.array([o[1] for o in owners], np.int64), "<u4"), "at": _squeezed(np.array([o[2] for o in owners], np.int64), "<u4")}
+def _owners(doc: np.ndarray, key: np.ndarray, at: np.ndarray) -> dict[str, bytes]:
+    return {"docs": _squeezed(doc, "<i8", True), "keys": _squeezed(key, "<u4"), "at": _squeezed(at, "<u4")}
 
 
-def _stretch_rows(seen, extra, shards):
-    by: dict[int, list] = {}
-    for k, own in [*seen.items(), *((k, o) for k, more in extra.items() for o in more)]:
-        by.setdefault(k[0] % shards, []).append((k, own))
-    for shard, found in by.items():
-        found.sort(key=lambda x: x[0][0])
-        number: dict[tuple[int, bytes], int] = {}
-        which = [number.setdefault(k, len(number)) for k, _ in found]
-        hashes = np.array([h >> 32 for h, _ in number], np.int64)
-        yield pa.RecordBatch.from_pylist(
-            [{"shard": shard, "known": False, **_owners([o for _, o in found]), "windows": b"", "which": _squeezed(np.array(which, np.int64), "<i4", True), "texts": zlib.compress(b"".join(t for _, t in number), 1), "sizes": _squeezed(np.array([len(t) for _, t in number]), "<u2"), "hashes": _squeezed(hashes, "<u4", True)}],
-            schema=_STRETCHES,
-        )
+def _stretch_rows(doc, key, at, group, hashes, begin, size, text, shards: int) -> Iterator[pa.RecordBatch]:
+    """A row for each shard: occurrences by group, and the groups' texts in order of their hashes."""
+    shard = (hashes % np.uint64(shards)).astype(np.int64)  # of each group; groups are in order of their hashes
+    by = np.argsort(shard[group], kind="stable")
+    to = shard[group[by]]
+    cuts = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to))
+    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        r = by[s:e]
+        names, which = np.unique(group[r], return_inverse=True)
+        n = size[names]
+        ends = np.cumsum(n)
+        flat = np.repeat(begin[names] - (ends - n), n) + np.arange(int(ends[-1]))
+        row = {"shard": int(to[s]), "known": False, **_owners(doc[r], key[r], at[r]), "windows": b"", "which": _squeezed(which, "<i4", True), "texts": zlib.compress(text[flat].tobytes(), 1), "sizes": _squeezed(n, "<u2")}
+        yield pa.RecordBatch.from_pylist([row | {"hashes": _squeezed((hashes[names] >> np.uint64(32)).astype(np.int64), "<u4", True)}], schema=_STRETCHES)
 
 
 class _Shard:
@@ -411,10 +462,14 @@ def repeated_windows(docs: np.ndarray, which: np.ndarray, text: np.ndarray, size
         windows = sizes[own].astype(np.int64) - length + 1
         every = np.uint64(2**64 - 1) >> (np.uint64(64) - windows.astype(np.uint64))
         bits = np.where((doc > least[own]) & ~several[own], every, np.uint64(0))
-        for w in range(int(windows.max())):
-            on = np.flatnonzero(several[own] & (windows > w))
-            hit = first[starts[own[on]] + w] < doc[on]
-            bits[on] |= hit.astype(np.uint64) << np.uint64(w)
+        rows = np.flatnonzero(several[own])
+        rows = rows[np.argsort(-windows[rows], kind="stable")]  # those with most windows first
+        at, low, found = starts[own[rows]], doc[rows], np.zeros(len(rows), np.uint64)
+        left = np.searchsorted(-windows[rows], -np.arange(64), side="left").tolist()  # how many have more than w windows
+        for w in range(64):
+            n = left[w]
+            found[:n] |= (first[at[:n] + w] < low[:n]).astype(np.uint64) << np.uint64(w)
+        bits[rows] = found
         yield s, e, bits
 
 
@@ -438,6 +493,9 @@ def _first_documents(text: np.ndarray, sizes: np.ndarray, least: np.ndarray, sev
         at = end
     chosen, joined = chosen.array(), kept.array()
     starts = _running(len(chosen), budget, lambda s, e: sizes[chosen[s:e]].astype(np.int64) + 1)
+    owners = room(len(joined), np.int32, budget)
+    for s, e in blocks(len(chosen), BLOCK // 64):
+        owners[starts[s] : starts[e]] = np.repeat(np.arange(s, e, dtype=np.int32), np.diff(starts[s : e + 1]))
     base = _running(len(chosen), budget, lambda s, e: sizes[chosen[s:e]].astype(np.int64) - length + 1)
     first = room(int(base[-1]), np.int64, budget)
     carry: tuple | None = None
@@ -450,7 +508,7 @@ def _first_documents(text: np.ndarray, sizes: np.ndarray, least: np.ndarray, sev
         first[spot] = low[group]
 
     for sa, lcp in suffix_array(joined, length, budget):
-        owner = np.searchsorted(starts, sa, side="right") - 1
+        owner = owners[sa]
         place = sa - starts[owner]
         # a suffix in between that is no window has no common prefix of this length with its neighbours
         run = np.minimum(lcp, length).astype(np.int64)

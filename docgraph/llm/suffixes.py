@@ -5,11 +5,11 @@ queue with one lane for each first byte, in which tuples (suffix, common prefix
 in order of arrival.  The seeds, the leftmost suffixes of each rising run, come first: the same induction, begun with the seeds in the
 order of the text, sorts their substrings; equal ones get one name; and the string of names, at most half as long, is
 sorted by recursion, in which a lane stands for a range of names.  A name of the k-th recursion spans 2 ** k bytes or more, so the
-recursion ends where names span ``depth`` bytes, or before where all names differ.
+recursion ends where names span ``depth`` bytes, or before where all names differ or the string of names fits in memory.
 
 Whatever grows with the text (types, seeds, names, lanes, orders) is in memory up to ``budget`` bytes each and beyond in a
-file that has no name, so that nothing is left behind, in the task's own temporary folder: up to 60 bytes for each byte of the text.  Seeds
-that fit, with all that ranks them, are sorted in memory: there substrings are named by their order, and ranks doubled.  This is the recursion's base.
+file that has no name, so that nothing is left behind, in the task's own temporary folder: up to 60 bytes for each byte of the text.  A
+string of names that fits the budget is the recursion's base: it is sorted in memory, by ranks that are doubled.
 
 Common prefixes count up to ``depth`` bytes; suffixes that agree so far may stand in either order.  No end mark is needed: what is
 behind the text counts as smaller than any byte.
@@ -22,8 +22,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-BUDGET, BLOCK = 48 << 20, 1 << 20
-SEED_BYTES = 160  #: what a seed takes while seeds are ranked in memory
+BUDGET, BLOCK = 64 << 20, 1 << 20
+NAME_BYTES = 48  #: what a name takes while a string of names is sorted in memory
 LANE_NAMES = 8192  #: suffixes in a lane of names, about
 _DTYPE = np.dtype([("at", "<i8"), ("lcp", "u1")])
 _AT = np.dtype("<i8")
@@ -262,29 +262,6 @@ def _doubled(rank: np.ndarray, cap: int) -> np.ndarray:
     return order
 
 
-def _named(text: np.ndarray, seeds: np.ndarray, depth: int) -> np.ndarray:
-    """The seeds' names: the order of the substrings from each seed to the next, in memory."""
-    m = len(seeds)
-    ends = np.append(seeds[1:] + 1, len(text))
-    size = ends - seeds
-    odd = np.uint64(0x9E3779B97F4A7C15)
-    name = np.zeros(m, np.uint64)
-    live, k = np.arange(m), 0
-    while len(live):
-        name[live] = (name[live] ^ (text[seeds[live] + k].astype(np.uint64) + np.uint64(1))) * odd
-        name[live] ^= name[live] >> np.uint64(31)
-        k += 1
-        live = live[size[live] > k] if k <= depth else live[:0]
-    name[-1] ^= odd  # the last substring ends with the text and equals none
-    _, one, kind = np.unique(name, return_index=True, return_inverse=True)
-    raw = text.tobytes()
-    # a substring that ends sooner than one it begins ends in a rise, which sorts behind; the text's end sorts before
-    keys = [raw[a : min(b, a + depth + 1)] + (b"\xff\xff" if i < m - 1 else b"") for i, a, b in zip(one.tolist(), seeds[one].tolist(), ends[one].tolist(), strict=True)]
-    place = np.empty(len(keys), np.int64)
-    place[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
-    return place[kind.ravel()]
-
-
 class _Lane:
     """Lanes of characters: of one each, or of ranges of names.  ``of`` tells the lane of a character."""
 
@@ -454,7 +431,7 @@ def _same_part(text: np.ndarray, seeds: np.ndarray, i: np.ndarray, j: np.ndarray
 def _name_order(names: np.ndarray, kinds: int, cap: int, budget: int) -> np.ndarray:
     """Places of a string of names in order of its suffixes, as far as ``cap`` names tell."""
     m = len(names)
-    if m * SEED_BYTES <= budget:
+    if m * NAME_BYTES <= budget:
         return _doubled(np.array(names, np.int64), cap)
     lane = _name_lanes(names, kinds, budget)
     out = Spool(np.int64, budget)
@@ -495,22 +472,15 @@ def _name_order(names: np.ndarray, kinds: int, cap: int, budget: int) -> np.ndar
     return out.array()
 
 
-def _sorted_seeds(text: np.ndarray, rise: np.ndarray, seeds: np.ndarray, depth: int, budget: int) -> np.ndarray:
-    """Seeds in order of their suffixes, as far as ``depth`` bytes tell."""
-    if len(seeds) < 2:
-        return seeds
-    if len(seeds) * SEED_BYTES <= budget:
-        return seeds[_doubled(_named(text, seeds, depth), depth // 2 + 1)]
-    return _seed_order(text, rise, seeds, _byte_lanes(), depth, budget)
-
-
 def suffix_array(text: np.ndarray, depth: int, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of (suffixes in order, common prefix with the one before), for any text of bytes, in memory or mapped."""
     n = len(text)
     if not n:
         return
     rise = _types(text, budget)
-    seeds = _sorted_seeds(text, rise, _seeds(rise, budget), depth, budget)
+    seeds = _seeds(rise, budget)
+    if len(seeds) > 1:
+        seeds = _seed_order(text, rise, seeds, _byte_lanes(), depth, budget)
     firsts = np.zeros(257, np.int64)
     prefix = room(len(seeds), np.uint8, budget)
     for s, e in blocks(len(seeds)):

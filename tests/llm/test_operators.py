@@ -58,7 +58,7 @@ def empty(spark):
 def test_suffix_array(trial, monkeypatch):
     """Any bytes, with and without an end mark, in memory and, with budgets of a few bytes, with all levels of the recursion in files."""
     draw = np.random.default_rng(trial)
-    for name, values in (("BLOCK", (7, 37, 1 << 20)), ("LANE_NAMES", (2, 5, 40, 8192)), ("SEED_BYTES", (160, 10**9))):
+    for name, values in (("BLOCK", (7, 37, 1 << 20)), ("LANE_NAMES", (2, 5, 40, 8192)), ("NAME_BYTES", (48, 10**9))):
         monkeypatch.setattr(suffixes, name, int(draw.choice(values)))
     t = draw.integers(0, int(draw.choice([1, 2, 3, 4, 20, 256])), int(draw.integers(1, 300))).astype(np.uint8)
     if trial % 3 == 0:
@@ -111,14 +111,14 @@ def test_shard_of_stretches(trial, monkeypatch):
     shard, rows = passages._Shard(r.choice([50, 2000, 1 << 20])), list(enumerate(raws))
     r.shuffle(rows)
     for part in (rows[:3], rows[3:]):
-        all_of: dict = {}
+        held = passages._Held(length)
         for doc, raw in part:
             place, _, spans = passages.anchors(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), length)
             flags = np.empty(len(place), passages._FLAG)
             flags["place"], flags["spans"] = place, spans
-            for h, a, z in passages.stretches(raw, flags.tobytes(), length):
-                all_of.setdefault((h, raw[a : z + length]), []).append((doc, 7, a, z - a + 1))
-        for b in passages._stretch_rows({k: v[0] for k, v in all_of.items()}, {k: v[1:] for k, v in all_of.items()}, 1):
+            held.add(doc, 7, raw, flags.tobytes())
+        doc, key, at, _, group, *texts = held.groups()
+        for b in passages._stretch_rows(doc, key, at, group, *texts, 1):
             shard.add({c: b[c][0].as_py() for c in b.schema.names})
     got = {(d, a + w) for ids, _, at, bits in shard.marks(length) for d, a, b in zip(ids.tolist(), at.tolist(), bits.tolist(), strict=True) for w in range(64) if b >> w & 1}
     first: dict[bytes, int] = {}
