@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import graph_queries, list_queries, markup_queries, page_queries, search_queries  # noqa: F401
+from .plans import detail_queries, file_queries, graph_queries, list_queries, markup_queries, page_queries, search_queries  # noqa: F401
 from .plans.tables import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -182,3 +182,13 @@ def rebase(url: Column, here: Column, there: Column) -> Column:
 def canonical(html: Column) -> Column:
     """The address that a redirecting page names, or null."""
     return F.nullif(F.regexp_extract(html, r'<link rel="canonical" href="([^"]*)"', 1), F.lit(""))
+
+
+def with_relative_start(path: Column) -> Column:
+    """A path that begins with a dot: one that doesn't is taken from here."""
+    return F.when(path.startswith("."), path).otherwise(F.concat(F.lit("./"), strip_slashes(path, only_leading=True)))
+
+
+def page_kind(slug: Column) -> Column:
+    """article, tag, index or page, by the slug."""
+    return F.when(basename(slug).rlike(r"^Article-\d+$"), "article").when(slug.startswith("tags/"), "tag").when(_ends(slug, "index"), "index").otherwise("page")

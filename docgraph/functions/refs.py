@@ -88,3 +88,8 @@ def editorial(line: Column) -> Column:
     line = F.regexp_replace(line, r"\|(C-\d+)/(\d+)", "|$1⧸$2")
     line = F.regexp_replace(line, r"\]\]\)", r"]]\\)")
     return F.regexp_replace(line, r"(?i)^#*\s*((?:first|second|third|fourth|preliminary) question.*)$", "### $1")
+
+
+def article_of_slug(slug: Column) -> Column:
+    """The article that an article page's slug names, or null."""
+    return F.nullif(F.regexp_extract(slug, r"(?:^|/)Article-(\d+)$", 1), F.lit("")).cast("int")

@@ -131,10 +131,10 @@ def search_terms(query: Column) -> Column:
 
 def highlighted(token: Column, terms: Column, start: str = '<span class="highlight">', end: str = "</span>") -> Column:
     """A token in which the first of ``terms`` that it holds, whatever the case, is marked; a token without one stays."""
-    term = F.element_at(F.filter(terms, lambda t: F.contains(F.lower(token), F.lower(t))), 1)
-    at = F.locate(F.lower(term), F.lower(token))
+    term = F.get(F.filter(terms, lambda t: F.contains(F.lower(token), F.lower(t))), F.lit(0))
+    at = F.instr(F.lower(token), F.lower(term))
     found = F.concat(F.substring(token, F.lit(1), at - 1), F.lit(start), F.substring(token, at, F.length(term)), F.lit(end), F.substr(token, at + F.length(term)))
-    return F.when((F.size(F.filter(terms, lambda t: F.contains(F.lower(token), F.lower(t)))) > 0), found).otherwise(token)
+    return F.coalesce(found, token)
 
 
 def title_from_file(name: Column) -> Column:
@@ -179,3 +179,26 @@ def celex_ids(text: Column) -> Column:
 
 def link_case_label(text: Column) -> Column:
     return F.regexp_replace(text, r"^C-(\d+)-(\d+)$", "C-$1/$2")
+
+
+#: Interface texts by locale.
+STRINGS = {
+    "en": {"search": "Search", "one": "1 item", "many": "%d items"},
+    "de": {"search": "Suche", "one": "1 Dokument", "many": "%d Dokumente"},
+}
+
+
+def localised(locale: Column, name: str, default: str = "en") -> Column:
+    """An interface text; that of the default locale where a locale is unknown."""
+    table = F.create_map(*[F.lit(x) for key, texts in STRINGS.items() for x in (key, texts[name])])
+    return F.coalesce(F.try_element_at(table, locale), F.lit(STRINGS[default][name]))
+
+
+def counted(locale: Column, n: Column) -> Column:
+    """How many items there are, in words of the locale."""
+    return F.when(n == 1, localised(locale, "one")).otherwise(F.replace(localised(locale, "many"), F.lit("%d"), n.cast("string")))
+
+
+def class_names(*names: Column) -> Column:
+    """Names that are neither null nor empty, joined by blanks."""
+    return F.array_join(F.filter(F.array(*names), lambda n: n.isNotNull() & (n != "")), " ")

@@ -177,3 +177,16 @@ def ordered_union(*hits: DataFrame) -> DataFrame:
         rows = h.select("id", F.lit(prio).cast("long").alias("prio"), F.col("rank").cast("long").alias("rank"))
         both = rows if both is None else both.unionByName(rows)
     return both.groupBy("id").agg(F.min(F.struct("prio", "rank")).alias("k")).select("id", "k.prio", "k.rank")
+
+
+def with_member(rows: DataFrame, key: str, member: str, **values) -> DataFrame:
+    """Rows with one that is always there, with the given values unless it is among them."""
+    own = rows.sparkSession.range(1).select(*[F.lit(member if c == key else values[c]).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    return rows.unionByName(own.join(rows.select(key), key, "left_anti"))
+
+
+def with_records(links: DataFrame, records: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Links (src, dst) with columns of the records of both ends, as src_... and dst_..."""
+    for end in ("src", "dst"):
+        links = links.join(records.select(F.col(key).alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns]), end, "left")
+    return links

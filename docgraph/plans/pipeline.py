@@ -53,3 +53,8 @@ class Pipeline:
     def run(self, pages: DataFrame) -> dict[str, DataFrame]:
         out = self.kept(self.transform(pages))
         return {name: emit(out) for name, emit in self.emitters.items()}
+
+
+def rendered(pages: DataFrame, all_files: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """What a component shows of each page, given what it looks up among all files by ``key``."""
+    return pages.join(all_files, key).select(*columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -11,8 +12,9 @@ from pyspark.sql import types as T
 
 from ..functions.paths import slugify_file_path
 from ..functions.text import parse_date, truthy
+from .front import parse_front
 
-FRONT = r"(?s)\A---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
+FRONT = r"(?s)\A(?:---[ \t]*(?:yaml)?|(---[ \t]*toml|\+\+\+))[ \t]*\r?\n(.*?)\r?\n(?:---|\+\+\+)[ \t]*(?:\r?\n|\z)"
 _RELATIVE = r"^[a-z]+:/*"
 
 
@@ -22,7 +24,7 @@ def read_files(spark: SparkSession, folder: str, pattern: str = "*.md", ignore:
     base = F.lit(folder.removeprefix("file://").rstrip("/") + "/")
     uri = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     path = F.replace(F.concat(F.lit("/"), F.regexp_replace(uri, _RELATIVE, "")), base, F.lit(""))
-    rows = files.select(path.alias("path"), F.trim("value").alias("value"), F.col("_metadata.file_modification_time").alias("modified"))
+    rows = files.select(path.alias("path"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("value"), F.col("_metadata.file_modification_time").alias("modified"))
     for p in ignore:
         rows = rows.filter(~F.col("path").rlike(p))
     return rows
@@ -70,8 +72,13 @@ def read_assets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_front(value: Column) -> tuple[Column, Column]:
-    """(front matter or empty, body): the fence has to stand on lines of its own."""
-    return F.regexp_extract(value, FRONT, 1), F.regexp_replace(value, FRONT, "")
+    """(front matter or empty, body): the fence, which may name its language, has to stand on lines of its own."""
+    return F.regexp_extract(value, FRONT, 2), F.regexp_replace(value, FRONT, "")
+
+
+def is_toml(value: Column) -> Column:
+    """Whether the front matter's fence says that it is TOML."""
+    return F.regexp_extract(value, FRONT, 1) != ""
 
 
 def split_front_naive(value: Column) -> Column:
@@ -80,71 +87,13 @@ def split_front_naive(value: Column) -> Column:
     return F.when(value.startswith("---") & (end > 0), F.substr(value, F.lit(4), end - 4))
 
 
-def _scalar(text: str):
-    text = text.strip()
-    if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'":
-        return text[1:-1].replace('\\"', '"') if text[0] == '"' else text[1:-1].replace("''", "'")
-    if text in ("", "~", "null"):
-        return None
-    if text.startswith("[") and text.endswith("]"):
-        items, depth, quote, item = [], 0, "", ""
-        for c in text[1:-1]:
-            if quote:
-                quote = "" if c == quote else quote
-            elif c in "\"'":
-                quote = c
-            elif c in "[]":
-                depth += 1 if c == "[" else -1
-            if c == "," and not depth and not quote:
-                items.append(item)
-                item = ""
-            else:
-                item += c
-        if item.strip():
-            items.append(item)
-        return [_scalar(i) for i in items]
-    if text.startswith("[") or text.startswith("{"):
-        raise ValueError("brackets don't match")
-    return text
-
-
-def parse_front(text: str) -> dict:
-    """The part of YAML that pages use: scalars stay text, lists in brackets or by hyphens, text blocks.  ValueError for what isn't."""
-    out: dict = {}
-    key, lines = None, text.splitlines()
-    for i, line in enumerate(lines):
-        if not line.strip() or line.lstrip().startswith("#"):
-            continue
-        body = line.strip()
-        if line[0] in " -\t" and key is not None:
-            if isinstance(out[key], tuple):
-                out[key] = (*out[key], body)
-            elif body.startswith("- ") or body == "-":
-                if not isinstance(out[key], list):
-                    if out[key] is not None:
-                        raise ValueError(f"line {i + 1}: an item below a value")
-                    out[key] = []
-                out[key].append(_scalar(body[1:]))
-            elif isinstance(out[key], list) and out[key] and isinstance(out[key][-1], str):
-                out[key][-1] += " " + body
-            elif isinstance(out[key], str):
-                out[key] += " " + body
-            else:
-                raise ValueError(f"line {i + 1}: neither key nor item")
-            continue
-        name, colon, rest = line.partition(":")
-        if not colon or (rest and rest[0] not in " \t"):
-            raise ValueError(f"line {i + 1}: a key is missing")
-        key = name.strip().strip("\"'")
-        out[key] = () if rest.strip() in ("|", ">", "|-", ">-") else _scalar(rest)
-    return {k: "\n".join(v) if isinstance(v, tuple) else v for k, v in out.items()}
-
-
 def _flat(value) -> str | None:
     """A value as text; nested lists, as of an unquoted wikilink, lose their brackets."""
     if isinstance(value, list):
         inner = [_flat(v) for v in value]
         return ", ".join(v for v in inner if v is not None)
+    if isinstance(value, dict):
+        return json.dumps(value, ensure_ascii=False, sort_keys=True)
     return value
 
 
@@ -153,6 +102,8 @@ def _items(value) -> list[str] | None:
         return None
     if isinstance(value, str):
         return [v.strip() for v in value.split(",") if v.strip()]
+    if isinstance(value, dict):
+        return list(value)
     return [t for t in (_flat(v) for v in value) if t]
 
 
@@ -160,15 +111,15 @@ _PARSED = T.StructType([T.StructField("fields", T.MapType(T.StringType(), T.Stri
 
 
 @F.pandas_udf(_PARSED)
-def front_fields(text: pd.Series) -> pd.DataFrame:
-    """fields (every value as text), lists (every value as a list) and error of front matter."""
+def front_fields(text: pd.Series, toml: pd.Series) -> pd.DataFrame:
+    """fields (every value as text; maps as JSON), lists (every value as a list) and error of front matter, YAML or TOML."""
     rows = []
-    for t in text:
+    for t, other in zip(text, toml, strict=True):
         try:
-            found, error = parse_front(t or ""), None
-        except ValueError as e:
-            found, error = {}, str(e)
-        rows.append(({k: _flat(v) for k, v in found.items()}, {k: _items(v) for k, v in found.items()}, error))
+            found, error = parse_front(t or "", "toml" if other else "yaml"), None
+        except (ValueError, IndexError, RecursionError) as e:
+            found, error = {}, str(e) or type(e).__name__
+        rows.append(({k: _flat(v) for k, v in found.items()}, {k: _items(v) for k, v in found.items()}, error and str(error)))
     return pd.DataFrame(rows, columns=["fields", "lists", "error"])
 
 
@@ -186,7 +137,7 @@ def pages(files: DataFrame) -> DataFrame:
     A file that doesn't parse is kept, with its error.  Missing and invalid dates are null; ``date_invalid`` tells which.
     """
     front, body = split_front(F.col("value"))
-    rows = files.select("path", "modified", body.alias("body"), front_fields(front).alias("front")).select("path", "modified", "body", "front.*")
+    rows = files.select("path", "modified", body.alias("body"), front_fields(front, is_toml(F.col("value"))).alias("front")).select("path", "modified", "body", "front.*")
     slug = slugify_file_path(F.col("path"))
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[A-Za-z0-9]+$", "")
     tags = F.array_distinct(F.transform(_list("tags", "tag"), lambda t: F.regexp_replace(F.replace(t, F.lit(" "), F.lit("-")), "^#", "")))
@@ -241,9 +192,16 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode(F.from_json("value", kind)).alias("slug", "page")).select("slug", "page.*")
 
 
+def read_index_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A content index of one JSON object a line as rows: the distributed form."""
+    kind = "map<string,struct<title:string,links:array<string>,tags:array<string>,content:string>>"
+    lines = spark.read.text(path)
+    return lines.select(F.explode(F.from_json("value", kind)).alias("slug", "page")).select("slug", "page.*")
+
+
 def front_is_valid(files: DataFrame) -> DataFrame:
     """path and error of files whose front matter doesn't parse."""
-    return files.select("path", front_fields(split_front(F.col("value"))[0]).error.alias("error")).filter("error is not null")
+    return files.select("path", front_fields(split_front(F.col("value"))[0], is_toml(F.col("value"))).error.alias("error")).filter("error is not null")
 
 
 def state_or_default(rows: DataFrame, saved: DataFrame, key: str, column: str) -> DataFrame:

@@ -43,6 +43,13 @@ def pending(events: DataFrame, key: str, *order: str) -> tuple[DataFrame, DataFr
     return last.filter("change <> 'delete'").select(key), last.filter("change = 'delete'").select(key)
 
 
+def rebuilt(before: DataFrame, events: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Pages (path, ...) after events (path, ts, change): those that were added or changed as ``parsed`` has them, the others as they were."""
+    build, remove = pending(events, "path", "ts", "change")
+    kept = before.join(build.unionByName(remove), "path", "left_anti")
+    return kept.unionByName(parsed.join(build, "path", "left_semi").select(*before.columns))
+
+
 def affected(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """(origin, node) to build again when ``changed`` (node) changes: the outputs it reaches and all that leads to them."""
     start = changed.select(F.col("node").alias("origin"), "node")
