@@ -53,3 +53,17 @@ def test_without_the_llm_parts():
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'backlinks_topk' in e.queries() and not any(k.startswith('op') and k[2:3].isdigit() for k in e.queries()); assert not any('llm' in m for m in sys.modules)"
     root = os.path.dirname(os.path.abspath(entry.__file__))
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_with_both_llm_folders_deleted(tmp_path):
+    """A copy without them: the entry imports, queries equal their SQL, and the other tests are collected."""
+    import shutil
+    import subprocess
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    copy = tmp_path / "repo"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache"))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(q) == set(o) and len(q) > 150"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True)
+    ran = subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "tests", "-k", "test_front or test_toml or test_leaves or (test_query_equals_its_sql and (backlinks_topk or search_basic))"], cwd=copy, capture_output=True, text=True)
+    assert ran.returncode == 0, ran.stdout[-2000:]

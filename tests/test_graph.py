@@ -69,13 +69,13 @@ def test_folders_by_whole_segments(spark):
 def test_best_window(spark, n):
     tokens = ["hit" if k % 7 == 3 else "x" for k in range(n)]
     df = spark.createDataFrame([(1, tokens)], "id int, tokens array<string>")
-    got = search.best_window(df, "id", F.col("tokens"), F.col("token") == "hit").collect()
+    got = df.select(F.size("tokens").alias("n"), search.best_window(F.col("tokens"), lambda t: t == "hit").alias("best")).collect()
     best, most = 0, 0
     for i in range(max(0, n - 30)):
         s = tokens[i : i + 30].count("hit")
         if s >= most:
             best, most = i, s
-    assert [(r.n, r.best) for r in got] == ([(n, best)] if n else [])
+    assert [(r.n, r.best) for r in got] == [(n, best)]
 
 
 def test_ordered_union(spark):
@@ -94,18 +94,71 @@ def test_snapshot(spark):
     assert [r.path for r in build.collect()] == ["a"] and [r.path for r in remove.collect()] == ["b"]
 
 
-def test_stream(spark, tmp_path):
-    """Each event is a micro-batch of its own; a second start goes on where the first ended."""
+@pytest.mark.parametrize("order", ["in order", "backwards", "mixed"])
+def test_stream(spark, tmp_path, order):
+    """Each event is a micro-batch of its own, whenever it happened; a second start goes on where the first ended."""
     schema = "path string, change string, ts int, seq int, value string"
-    for rows in (EVENTS[:3], EVENTS[3:]):
+    events = {"in order": EVENTS, "backwards": EVENTS[::-1], "mixed": [EVENTS[k] for k in (5, 1, 3, 0, 4, 2)]}[order]
+    columns, at = ["path", "value"], {name: str(tmp_path / name) for name in ("in", "state", "cp")}
+    for rows in (events[:3], events[3:]):
         for e in rows:
-            spark.createDataFrame([e], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+            spark.createDataFrame([e], schema).coalesce(1).write.mode("append").parquet(at["in"])
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(at["in"])
         seen = []
-        q = incremental.run_incremental(stream, str(tmp_path / "state"), str(tmp_path / "cp"), "path", ["path", "value"], ("ts", "seq"), lambda df, n, seen=seen: seen.append(n))
+        q = incremental.run_incremental(stream, at["state"], at["cp"], "path", columns, ("ts", "seq"), lambda df, n, seen=seen: seen.append((n, df.count())), buckets=4)
         q.awaitTermination()
-    assert seen == [3, 4, 5]
-    assert [(r.path, r.value) for r in spark.read.parquet(str(tmp_path / "state/v5")).collect()] == [("a", "v3")]
+    assert [n for n, _ in seen] == [3, 4, 5]
+    shape = spark.createDataFrame([], schema).select("path", "value", "ts", "seq").schema
+    assert [(r.path, r.value) for r in incremental.live(spark, at["state"], shape, columns).collect()] == [("a", "v3")]
+
+
+def test_a_batch_touches_its_own_buckets(spark, tmp_path):
+    import os
+
+    schema = "path string, change string, ts int, seq int, value string"
+    for k in range(3):
+        spark.createDataFrame([(f"p{k}", "add", 1, k, "x")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    incremental.run_incremental(stream, str(tmp_path / "state"), str(tmp_path / "cp"), "path", ["path"], ("ts", "seq"), buckets=64).awaitTermination()
+    assert all(len([d for d in os.listdir(tmp_path / "state/data" / v) if d.startswith("bucket")]) == 1 for v in os.listdir(tmp_path / "state/data"))
+
+
+def test_listing(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "path string, modified int")
+    found = incremental.listing_events(rows(("a", 1), ("b", 1), ("c", 1)), rows(("b", 2), ("c", 1), ("d", 1)), 9).collect()
+    assert {(r.path, r.ts, r.change) for r in found} == {("a", 9, "delete"), ("b", 2, "change"), ("d", 1, "add")}
+
+
+def test_numbered(spark):
+    """Numbers within groups, though groups lie in several ranges."""
+    import random
+
+    r = random.Random(1)
+    table = [(r.choice(["x", "y", None]), r.randrange(50), k) for k in range(3000)]
+    df = spark.createDataFrame(table, "g string, v int, id int").repartition(7)
+    out = relations.numbered(df, "g", [F.desc("v"), F.col("id")]).collect()
+    want = {}
+    for g, _, k in sorted(table, key=lambda t: (-t[1], t[2])):
+        want.setdefault(g, []).append(k)
+    got = {}
+    for row in sorted(out, key=lambda row: row.place):
+        got.setdefault(row.g, []).append(row.id)
+    assert got == want and {row.place for row in out if row.g == "x"} == set(range(1, len(want["x"]) + 1))
+
+
+def test_stored_index(spark, tmp_path):
+    """A stored index answers as one that is made for the query, letters of any kind included."""
+    docs = spark.createDataFrame([(1, "The three thieves"), (2, "there é été"), (3, "t é"), (4, "")], "id long, text string")
+    from docgraph.functions.text import search_tokens
+
+    postings = search.index(docs, "id", {"text": search_tokens(F.col("text"))})
+    stored = search.store(postings, str(tmp_path / "index"), 2)
+    for terms in (["th"], ["the", "thr"], ["é"], ["t"], ["ét", "t"], ["zz"]):
+        answers = [{tuple(r) for r in search.query(p, terms).collect()} for p in (postings, stored)]
+        assert answers[0] == answers[1], terms
+    import re
+
+    assert re.search(r"PartitionFilters: \[[^\]]*head", search.query(stored, ["th"])._jdf.queryExecution().toString())
 
 
 def test_watch(spark, tmp_path):

@@ -7,6 +7,7 @@ from docgraph.functions import markup, refs, text
 from docgraph.operators import relations
 from docgraph.plans.pipeline import Pipeline, explicit_publish, remove_drafts
 from docgraph.sources import sinks, vault
+from docgraph.sources.front import parse_front
 
 FILES = {
     "index.md": "---\ntitle: Home\ntags: [a/b, c]\n---\nSee [[Note One|first]] and ![[pic.png|100x50]].",
@@ -58,9 +59,36 @@ def test_invalid_front(spark, folder):
     assert {r.destination for r in sinks.asset_manifest(vault.read_assets(spark, folder).select(F.lit("asset with space.png").alias("path"))).collect()} == {"asset-with-space.png"}
 
 
-@pytest.mark.parametrize(("front", "want"), [("a: 1\nb: [x, 'y, z']", {"a": "1", "b": ["x", "y, z"]}), ("a:\n- p\n- q: r", {"a": ["p", "q: r"]}), ("a: |\n  one\n  two\nb: ~", {"a": "one\ntwo", "b": None}), ("# c\n", {}), ("a: [[X]]", {"a": [["X"]]})])
+@pytest.mark.parametrize(
+    ("front", "want"),
+    [
+        ("a: 1\nb: [x, 'y, z']", {"a": "1", "b": ["x", "y, z"]}), ("a:\n- p\n- q", {"a": ["p", "q"]}), ("a: |\n  one\n  two\nb: ~", {"a": "one\ntwo", "b": None}), ("# c\n", {}), ("a: [[X]]", {"a": [["X"]]}),
+        ("a:\n  b: 1 # x\n  c:\n    - d: 2\n      e: 3\n    - f", {"a": {"b": "1", "c": [{"d": "2", "e": "3"}, "f"]}}),
+        ("a: &x [1, 2]\nb: *x\nc: {k: v, 'q r': [1], z: }", {"a": ["1", "2"], "b": ["1", "2"], "c": {"k": "v", "q r": ["1"], "z": None}}),
+        ("t: \"a \\\"q\\\" # not\"\nu: 'it''s'\nv: plain # yes\nw: http://x.y/z#a", {"t": 'a "q" # not', "u": "it's", "v": "plain", "w": "http://x.y/z#a"}),
+        ("a: one\n  two\nb: >\n  x\n  y\n\n  z\nc: [1,\n  2]", {"a": "one two", "b": "x y\nz", "c": ["1", "2"]}),
+        ("date: 2022-10-27T00:00:00.000Z\nk: a:b", {"date": "2022-10-27T00:00:00.000Z", "k": "a:b"}),
+    ],
+)
 def test_front(front, want):
-    assert vault.parse_front(front) == want
+    assert parse_front(front) == want
+
+
+@pytest.mark.parametrize("front", ["title: [open\nnothing here", "a: b: c", "a: 1\na: 2", "just text", "a: *x", "a: 'open", "a: !tag x", "\ta: 1", "a:\n - b\n   c: d: e"])
+def test_broken_front(front):
+    with pytest.raises((ValueError, IndexError)):
+        parse_front(front)
+
+
+def test_toml():
+    assert parse_front('title = "x"\n[a]\nb = [1, true]\nd = 2020-01-02', "toml") == {"title": "x", "a": {"b": ["1", "true"], "d": "2020-01-02"}}
+
+
+def test_ignored(spark):
+    rules = ["build/", "a/private/*", "!keep.md", "*.t[a-m]p", "/root.md", "docs/**/draft.md", "", "# no"]
+    paths = {"a/b.md": False, "build/x.md": True, "a/build/x.md": True, "a/private/k.md": True, "a/private/keep.md": False, "n/d.tmp": True, "n/d.tzp": False, "root.md": True, "a/root.md": False, "docs/x/y/draft.md": True, "docs/draft.md": True}
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert {r.path: r.gone for r in rows.select("path", vault.ignored(F.col("path"), rules).alias("gone")).collect()} == paths
 
 
 def test_pipeline(spark):
@@ -79,6 +107,10 @@ def test_markup(spark):
     assert one(spark, markup.inline_tags(F.lit("x #a/b #12 and #日本 no#tag #😀x"))) == ["a/b", "日本", "😀x"]
     assert [(h.depth, h.text) for h in one(spark, markup.markdown_headings(F.lit("# A\ntext\n## B b\n#no")))] == [(1, "A"), (2, "B b")]
     assert one(spark, markup.callout(F.lit("> [!FAQ|x]+ Title here"))).asDict() == {"kind": "question", "metadata": "x", "fold": "+", "title": "Title here"}
+    assert one(spark, markup.callout(F.lit("> [!my-kind] T"))).kind == "my-kind"
+    assert one(spark, markup.embed_size(F.lit("logo|100x50"))).asDict() == {"alt": "logo", "width": "100", "height": "50"}
+    assert one(spark, markup.oxhugo(F.lit("$a\\_b$ c\\_d `$x\\_y$`"))) == "$a_b$ c\\_d `$x\\_y$`"
+    assert one(spark, markup.roam(F.lit("^^x^^\n```\n^^y^^\n```"))) == "<mark>x</mark>\n```\n^^y^^\n```"
     assert one(spark, text.strip_comments(F.lit("a %%b\nc%% d"))) == "a  d"
     assert one(spark, markup.youtube_id(F.lit("https://youtu.be/abcdefghijk"))) == "abcdefghijk"
 
@@ -108,16 +140,27 @@ def test_text(spark):
     assert one(spark, text.excerpt(F.lit("a b c"), 150)) == "a b c"
     assert one(spark, text.excerpt(F.lit("x " * 100), 150)).endswith("...")
     assert one(spark, text.search_terms(F.lit("ab c def"))) == ["ab c def", "ab c", "def", "ab", "c"]
-    keys = [one(spark, text.natural_key(F.lit(f"Article {k}"))) for k in (1, 2, 10)]
-    assert keys == sorted(keys)
+    names = [f"Article {k}" for k in (1, 2, 10, 20231231235959001, 20231231235959999, 10**40, 10**40 + 1)] + ["Article 0007x", "Article"]
+    rows = spark.createDataFrame([(n,) for n in names[::-1]], "n string").orderBy(text.natural_key(F.col("n")), "n")
+    assert [r.n for r in rows.collect()] == ["Article", "Article 1", "Article 2", "Article 0007x", *names[2:7]]
+    assert one(spark, text.case_of_slug(F.lit("case-law/C-311-18"))) == "C-311/18" and one(spark, text.case_of_slug(F.lit("a/page"))) == "page"
+    assert one(spark, text.title_from_file(F.lit("C-311-18.md"))) == "C-311/18"
+    assert one(spark, text.highlighted(F.lit("Bother"), F.array(F.lit("the"), F.lit("bo")))) == 'Bo<span class="highlight">the</span>r'
     assert one(spark, text.unescape_html(text.escape_html(F.lit("<a & 'b'>")))) == "<a & 'b'>"
     assert one(spark, sinks.splice(F.lit("# T\n## Old\nx\n## Next\ny"), "## Old", F.lit("new"))) == "# T\n## Old\nnew\n## Next\ny"
 
 
 def test_transclusion(spark):
-    pages = spark.createDataFrame([("a", "whole", {"b": "block"})], "slug string, text string, blocks map<string,string>")
-    embeds = spark.createDataFrame([("x", 0, "a", "b"), ("x", 1, "a", ""), ("x", 2, "gone", "")], "src string, pos int, target string, block string")
-    assert {r.pos: r.content for r in relations.transclude(embeds, pages).collect()} == {0: "block", 1: "whole", 2: None}
+    pages = spark.createDataFrame([("a", "whole", {"b": "block"}, {"part": "section"})], "slug string, text string, blocks map<string,string>, sections map<string,string>")
+    embeds = spark.createDataFrame([("x", 0, "a", "b"), ("x", 1, "a", ""), ("x", 2, "gone", ""), ("x", 3, "a", "#part"), ("x", 4, "a", "#lost"), ("x", 5, "a", "^b")], "src string, pos int, target string, block string")
+    assert {r.pos: r.content for r in relations.transclude(embeds, pages).collect()} == {0: "block", 1: "whole", 2: None, 3: "section", 4: None, 5: "block"}
+
+
+def test_rules_or_whole(spark):
+    r = spark.createDataFrame([(1, "1. Article 6 holds.\n2. No more."), (2, "1. Nothing.\n2. No more.")], "id int, ruling string")
+    wanted = spark.createDataFrame([(1, 6), (2, 6)], "id int, article int")
+    found = relations.rules_or_whole(r, "id", refs.points(F.col("ruling")), refs.numbers(F.col("rule")), wanted, F.col("ruling")).collect()
+    assert {(x.id, x.rule) for x in found} == {(1, "Article 6 holds."), (2, "1. Nothing.\n2. No more.")}
 
 
 def test_index_round_trip(spark, tmp_path):
