@@ -15,7 +15,6 @@ A byte goes if a string of ``length`` bytes that covers it also starts in a docu
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ from .suffixes import BLOCK, BUDGET, Spool, blocks, room, suffix_array
 
 PIECE = 1 << 20  #: bytes of a text that are hashed at once
 HELD = 250_000  #: stretches that a task holds before it sends them
-BUCKET_BYTES, SHARD_BYTES = 32 << 20, 16 << 20  #: bytes of the corpus for each bucket of hashes and each shard of stretches
+BUCKET_BYTES, SHARD_BYTES = 32 << 20, 8 << 20  #: bytes of the corpus for each bucket of hashes and each shard of stretches
 PART_BYTES = 4 << 20  #: bytes of the corpus for each part that marks go back to
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,14 +102,23 @@ def anchors(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarra
     return place[keep], h[keep], spans[keep]
 
 
+def _small(raw: bytes) -> bytes:
+    """Bytes on their way, compressed behind their number."""
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _large(raw: bytes) -> bytes:
+    return pa.decompress(memoryview(raw)[4:], int.from_bytes(raw[:4], "little"), "zstd", asbytes=True)
+
+
 def _squeezed(a: np.ndarray, kind: str, steps: bool = False) -> bytes:
     """An array on its way: as ``kind``, of steps if asked, byte planes apart, compressed."""
     a = (np.diff(a, prepend=a.dtype.type(0)) if steps else a).astype(kind)
-    return zlib.compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), 1)
+    return _small(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
 
 
 def _restored(raw: bytes, kind: str, steps: bool = False) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8)
+    planes = np.frombuffer(_large(raw), np.uint8)
     size = np.dtype(kind).itemsize
     a = np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
     return np.cumsum(a, dtype=a.dtype) if steps else a
@@ -363,7 +371,7 @@ def _stretch_rows(doc, key, at, group, hashes, begin, size, text, shards: int) -
         n = size[names]
         ends = np.cumsum(n)
         flat = np.repeat(begin[names] - (ends - n), n) + np.arange(int(ends[-1]))
-        row = {"shard": int(to[s]), "known": False, **_owners(doc[r], key[r], at[r]), "windows": b"", "which": _squeezed(which, "<i4", True), "texts": zlib.compress(text[flat].tobytes(), 1), "sizes": _squeezed(n, "<u2")}
+        row = {"shard": int(to[s]), "known": False, **_owners(doc[r], key[r], at[r]), "windows": b"", "which": _squeezed(which, "<i4", True), "texts": _small(text[flat].tobytes()), "sizes": _squeezed(n, "<u2")}
         yield pa.RecordBatch.from_pylist([row | {"hashes": _squeezed((hashes[names] >> np.uint64(32)).astype(np.int64), "<u4", True)}], schema=_STRETCHES)
 
 
@@ -379,7 +387,7 @@ class _Shard:
         self.text, self.sizes = Spool(np.uint8, budget), Spool("<u2", budget)
 
     def add(self, row: dict) -> None:
-        sizes, text, hashes = _restored(row["sizes"], "<u2"), zlib.decompress(row["texts"]), _restored(row["hashes"], "<u4", True)
+        sizes, text, hashes = _restored(row["sizes"], "<u2"), _large(row["texts"]), _restored(row["hashes"], "<u4", True)
         cuts = np.append(0, np.cumsum(sizes.astype(np.int64))).tolist()
         own = [text[s:e] for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
         if self.used > self.budget:
