@@ -56,3 +56,16 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    """Of a document's rows one stays, of a component one document; rows without a doc_id stay; other columns, whatever their names, go."""
+    base = prose(120, 5)
+    rows = [(1, base), (1, base), (2, base + " tail"), (2, base + " tail"), (3, prose(120, 6)), (3, prose(120, 6)), (4, "b " + prose(90, 7)), (4, "a " + prose(90, 8)), (None, base), (None, base), (5, None), (5, None), (6, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1.0, "x", 2, "copy") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, component_id string, n int, why string")
+    out = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert out.columns == list(corpus_pipeline.COLUMNS)
+    found = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert found == sorted([(1, base), (3, prose(120, 6)), (4, "a " + prose(90, 8)), (None, base), (None, base), (5, None), (6, "")], key=repr)
+    for stage in (corpus_pipeline.cut_passages, corpus_pipeline.pack):
+        assert stage(spark, df, "").count() >= len(rows) - 4
