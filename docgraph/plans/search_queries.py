@@ -22,14 +22,15 @@ def _postings(spark, sf):
     return search.index(c, "id", {"title": text.search_tokens(title), "content": text.search_tokens(F.col("text"))})
 
 
-def _stored(spark, sf):
-    """The stored index of a session's tables: written at its first use."""
+def _stored(spark, sf, table: str = "conversations"):
+    """The stored index of a session's table: written at its first use."""
     sc = spark.sparkContext
     known = sc._docgraph_indexes = getattr(sc, "_docgraph_indexes", {})
-    if sf not in known:
-        known[sf] = f"{shared_folder(spark)}/index"
-        search.store(_postings(spark, sf), known[sf])
-    return search.read_index(spark, known[sf])
+    if (sf, table) not in known:
+        known[sf, table] = f"{shared_folder(spark)}/index"
+        own = _postings(spark, sf) if table == "conversations" else search.index(read(spark, sf, table), "doc_id", {"content": text.search_tokens(F.col("text"))})
+        search.store(own, known[sf, table])
+    return search.read_index(spark, known[sf, table])
 
 
 @query(f"WITH {_TOK} SELECT field, count(DISTINCT token)::BIGINT AS tokens, count(*)::BIGINT AS n FROM tk GROUP BY field")
@@ -59,9 +60,9 @@ def search_merge(spark, sf):
 
 @query(rf"WITH tk AS (SELECT doc_id AS id, unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}]+'), lambda x: x <> '')) AS token, unnest(range(len(list_filter(string_split_regex(lower(text), '[^\p{{L}}]+'), lambda x: x <> '')))) AS pos FROM documents WHERE source = 'src3'), ht AS (SELECT id, count(*)::BIGINT AS hits, min(pos)::BIGINT AS first FROM tk WHERE starts_with(token, 'th') GROUP BY id) SELECT id, hits, first, row_number() OVER (ORDER BY hits DESC, first, id) AS rank FROM ht QUALIFY rank <= 8")
 def search_tag_scoped(spark, sf):
-    """A query within one tag: the tag filter stands below the limit."""
-    d = read(spark, sf, "documents").filter("source = 'src3'")
-    hits = search.query(search.index(d, "doc_id", {"content": text.search_tokens(F.col("text"))}), ["th"])
+    """A query within one tag, on the stored index: the tag's documents are told before the limit."""
+    tagged = read(spark, sf, "documents").filter("source = 'src3'").select(F.col("doc_id").alias("id"))
+    hits = search.query(_stored(spark, sf, "documents"), ["th"]).join(tagged, "id", "left_semi")
     return search.ranked(hits).select("id", "hits", "first", "rank")
 
 

@@ -13,6 +13,7 @@ def each(spark, f, values):
     return [r.o for r in sorted(rows)]
 
 
+#: What the described system does with these paths.
 VECTORS = {
     "simplify_slug": {"index": "/", "abc": "abc", "abc/index": "abc/", "abc/def": "abc/def"},
     "slugify_file_path": {
@@ -28,6 +29,7 @@ VECTORS = {
     "path_to_root": {"index": ".", "abc": ".", "abc/def": "..", "abc/def/ghi": "../..", "abc/def/index": "../.."},
 }
 
+#: Paths that each guard of the described system lets pass, and those that it stops.
 GUARDS = {
     "is_simple_slug": (["", "abc", "abc/", "notindex", "notindex/def"], ["//", "index", "https://example.com", "/abc", "abc/index", "abc#anchor", "abc?query=1", "index.md", "index.html"]),
     "is_relative_url": ([".", "..", "./abc/def", "./abc/def#an-anchor", "./abc/def?query=1#an-anchor", "../abc/def", "./abc/def.pdf"], ["abc", "/abc/def", "", "./abc/def.html", "./abc/def.md"]),
@@ -56,6 +58,7 @@ def test_join_segments(spark, parts, joined):
     assert spark.range(1).select(paths.join_segments(*map(F.lit, parts))).first()[0] == joined
 
 
+#: A site of the described system and where its three strategies lead.
 SLUGS = ["a/b/c", "a/b/d", "a/b/index", "e/f", "e/g/h", "index", "a/test.png"]
 RESOLVED = {
     ("absolute", "a/b/c"): {"a/b/d": "../../a/b/d", "a/b/index": "../../a/b/", "e/f": "../../e/f", "index": "../../", "index.png": "../../index.png", "index#abc": "../../#abc", "tag/test": "../../tag/test", "a/b/c#test": "../../a/b/c#test", "a/test.png": "../../a/test.png"},
@@ -85,3 +88,19 @@ def test_slugs_hold_nothing_forbidden(spark, names):
 def test_prefixes(spark):
     assert each(spark, paths.segment_prefixes, ["a/b/c", "a"]) == [["a", "a/b", "a/b/c"], ["a"]]
     assert each(spark, paths.ancestors, ["a/b/c", "a"]) == [["a", "a/b"], []]
+
+
+TREE = ["cases/C-1-22", "cases/C-2-22", "cases/index", "topics/consent", "topics/old/consent", "index", "about"]
+
+
+@pytest.mark.parametrize("source", ["about", "topics/consent", "cases/index", "topics/old/consent"])
+def test_links_lead_back(spark, source):
+    """From any page, a name that is unique leads to its page: root and resolved address together give the slug."""
+    names = {"C-1-22": "cases/C-1-22", "C-2-22": "cases/C-2-22", "about": "about"}
+    links = spark.createDataFrame([(source, n) for n in [*names, "consent"]], "src string, target string")
+    slugs = spark.createDataFrame([(s,) for s in TREE], "slug string")
+    found = {r.target: r.url for r in paths.resolve_links(links, slugs, "shortest").collect()}
+    up = source.count("/")
+    for name, slug in names.items():
+        assert found[name] == ("/".join([".."] * up) if up else ".") + "/" + slug
+    assert found["consent"].endswith("/consent") and "topics" not in found["consent"]  # two pages have this name
