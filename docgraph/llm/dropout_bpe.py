@@ -28,7 +28,7 @@ SPACE = "▁"
 NEVER = np.int32(2**31 - 1)
 CHUNK, LONG = 1 << 20, 64
 SHORT = 11  #: characters of a unit whose merges have a bit each: SHORT * (SHORT - 1) / 2 of 64
-MEMO = 200_000  #: units whose possible merges a task remembers
+SPELLED = 22  #: bits of the hashes by which parts of units are known for pieces
 _UNIT = re.compile(" +[^ ]*|[^ ]+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -39,6 +39,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _spelled(h: np.ndarray, symbol) -> np.ndarray:
+    h = (h ^ symbol) * _M1
+    return h ^ (h >> np.uint64(29))
+
+
 def _bit(start, end):
     """The number of the part start..end of a short unit."""
     return (end - 1) * (end - 2) // 2 + start
@@ -93,7 +98,13 @@ class MergeModel:
                     keys.append(a << 22 | b)
                     ranks.append(rank)
         self._table(np.array(keys, np.int64), np.array(ranks, np.int32))
-        self.plain, self.memo = plain, {}
+        self.spelled = np.zeros(1 << SPELLED, bool)
+        for piece in plain:
+            if 1 < len(piece) <= SHORT:
+                h = np.zeros(1, np.uint64)
+                for c in self.char_ids[[ord(x) if x != SPACE else ord(" ") for x in piece]]:
+                    h = _spelled(h, np.uint64(c))
+                self.spelled[h >> np.uint64(64 - SPELLED)] = True
 
     def _table(self, keys: np.ndarray, ranks: np.ndarray) -> None:
         """Open addressing with linear probes."""
@@ -129,33 +140,37 @@ class MergeModel:
             left = left[~hit & (found != -1)]
         return out
 
-    def possible(self, unit: str) -> int:
-        """A bit for each part of a short unit that is a piece, so that a merge may make it."""
-        bits = self.memo.get(unit)
-        if bits is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            bits, plain, text = 0, self.plain, unit.replace(" ", SPACE) if SPACE not in unit else None
-            if text is None:  # a space sign of the text itself is no piece
-                text = unit.replace(SPACE, "\0").replace(" ", SPACE)
-            for j in range(2, len(text) + 1):
-                base = _bit(0, j)
-                for i in range(j - 1):
-                    if text[i:j] in plain:
-                        bits |= 1 << (base + i)
-            self.memo[unit] = bits
-        return bits
-
-    def segment(self, units: list[str], salts: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of all units, one after another, and how many each has.
+    def possible(self, units: list[str]) -> np.ndarray:
+        """For each short unit a bit for each part that may be a piece, so that a merge may make it; a few more bits cost time and change nothing."""
+        size = np.array([len(u) for u in units])
+        flat = self.char_ids[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint64)
+        ends, out = np.cumsum(size), np.zeros(len(units), np.uint64)
+        by = np.argsort(-size, kind="stable")  # long ones first: those that have a place stand in front
+        begin, left = (ends - size)[by], np.searchsorted(-size[by], -np.arange(SHORT + 1), side="right").tolist()
+        found = np.zeros(len(units), np.uint64)
+        for start in range(SHORT - 1):
+            h = np.zeros(left[start + 1], np.uint64)
+            for end in range(start + 1, SHORT + 1):
+                n = left[end]  # units of at least ``end`` characters
+                if not n:
+                    break
+                h = _spelled(h[:n], flat[begin[:n] + end - 1])
+                if end > start + 1:
+                    found[:n] |= self.spelled[h >> np.uint64(64 - SPELLED)].astype(np.uint64) << np.uint64(_bit(start, end))
+        out[by] = found
+        return out
+
+    def segment(self, units: list[str], salts: np.ndarray, rate: float, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all units (or of those that ``which`` numbers), one after another, and how many each has.
 
         ``salts`` of units of up to SHORT characters are the bits of the merges that are skipped; of longer ones, keys of the hash
         that tells.
         """
-        size = np.array([len(u) for u in units])
+        which = np.arange(len(units)) if which is None else which
+        length = np.array([len(u) for u in units], np.int64)
         flat = self.char_ids[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        starts = np.append(0, np.cumsum(size))
-        out: list = [None] * len(units)
+        begin, size = (np.cumsum(length) - length)[which], length[which]
+        counts, parts = np.zeros(len(which), np.int64), []
         groups = np.select([size <= 6, size <= SHORT, size <= 16, size <= 32, size <= LONG], [6, SHORT, 16, 32, LONG], 0)
         for width in (6, SHORT, 16, 32, LONG):
             members = np.flatnonzero(groups == width)
@@ -163,12 +178,19 @@ class MergeModel:
                 rows = members[s : s + 50_000]
                 grid = np.arange(width)[None] < size[rows][:, None]
                 symbols = np.full((len(rows), width), -1, np.int32)
-                symbols[grid] = flat[(starts[rows][:, None] + np.arange(width))[grid]]
-                self._agenda(rows, symbols, size[rows], salts[rows], rate, out, width <= SHORT)
-        for i in np.flatnonzero(groups == 0):
-            out[i] = self.segment_one(flat[starts[i] : starts[i + 1]], salts[i], rate)
-        counts = np.array([len(x) for x in out])
-        return np.concatenate(out) if out else np.empty(0, np.int32), counts
+                symbols[grid] = flat[(begin[rows][:, None] + np.arange(width))[grid]]
+                found, n = self._agenda(symbols, size[rows], salts[rows], rate, width <= SHORT)
+                counts[rows] = n
+                parts.append((rows, found[np.arange(width)[None] < n[:, None]]))
+        for i in np.flatnonzero(groups == 0).tolist():
+            found = self.segment_one(flat[begin[i] : begin[i] + size[i]], salts[i], rate)
+            counts[i] = len(found)
+            parts.append((np.array([i]), found))
+        out, ends = np.empty(int(counts.sum()), np.int32), np.cumsum(counts)
+        for rows, found in parts:
+            n = counts[rows]
+            out[np.repeat(ends[rows] - np.cumsum(n), n) + np.arange(len(found))] = found
+        return out, counts
 
     def _kept(self, salts, start, end, rate, short: bool):
         """Whether the merge of characters start..end happens."""
@@ -176,8 +198,10 @@ class MergeModel:
             return (salts >> _bit(start, end).astype(np.uint64)) & np.uint64(1) == 0
         return _happens(salts, start, end, rate)
 
-    def _agenda(self, rows, symbols, size, salts, rate, out, short) -> None:
+    def _agenda(self, symbols, size, salts, rate, short) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of each row once no merge is left, and how many."""
         n, width = symbols.shape
+        rows, done, count = np.arange(n), np.full((n, width), -1, np.int32), np.zeros(n, np.int64)
         ends = np.broadcast_to(np.arange(1, width + 1, dtype=np.int32), (n, width)).copy()
         rank = np.full((n, width), NEVER, np.int32)  # of the merge of a symbol with the next
         pair = np.arange(width - 1)[None] < (size - 1)[:, None]
@@ -193,13 +217,12 @@ class MergeModel:
             best = rank[np.arange(n), at]
             ended = best == NEVER
             if ended.any():
-                for r, k, s in zip(rows[ended].tolist(), size[ended].tolist(), symbols[ended], strict=True):
-                    out[r] = s[:k]
+                done[rows[ended]], count[rows[ended]] = symbols[ended], size[ended]
                 on = ~ended
                 rows, symbols, size, salts, ends, rank, at, best = rows[on], symbols[on], size[on], salts[on], ends[on], rank[on], at[on], best[on]
                 n = len(rows)
                 if not n:
-                    return
+                    break
             line = np.arange(n)
             ends[line, at] = ends[line, at + 1]
             symbols[line, at] = self.piece_of_rank[best]
@@ -219,6 +242,7 @@ class MergeModel:
                 kept = self._kept(salts[r[some]], begin, ends[r[some], a[some] + 1], rate, short)
                 found[some[~kept]] = NEVER
                 rank[r, a] = found
+        return done, count
 
     def segment_one(self, symbols: np.ndarray, salt, rate: float) -> np.ndarray:
         """The same agenda for one unit, with a heap over linked symbols."""
@@ -273,30 +297,38 @@ def load_model(path: str) -> MergeModel:
     return MergeModel(path)
 
 
+class _Numbers(dict):
+    """A number for each unit in order of arrival."""
+
+    def __missing__(self, unit: str) -> int:
+        n = self[unit] = len(self)
+        return n
+
+
 def encode_texts(model: MergeModel, texts: list, names: list, seed: int, rate: float) -> list[np.ndarray]:
     """Ids of each whole text; ``names`` key the hashes, so a text's segmentation depends on nothing else."""
-    number: dict[str, int] = {}
-    owner, which = [], []
+    number, owner, which = _Numbers(), [], []
     for t in texts:
         units = _UNIT.findall(" " + t) if t else []
         owner.append(len(units))
-        which += [number.setdefault(u, len(number)) for u in units]
+        which += map(number.__getitem__, units)
     if not which:
         return [np.empty(0, np.int32)] * len(texts)
     units, which, owner = list(number), np.array(which), np.array(owner)
     key = np.array([zlib.crc32(str(n).encode()) for n in names], np.uint64)
     place = np.arange(len(which)) - np.repeat(np.cumsum(owner) - owner, owner)
-    salts = _mix(_mix(np.repeat(key, owner) * _M1 + place.astype(np.uint64)) + np.uint64(seed & 0xFFFFFFFF) * _M2)
-    short = np.array([len(u) <= SHORT for u in units])
-    bits = np.array([model.possible(u) if s else 0 for u, s in zip(units, short.tolist(), strict=True)], np.uint64)
+    salts = _mix(_mix(np.repeat(key, owner) * _M1 + place.astype(np.uint64)) + np.uint64((seed & 0xFFFFFFFF) * int(_M2) & 2**64 - 1))
+    short, bits = np.array([len(u) <= SHORT for u in units]), np.zeros(len(units), np.uint64)
+    if rate > 0:
+        bits[short] = model.possible([u for u, s in zip(units, short.tolist(), strict=True) if s])
     state = np.where(short[which], _skipped(salts, bits[which], rate), salts if rate > 0 else np.uint64(0))
-    # equal (unit, state) once
-    order = np.lexsort((state, which))
+    # equal (unit, state) once; hashes bring them together
+    order = np.argsort((which.astype(np.uint64) * _M2 ^ state) * _M1, kind="stable")
     first = np.append(True, (which[order][1:] != which[order][:-1]) | (state[order][1:] != state[order][:-1]))
     back = np.empty(len(order), np.int64)
     back[order] = np.cumsum(first) - 1
     one = order[first]
-    ids, counts = model.with_bytes(*model.segment([units[u] for u in which[one].tolist()], state[one], rate))
+    ids, counts = model.with_bytes(*model.segment(units, state[one], rate, which[one]))
     starts = np.append(0, np.cumsum(counts))[:-1]
     size = counts[back]
     ends = np.cumsum(size)

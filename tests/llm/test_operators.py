@@ -272,7 +272,7 @@ def test_dropout(spark, docs, empty):
     model = dropout_bpe.load_model(public_tokenizers.path("piece_bpe_32k.model"))
     units = [" " + w * k for w in WORDS for k in (1, 2, 3)]
     salts = np.arange(len(units)).astype(np.uint64) * np.uint64(977)
-    salts = np.array([int(x) * 7919 & model.possible(u) if len(u) <= dropout_bpe.SHORT else int(x) for u, x in zip(units, salts, strict=True)], np.uint64)
+    salts = np.array([int(x) * 7919 & int(model.possible([u])[0]) if len(u) <= dropout_bpe.SHORT else int(x) for u, x in zip(units, salts, strict=True)], np.uint64)
     ids, counts = model.segment(units, salts, 0.4)
     cuts = np.append(0, np.cumsum(counts))
     for k, u in enumerate(units):  # the agenda of arrays is the agenda of a heap
