@@ -167,7 +167,7 @@ def _hash_rows(ids, keys, doc, place, spans, h, buckets, serial):
     """One row for each bucket, in which a hash stands once; where two documents of a batch share it, their places are known to repeat."""
     if not len(h):
         return
-    order = np.lexsort((doc, h))
+    order = np.argsort(h, kind="stable")  # documents stand in their order already
     h, doc, place, spans = h[order], doc[order], place[order], spans[order]
     first = np.append(True, h[1:] != h[:-1])
     group = np.cumsum(first) - 1
@@ -180,7 +180,7 @@ def _hash_rows(ids, keys, doc, place, spans, h, buckets, serial):
     for told, rows in ((False, np.flatnonzero(send)), (True, np.flatnonzero(known))):
         key = bucket[rows] if not told else np.full(len(rows), -1 - serial % buckets)
         long = place[rows] >> 16 > 0  # rows of two-byte places and of four-byte ones
-        by = np.lexsort((doc[rows], long, key))
+        by = np.argsort(((key + buckets) * 2 + long << 16) + doc[rows], kind="stable")  # a batch has fewer than 1 << 16 documents
         rows, key, long = rows[by], key[by], long[by]
         cuts = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (long[1:] != long[:-1]))), len(key)) if len(key) else []
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
