@@ -157,12 +157,16 @@ def rules_for(rulings: DataFrame, key: str, points: Column, number: Column) -> D
     return named.select(key, "article", place.cast("long").alias("place"), "rule")
 
 
-def rules_or_whole(rulings: DataFrame, key: str, points: Column, number: Column, wanted: DataFrame, whole: Column) -> DataFrame:
-    """key, article, rule for each row of ``wanted`` (key, article): the points that name the article, else the whole ruling."""
+def rules_or_first(rulings: DataFrame, key: str, points: Column, number: Column, wanted: DataFrame, mentioned: Column) -> DataFrame:
+    """key, article, rule for each row of ``wanted`` (key, article): the points that name the article; failing those, the first point if the whole ruling mentions it.
+
+    ``mentioned`` is an array of the articles that a whole ruling mentions.  An article that it doesn't mention has no rule.
+    """
     named = rules_for(rulings, key, points, number).select(key, "article", "rule")
-    all_of = rulings.select(key, whole.alias("_whole"))
-    asked = wanted.join(named, [key, "article"], "left").join(all_of, key)
-    return asked.select(key, "article", F.coalesce("rule", "_whole").alias("rule"))
+    whole = rulings.select(key, F.get(points, F.lit(0)).alias("_first"), mentioned.alias("_mentioned"))
+    asked = wanted.join(named, [key, "article"], "left").join(whole, key)
+    rule = F.coalesce("rule", F.when(F.array_contains("_mentioned", F.col("article")), F.col("_first")))
+    return asked.select(key, "article", rule.alias("rule")).filter("rule is not null")
 
 
 def rollup_counts(rows: DataFrame, outer: str, inner: str) -> DataFrame:
@@ -190,3 +194,9 @@ def with_records(links: DataFrame, records: DataFrame, key: str, columns: list[s
     for end in ("src", "dst"):
         links = links.join(records.select(F.col(key).alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns]), end, "left")
     return links
+
+
+def previews(links: DataFrame, pages: DataFrame, column: str) -> DataFrame:
+    """Links (src, dst) to pages (slug) with a column of theirs; only pages that are linked are joined, each once."""
+    linked = pages.select(F.col("slug").alias("dst"), column).join(links.select("dst").distinct(), "dst", "left_semi")
+    return links.join(linked, "dst").select("src", "dst", column)

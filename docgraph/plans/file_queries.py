@@ -261,3 +261,27 @@ def relevant_interpretations(spark, sf):
     body = F.col("body")
     context = refs.context(body, "Article 5")
     return rows.select("doc_id", refs.is_relevant(body).alias("relevant"), F.when(F.contains(context, F.lit("Article 5")) & context.startswith("...") & (F.length(context) <= 220), "Article 5").alias("context"), refs.interpretation(body, F.lit(5)).alias("interpretation"))
+
+
+@query("SELECT 'p' || o_custkey AS path, max(o_orderdate)::DATE AS day FROM orders GROUP BY o_custkey")
+def git_dates(spark, sf):
+    """The last commit of each file, from a log; a commit for each order, in files of many."""
+    o = read(spark, sf, "orders")
+    entry = F.concat(F.lit("commit "), _S(F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))), F.lit("\n\np"), _S(F.col("o_custkey")), F.lit("\n"))
+    logs = o.groupBy(F.pmod("o_orderkey", F.lit(50))).agg(F.concat_ws("", F.collect_list(entry)).alias("value"))
+    return vault.git_dates(logs).select("path", F.to_date("at").alias("day"))
+
+
+@query("SELECT 'read' AS step, count(*)::BIGINT AS n FROM documents UNION ALL SELECT 'filter 0', count(*) FROM documents WHERE n_chars > 100 UNION ALL SELECT 'filter 1', count(*) FROM documents WHERE n_chars > 100 AND lang = 'en'")
+def step_counts(spark, sf):
+    """How many rows pass each step of a pipeline, observed while its result is written."""
+    site = pipeline.Pipeline(filters=[lambda d: F.col("n_chars") > 100, lambda d: F.col("lang") == "en"])
+    out, seen = site.counted(read(spark, sf, "documents"))
+    out.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(step, o.get["n"]) for step, o in seen.items()], "step string, n long")  # a row a step
+
+
+@query("WITH e AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) < 86400 THEN 0 ELSE 1 END AS fresh FROM events), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM e) SELECT user_id, count(*)::BIGINT AS asked, arg_max(event_id, (ts, event_id)) AS event_id FROM g GROUP BY user_id, turn")
+def debounced_builds(spark, sf):
+    """Requests that follow one another within a day ask for one build."""
+    return incremental.debounced(read(spark, sf, "events").select("user_id", "ts", "event_id"), "user_id", "1 day", "ts", "event_id").select("user_id", "asked", "event_id")

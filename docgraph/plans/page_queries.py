@@ -257,3 +257,24 @@ def alias_redirects(spark, sf):
     """Each page's title as an alias, and the relative URL that it leads to."""
     rows = pages(spark, sf).select("slug", F.lower(paths.sluggify(F.col("title"))).alias("alias")).distinct()
     return rows.select("slug", "alias", paths.resolve_relative(F.col("alias"), F.col("slug")).alias("url"))
+
+
+@query(f"""WITH {PAGES}, pp AS (SELECT min(title) AS title, slug FROM pg GROUP BY slug), an AS (SELECT DISTINCT array_to_string(string_split(slug, '/')[1:i], '/') AS folder FROM (SELECT slug, unnest(range(1, len(string_split(slug, '/')))) AS i FROM pp)), tg AS (SELECT slug, split_part(slug, '/', 1) AS tag FROM pp WHERE contains(slug, '/'))
+SELECT 'content' AS kind, slug, title, 1::BIGINT AS n FROM pp UNION ALL SELECT 'folder', folder || '/index', regexp_extract(folder, '[^/]*$'), (SELECT count(*) FROM pp WHERE regexp_extract(slug, '^(.*)/[^/]*$', 1) = folder AND NOT regexp_matches(slug, '(^|/)index$')) FROM an WHERE folder <> 'tags'
+UNION ALL SELECT 'tag', 'tags/' || tag, tag, count(*) FROM tg GROUP BY tag UNION ALL SELECT 'tags', 'tags/index', 'Tags', count(DISTINCT tag) FROM tg UNION ALL SELECT 'index', 'index', 'Home', count(*) FROM pp HAVING count(*) FILTER (slug = 'index') = 0 UNION ALL SELECT 'lost', '404', 'Not found', 0""")
+def page_models(spark, sf):
+    """The rows behind all pages of a site; the first folder of a page is its tag."""
+    from ..sources import sinks
+
+    p = pages(spark, sf).groupBy("slug").agg(F.min("title").alias("title"))
+    tags = p.filter(F.contains("slug", F.lit("/"))).select("slug", F.split_part("slug", F.lit("/"), F.lit(1)).alias("tag"))
+    return sinks.page_models(p, tags)
+
+
+@query(f"WITH {PAGES}, lk AS (SELECT DISTINCT slug AS src, split_part(slug, '/', 1) AS dst FROM pg WHERE contains(slug, '/') UNION SELECT DISTINCT slug, slug FROM pg), tx AS (SELECT slug, min(title) AS preview FROM pg GROUP BY slug) SELECT src, dst, preview FROM lk JOIN tx ON tx.slug = dst")
+def link_previews(spark, sf):
+    """What a link shows when it is pointed at: each target is read once, however many links lead there."""
+    p = pages(spark, sf)
+    own = p.select(F.col("slug").alias("src"), F.split_part("slug", F.lit("/"), F.lit(1)).alias("dst")).filter(F.contains("src", F.lit("/")))
+    found = own.unionByName(p.select(F.col("slug").alias("src"), F.col("slug").alias("dst"))).distinct()
+    return relations.previews(found, p.groupBy("slug").agg(F.min("title").alias("preview")), "preview")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import is_true
@@ -50,6 +50,15 @@ class Pipeline:
             keep = keep & F.coalesce(f(pages), F.lit(False))
         return pages.filter(~keep)
 
+    def counted(self, pages: DataFrame) -> tuple[DataFrame, dict[str, Observation]]:
+        """The pages that stay, and for each step an observation of how many passed it, which the first action on them fills: no pass of its own."""
+        seen = {"read": Observation()}
+        pages = self.transform(pages.observe(seen["read"], F.count(F.lit(1)).alias("n")))
+        for k, f in enumerate(self.filters):
+            seen[f"filter {k}"] = Observation()
+            pages = pages.filter(f(pages)).observe(seen[f"filter {k}"], F.count(F.lit(1)).alias("n"))
+        return pages, seen
+
     def run(self, pages: DataFrame) -> dict[str, DataFrame]:
         out = self.kept(self.transform(pages))
         return {name: emit(out) for name, emit in self.emitters.items()}

@@ -181,13 +181,13 @@ def rules_by_key(spark, sf):
     return rows.withColumn("article", F.col("article").cast("long"))
 
 
-@query(f"WITH {_RUL}, w AS (SELECT item_id, 6 AS article FROM ru) SELECT w.item_id, w.article::BIGINT AS article, coalesce(n.rule, f.rule) AS rule FROM w LEFT JOIN nm n ON n.item_id = w.item_id AND n.article = w.article JOIN pt f ON f.item_id = w.item_id AND f.pos = 0")
+@query(f"WITH {_RUL}, nh AS (SELECT item_id, rule, pos, unnest(list_distinct(list_transform(regexp_extract_all(rule, 'Article\\s+(\\d+) holds', 1), lambda x: x::BIGINT))) AS article FROM pt), w AS (SELECT item_id, unnest([2, 6]) AS article FROM ru) SELECT w.item_id, w.article::BIGINT AS article, coalesce(n.rule, f.rule) AS rule FROM w LEFT JOIN nh n ON n.item_id = w.item_id AND n.article = w.article JOIN pt f ON f.item_id = w.item_id AND f.pos = 0 WHERE n.rule IS NOT NULL OR EXISTS (SELECT 1 FROM nm m WHERE m.item_id = w.item_id AND m.article = w.article)")
 def rules_fallback(spark, sf):
-    """The points that name article 6; where none does, the first point."""
+    """The points that say that an article holds; where none does, the first point if the ruling mentions the article."""
     r = _rulings(spark, sf)
-    named = relations.rules_for(r, "item_id", refs.points(F.col("ruling")), refs.numbers(F.col("rule"))).filter("article = 6").select("item_id", "rule")
-    first = r.select("item_id", F.element_at(refs.points(F.col("ruling")), 1).alias("rule"))
-    return named.unionByName(first.join(named, "item_id", "left_anti")).select("item_id", F.lit(6).cast("long").alias("article"), "rule")
+    wanted = r.select("item_id", F.explode(F.array(F.lit(2), F.lit(6))).alias("article"))
+    found = relations.rules_or_first(r, "item_id", refs.points(F.col("ruling")), refs.numbers(F.col("rule"), r"Article\s+(\d+) holds"), wanted, refs.numbers(F.col("ruling")))
+    return found.withColumn("article", F.col("article").cast("long"))
 
 
 @query(r"SELECT o_orderkey, replace(c, '/', '-') AS file, regexp_replace(c, '/', '⧸') AS shown, replace(c, '/', '∕') AS timeline, regexp_replace(replace(c, '/', '-'), '^C-(\d+)-(\d+)$', 'C-\1/\2') AS label FROM (SELECT o_orderkey, 'C-' || o_orderkey || '/' || o_custkey % 100 || CASE WHEN o_orderkey % 5 = 0 THEN '/x' ELSE '' END AS c FROM orders)")

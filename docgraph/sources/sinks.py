@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import resolve_relative, slugify_file_path
+from ..functions.paths import basename, resolve_relative, slugify_file_path
 from ..functions.text import escape_html, rss_date
-from ..operators.relations import numbered
+from ..operators.relations import folder_children, folders, numbered
 from .vault import split_front
 
 
@@ -104,3 +104,24 @@ def front_dump(files: DataFrame) -> DataFrame:
     """path and entry: the front matter of every file that has some, under its path."""
     front, _ = split_front(F.col("value"))
     return files.select("path", front.alias("_front")).filter("_front <> ''").select("path", F.concat(F.lit("## "), "path", F.lit("\n"), "_front").alias("entry"))
+
+
+def page_models(pages: DataFrame, tags: DataFrame) -> DataFrame:
+    """(kind, slug, title, n): the rows behind every page that a site has.
+
+    ``pages`` has slug and title, ``tags`` slug and tag.  A content page is itself; folders count what is directly in them, tags their pages; one
+    page lists all tags, one is the root's if no page is, and one says that nothing was found.
+    """
+    row = lambda kind, slug, title, n: (F.lit(kind).alias("kind"), slug.alias("slug"), title.alias("title"), n.cast("long").alias("n"))
+    content = pages.select(*row("content", F.col("slug"), F.col("title"), F.lit(1)))
+    inside = folder_children(pages).groupBy("folder").agg(F.count("*").alias("n"))
+    folder = folders(pages).join(inside, "folder", "left").select(*row("folder", F.concat("folder", F.lit("/index")), basename(F.col("folder")), F.coalesce("n", F.lit(0))))
+    counted = tags.groupBy("tag").agg(F.countDistinct("slug").alias("n"))
+    tag = counted.select(*row("tag", F.concat(F.lit("tags/"), "tag"), F.col("tag"), F.col("n")))
+    listing = counted.agg(F.count("*").alias("n")).select(*row("tags", F.lit("tags/index"), F.lit("Tags"), F.col("n")))
+    root = pages.agg(F.count_if(F.col("slug") == "index").alias("own"), F.count("*").alias("n")).filter("own = 0").select(*row("index", F.lit("index"), F.lit("Home"), F.col("n")))
+    lost = pages.sparkSession.range(1).select(*row("lost", F.lit("404"), F.lit("Not found"), F.lit(0)))
+    out = content
+    for part in (folder, tag, listing, root, lost):
+        out = out.unionByName(part)
+    return out

@@ -209,3 +209,8 @@ def state_or_default(rows: DataFrame, saved: DataFrame, key: str, column: str) -
     return rows.join(saved.select(key, F.col(column).alias("_saved")), key, "left").withColumn(column, F.coalesce("_saved", column)).drop("_saved")
 
 
+def git_dates(logs: DataFrame) -> DataFrame:
+    """path and its last commit's time, of rows of whole logs (value), as ``git log --name-only --format='commit %ct'`` writes them."""
+    commits = logs.select(F.explode(F.split("value", r"(?m)^commit (?=\d+$)")).alias("c")).filter("c <> ''")
+    lines = commits.select(F.timestamp_seconds(F.regexp_extract("c", r"^(\d+)", 1).cast("long")).alias("at"), F.explode(F.split("c", "\n")).alias("path"))
+    return lines.filter((F.trim("path") != "") & ~F.col("path").rlike(r"^\d+$")).groupBy("path").agg(F.max("at").alias("at"))

@@ -37,6 +37,12 @@ def merge_state(state: DataFrame, events: DataFrame, key: str, *order: str) -> D
     return latest(state.unionByName(new), key, *order)
 
 
+def debounced(events: DataFrame, key: str, gap: str, *order: str) -> DataFrame:
+    """(key, asked, the columns of the last event): events of a key that follow one another within ``gap`` ask for one build, which the last of them stands for."""
+    turns = events.groupBy(key, F.session_window(order[0], gap)).agg(F.count("*").alias("asked"), F.max(F.struct(*order, *[c for c in events.columns if c not in (key, *order)])).alias("_last"))
+    return turns.select(key, "asked", "_last.*")
+
+
 def pending(events: DataFrame, key: str, *order: str) -> tuple[DataFrame, DataFrame]:
     """(to build, to remove) of a batch of events."""
     last = latest(events, key, *order)

@@ -156,11 +156,11 @@ def test_transclusion(spark):
     assert {r.pos: r.content for r in relations.transclude(embeds, pages).collect()} == {0: "block", 1: "whole", 2: None, 3: "section", 4: None, 5: "block"}
 
 
-def test_rules_or_whole(spark):
-    r = spark.createDataFrame([(1, "1. Article 6 holds.\n2. No more."), (2, "1. Nothing.\n2. No more.")], "id int, ruling string")
-    wanted = spark.createDataFrame([(1, 6), (2, 6)], "id int, article int")
-    found = relations.rules_or_whole(r, "id", refs.points(F.col("ruling")), refs.numbers(F.col("rule")), wanted, F.col("ruling")).collect()
-    assert {(x.id, x.rule) for x in found} == {(1, "Article 6 holds."), (2, "1. Nothing.\n2. No more.")}
+def test_rules_or_first(spark):
+    r = spark.createDataFrame([(1, "1. Article 6(1) holds.\n2. No more."), (2, "1. First.\n2. See Article 6."), (3, "1. Nothing.")], "id int, ruling string")
+    wanted = spark.createDataFrame([(1, 6), (2, 6), (3, 6), (2, 7)], "id int, article int")
+    found = relations.rules_or_first(r, "id", refs.points(F.col("ruling")), refs.numbers(F.col("rule"), r"Article (\d+)\("), wanted, refs.numbers(F.col("ruling"))).collect()
+    assert {(x.id, x.article, x.rule) for x in found} == {(1, 6, "Article 6(1) holds."), (2, 6, "First.")}
 
 
 def test_index_round_trip(spark, tmp_path):
