@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, materialize, packed, releasing, unpacked
 from .components import connected_components, roots
+from .suffixes import Spool
 
 COUNTERS, SLICES = 1 << 22, 64
 BLOOM_BITS = 1 << 27  #: at most; a filter that gets full passes more and loses nothing
 CHUNK = 2 << 20
 BLOCK_SETS, BLOCK_BYTES = 512, 32 << 20  #: most that a block of a family holds, whichever is less, but one set
-PAIRS = 1 << 19  #: group pairs that a task holds
+PAIRS, RUN_BYTES = 1 << 19, 16 << 20  #: group pairs that a task holds, and bytes of each column of an n-gram's postings
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -218,7 +219,7 @@ def _shared(percent: int):
         beside = (token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:])
         alone = beside & ~np.append(False, token[2:] == token[:-2]) & ~np.append(token[2:] == token[:-2], False)
         beside &= ~alone | _fits(n[:-1], pos[:-1], n[1:], pos[1:], percent)
-        keep = np.append(beside, False) | np.append(False, beside)
+        keep = (np.append(beside, False) | np.append(False, beside))[: len(token)]  # of none, none
         token, grp, n, pos = token[keep], grp[keep], n[keep], pos[keep]
         links = []
         if len(token):
@@ -263,26 +264,19 @@ def _rest(percent: int):
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2]), pa.array(count.astype(np.int64))], names=["g", "h", "least", "shared"])
 
     def run(batches):
-        held, found, size = [], [], 0
-
-        def runs(final: bool):
-            """Pairs of the runs that are whole; what may go on stays held."""
-            nonlocal held
-            columns = [np.concatenate([h[k] for h in held]) for k in range(7)] if held else [np.empty(0, np.int64)] * 7
-            token = columns[0]
-            cuts = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token)) if len(token) else np.zeros(1, np.int64)
-            whole = cuts if final else cuts[:-1]
-            held = [] if final or not len(token) else [tuple(c[cuts[-2] :] for c in columns)]
-            for s, e in zip(whole[:-1], whole[1:], strict=True):
-                yield from of_run(*(c[s:e] for c in columns[1:]))
+        run_of, found, size = _Run(), [], 0
 
         def pairs():
             for b in batches:
-                if b.num_rows:
-                    held.append(tuple(np.array(b[c], np.int64) for c in ("token", "grp", "n", "pos", "low", "high", "family")))
-                    if held[0][0][0] != held[-1][0][-1]:
-                        yield from runs(False)
-            yield from runs(True)
+                columns = [np.array(b[c], np.int64) for c in ("token", "grp", "n", "pos", "low", "high", "family")]
+                token = columns[0]
+                cuts = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token)) if len(token) else np.zeros(1, np.int64)
+                for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    if run_of.n and run_of.token != token[s]:
+                        yield from of_run(*run_of.take())
+                    run_of.put(int(token[s]), [c[s:e] for c in columns[1:]])
+            if run_of.n:
+                yield from of_run(*run_of.take())
 
         for p in pairs():
             found.append(p)
@@ -296,6 +290,23 @@ def _rest(percent: int):
     return run
 
 
+class _Run:
+    """The postings of one n-gram, which may come in several batches, in files beyond RUN_BYTES a column."""
+
+    def __init__(self):
+        self.token, self.n, self.columns = 0, 0, [Spool("<i8", RUN_BYTES) for _ in range(6)]
+
+    def put(self, token: int, columns: list[np.ndarray]) -> None:
+        self.token, self.n = token, self.n + len(columns[0])
+        for spool, c in zip(self.columns, columns, strict=True):
+            spool.put(c)
+
+    def take(self) -> list[np.ndarray]:
+        out = [s.array() for s in self.columns]
+        self.n, self.columns = 0, [Spool("<i8", RUN_BYTES) for _ in range(6)]
+        return out
+
+
 def _bloom(ids: DataFrame, count: int):
     """A bit table that holds the ids, of at most BLOOM_BITS bits."""
     bits = min(BLOOM_BITS, 1 << max(14, (16 * max(count, 1)).bit_length()))
