@@ -26,7 +26,7 @@ from .common import by_bytes
 
 SPACE = "▁"
 NEVER = np.int32(2**31 - 1)
-CHUNK, LONG = 1 << 20, 64
+CHUNK, LONG = 4 << 20, 64
 SHORT = 11  #: characters of a unit whose merges have a bit each: SHORT * (SHORT - 1) / 2 of 64
 SPELLED = 22  #: bits of the hashes by which parts of units are known for pieces
 _UNIT = re.compile(" +[^ ]*|[^ ]+")
