@@ -128,7 +128,7 @@ def _bytes(text) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-_HASHES = pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), ("docs", pa.binary()), ("keys", pa.binary()), ("doc", pa.binary()), ("place", pa.binary()), ("spans", pa.binary()), ("hash", pa.binary())])
+_HASHES = pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), ("docs", pa.binary()), ("keys", pa.binary()), ("doc", pa.binary()), ("place", pa.binary()), ("near", pa.binary()), ("spans", pa.binary()), ("hash", pa.binary())])
 _PARTS = pa.schema([("part", pa.int64()), ("docs", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("items", pa.binary())])
 _STRETCHES = pa.schema([("shard", pa.int64()), ("known", pa.bool_()), ("docs", pa.binary()), ("keys", pa.binary()), ("at", pa.binary()), ("windows", pa.binary()), ("which", pa.binary()), ("texts", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary())])
 _ITEMS = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("items", pa.binary())])
@@ -180,14 +180,14 @@ def _hash_rows(ids, keys, doc, place, spans, h, buckets, serial):
     for told, rows in ((False, np.flatnonzero(send)), (True, np.flatnonzero(known))):
         key = bucket[rows] if not told else np.full(len(rows), -1 - serial % buckets)
         long = place[rows] >> 16 > 0  # rows of two-byte places and of four-byte ones
-        by = np.argsort(((key + buckets) * 2 + long << 16) + doc[rows], kind="stable")  # a batch has fewer than 1 << 16 documents
+        by = np.argsort(((key + buckets) * 2 + long << 40) + order[rows], kind="stable")  # documents and places in their order
         rows, key, long = rows[by], key[by], long[by]
         cuts = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (long[1:] != long[:-1]))), len(key)) if len(key) else []
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             r = rows[s:e]
             present, local = np.unique(doc[r], return_inverse=True)
             yield pa.RecordBatch.from_pylist(
-                [{"bucket": int(key[s]), "known": told, "docs": _squeezed(ids[present], "<i8", True), "keys": _squeezed(keys[present], "<u4"), "doc": local.astype("<u2").tobytes(), "place": place[r].astype("<u4" if long[s] else "<u2").tobytes(), "spans": _squeezed(spans[r], "<u2"), "hash": b"" if told else rest[r].astype("<u4").tobytes()}],
+                [{"bucket": int(key[s]), "known": told, "docs": _squeezed(ids[present], "<i8", True), "keys": _squeezed(keys[present], "<u4"), "doc": _squeezed(local, "<u2", True), "place": _squeezed(place[r], "<u4", True) if long[s] else b"", "near": b"" if long[s] else _squeezed(place[r], "<u2", True), "spans": _squeezed(spans[r], "<u2"), "hash": b"" if told else rest[r].astype("<u4").tobytes()}],
                 schema=_HASHES,
             )
 
@@ -230,12 +230,12 @@ def _repeated(table: pa.Table, parts: int) -> pa.Table:
     ids, keys, flags, hashes, sure = [], [], [], [], []
     for r in table.to_batches():
         for i in range(r.num_rows):
-            row = {c: r[c][i].as_py() for c in ("known", "docs", "keys", "doc", "place", "spans", "hash")}
-            doc = np.frombuffer(row["doc"], "<u2")
+            row = {c: r[c][i].as_py() for c in ("known", "docs", "keys", "doc", "place", "near", "spans", "hash")}
+            doc = _restored(row["doc"], "<u2", True)
             ids.append(_restored(row["docs"], "<i8", True)[doc])
             keys.append(_restored(row["keys"], "<u4")[doc])
             flag = np.empty(len(doc), _FLAG)
-            flag["place"] = np.frombuffer(row["place"], "<u4" if len(row["place"]) > len(row["doc"]) else "<u2")
+            flag["place"] = _restored(row["near"], "<u2", True) if row["near"] else _restored(row["place"], "<u4", True)
             flag["spans"] = _restored(row["spans"], "<u2")
             flags.append(flag)
             hashes.append(np.zeros(len(doc), np.uint32) if row["known"] else np.frombuffer(row["hash"], "<u4"))
