@@ -20,4 +20,15 @@ l AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE
 r AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
 SELECT w.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.y)::BIGINT AS component_id FROM w JOIN r ON r.x = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id"""
 
-ORACLES = {"op5_chat_format": OP5, "op8_jaccard_join": OP8}
+#: Every 50-byte string of every document, in hexadecimal so that two characters are a byte.
+OP1 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT doc_id, i FROM w JOIN f ON f.s = w.s WHERE first < doc_id),
+sp AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM g)) GROUP BY doc_id, grp),
+k AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM sp UNION ALL SELECT d.doc_id, coalesce(max(b), 0), n FROM d LEFT JOIN sp ON sp.doc_id = d.doc_id GROUP BY d.doc_id, n),
+t AS (SELECT k.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS kept FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(r, 0)::BIGINT AS n_removed, coalesce(c, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t ON t.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, sum(b - a) AS r, count(*) AS c FROM sp GROUP BY doc_id) x ON x.doc_id = d.doc_id"""
+
+ORACLES = {"op1_suffix_dedup": OP1, "op5_chat_format": OP5, "op8_jaccard_join": OP8}
