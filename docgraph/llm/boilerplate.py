@@ -175,8 +175,8 @@ NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def label_documents(docs: DataFrame, crf: Crf, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, NAMES and the columns ``keep`` for every row of ``docs`` (doc_id, text).
 
-    A null text has no words, so that it fails.  Repeated rows repeat and a null doc_id is kept.  An empty table
-    gives no rows.  Other columns are ignored.
+    A null text has no words, so that it fails.  Repeated rows repeat and a null doc_id is kept.  A line whose labels tie is
+    content; a share of just CONTENT_SHARE is kept.  An empty table gives no rows.  Other columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(crf)
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]

@@ -415,9 +415,11 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
 
 
 def conversation_digests(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
-    """Digests of every conversation, read back from its formatted text; memory holds one turn, however many there are.
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars of every conversation, read back from its formatted text.
 
-    Nulls, repeats and empty tables: see ``format_conversations``.
+    Turns are streamed in their order, ties of turn by role and text, so memory holds one turn, however many there are and
+    however long the others are; a conversation is one task's work.  A null role or text counts as empty.  Rows with a null conv_id are one
+    conversation.  Repeated rows are repeated turns.  An empty table gives no rows.  Other columns, whatever their names, are ignored.
     """
 
     def run(batches):

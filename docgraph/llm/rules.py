@@ -172,8 +172,8 @@ def train_classifier(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMP
 def score_quality(docs: DataFrame, model: RuleModel, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted (and the columns ``keep``) for every row of ``docs`` (doc_id, text).
 
-    A null text is scored as an empty one.  A null doc_id is kept and is not held out.  Repeated rows repeat.  An
-    empty table gives no rows; without any training row every score is 0.5.  Other columns are ignored.
+    A null text is scored as an empty one.  A null doc_id is kept and is not held out.  Repeated rows repeat.  A score
+    of just 0.5 is predicted 1.  An empty table gives no rows; without any training row every score is 0.5.  Other columns are ignored.
     """
     stats = with_statistics(docs, "doc_id", *keep).withColumn("score", model.column())
     doc_id = F.col("_kept.doc_id")
