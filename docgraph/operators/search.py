@@ -87,23 +87,21 @@ def records(results: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     return docs.join(F.broadcast(results.withColumnRenamed("id", key)), key)  # SHOWN rows a field
 
 
-def best_window(tokens: Column, hit, width: int = WINDOW) -> Column:
-    """Where the window of ``width`` tokens with most hits starts; the last of equals, 0 for short texts.
+def best_window(docs: DataFrame, tokens: str, hit, width: int = WINDOW) -> DataFrame:
+    """docs with n (tokens) and best: where the window of ``width`` tokens with most hits starts; the last of equals, 0 for short texts.
 
-    ``hit`` is a condition on a token.  All is done within the row: sums of hits up to each place, then the difference of two.
+    ``tokens`` names a column of words and ``hit`` is a condition on a word.  All is done within the row, in one pass over the words and one over
+    the places of hits, which stand in a column of their own, as a lambda would work an expression out anew for each element.
     Starts stop ``width`` before the end.
     """
-    flags = F.transform(tokens, lambda t: F.when(hit(t), 1).otherwise(0))
-    places = F.filter(F.transform(flags, lambda f, i: F.when(f == 1, i)), lambda i: i.isNotNull())
-    # a window with most hits, the last such, either starts at a hit or stands as late as it can; ends move by one hit at a time
-    last = F.size(tokens) - width - 1
-
-    def window(at: Column) -> Column:
-        return F.struct(F.size(F.filter(F.slice(flags, at + 1, width), lambda f: f == 1)).alias("s"), at.alias("pos"))
-
-    starts = F.array_append(F.filter(places, lambda p: p <= last), last)
-    best = F.array_max(F.transform(starts, window))
-    return F.when(last < 0, 0).otherwise(best["pos"]).cast("long")
+    places = F.filter(F.transform(tokens, lambda t, i: F.when(hit(t), i)), lambda i: i.isNotNull())
+    rows = docs.withColumn("n", F.size(tokens).cast("long")).withColumn("_hits", places)
+    # of windows with most hits the last starts at a hit, or as late as it can; those from a hit on are among the next ``width``
+    last = (F.col("n") - width - 1).cast("int")
+    own = F.transform("_hits", lambda p, i: F.struct(F.size(F.filter(F.slice("_hits", i + 1, F.lit(width)), lambda q: q < p + width)).alias("s"), p.alias("pos")))
+    end = F.struct(F.size(F.filter("_hits", lambda q: (q >= last) & (q < last + width))).alias("s"), last.alias("pos"))
+    best = F.array_max(F.array_append(F.filter(own, lambda w: w["pos"] <= last), end))
+    return rows.withColumn("best", F.when(last < 0, 0).otherwise(best["pos"]).cast("long")).drop("_hits")
 
 
 def excerpt_bounds(best: Column, n: Column, width: int = WINDOW) -> tuple[Column, Column]:

@@ -72,10 +72,9 @@ b AS (SELECT doc_id, n, coalesce((SELECT w2.pos FROM w w2 WHERE w2.doc_id = w.do
 
 
 def _best(spark, sf):
-    """Documents as words, n and the best window."""
-    rows = read(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("words")).filter("words is not null")
-    begins = lambda t: F.lower(t).startswith("th") | F.lower(t).startswith("re")
-    return rows.select("doc_id", "words", F.size("words").cast("long").alias("n"), search.best_window(F.col("words"), begins).alias("best"))
+    """Documents, their words in lower case, n and the best window."""
+    rows = read(spark, sf, "documents").filter("text is not null").select("doc_id", "text", F.split(F.lower("text"), " ").alias("low"))
+    return search.best_window(rows, "low", lambda t: t.startswith("th") | t.startswith("re"))
 
 
 @query(f"WITH {_WIN} SELECT doc_id, n::BIGINT AS n, best FROM b")
@@ -86,8 +85,8 @@ def search_window(spark, sf):
 @query(f"WITH {_WIN}, x AS (SELECT doc_id, n, greatest(best - 30, 0) AS a FROM b) SELECT x.doc_id, a::BIGINT AS start, least(a + 60, n - 1)::BIGINT AS stop, array_to_string(string_split(text, ' ')[a + 1:least(a + 60, n - 1)], ' ') AS excerpt FROM x JOIN documents d ON d.doc_id = x.doc_id")
 def search_excerpt(spark, sf):
     start, stop = search.excerpt_bounds(F.col("best"), F.col("n"))
-    rows = _best(spark, sf).select("doc_id", "words", start.alias("start"), stop.alias("stop"))
-    words = F.slice("words", F.col("start").cast("int") + 1, F.greatest(F.col("stop") - F.col("start"), F.lit(0)).cast("int"))
+    rows = _best(spark, sf).select("doc_id", "text", start.alias("start"), stop.alias("stop"))
+    words = F.slice(F.split("text", " "), F.col("start").cast("int") + 1, F.greatest(F.col("stop") - F.col("start"), F.lit(0)).cast("int"))
     return rows.select("doc_id", "start", "stop", F.array_join(words, " ").alias("excerpt"))
 
 
