@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager, suppress
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -14,25 +14,20 @@ from pyspark.sql import functions as F
 
 from ..operators.tables import written
 
-BATCH_ROWS = 1000  #: rows of an Arrow batch while a table is written
+BATCH_ROWS = 1000  #: rows of an Arrow batch: documents are long
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Texts are long: batches of fewer rows than Spark's default, so that tasks hold less of them."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(int(before) if int(before) > 0 else BATCH_ROWS, BATCH_ROWS))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows for this session, so that tasks hold less of long texts, unless it asks for a number of its own."""
+    if spark.conf.get(_BATCH) == "10000":  # Spark's default
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by a table in the shared folder, written in small batches."""
-    with small_batches(df.sparkSession):
-        return written(df, name)
+    small_batches(df.sparkSession)
+    return written(df, name)
 
 
 def release() -> None:
@@ -72,6 +67,7 @@ def unpacked(raw: bytes, kind, size: int) -> np.ndarray:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -28,7 +28,7 @@ from .suffixes import Spool
 
 COUNTERS, SLICES = 1 << 22, 64
 BLOOM_BITS = 1 << 27  #: at most; a filter that gets full passes more and loses nothing
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 BLOCK_SETS, BLOCK_BYTES = 512, 32 << 20  #: most that a block of a family holds, whichever is less, but one set
 PAIRS, RUN_BYTES = 1 << 19, 16 << 20  #: group pairs that a task holds, and bytes of each column of an n-gram's postings
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -62,7 +62,7 @@ class Shingler:
 
     def ngrams(self, texts: list) -> tuple[np.ndarray, list[tuple[int, int]], dict[int, np.ndarray]]:
         """Hashes of all n-grams of whole texts one after another, each text's part, and the hash of texts shorter than an n-gram."""
-        if len(self.numbers) > 200_000:
+        if len(self.numbers) > 100_000:
             self.numbers = _Numbers()
         words, parts, short = [], [], {}
         for i, text in enumerate(texts):

@@ -22,8 +22,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-BUDGET, BLOCK = 64 << 20, 1 << 20
-NAME_BYTES = 48  #: what a name takes while a string of names is sorted in memory
+BUDGET, BLOCK = 32 << 20, 1 << 20
+NAME_BYTES = 48  #: what a name takes while a string of names is sorted in memory, which may take twice the budget
 LANE_NAMES = 8192  #: suffixes in a lane of names, about
 _DTYPE = np.dtype([("at", "<i8"), ("lcp", "u1")])
 _AT = np.dtype("<i8")
@@ -450,7 +450,7 @@ def _same_part(text: np.ndarray, seeds: np.ndarray, i: np.ndarray, j: np.ndarray
 def _name_order(names: np.ndarray, kinds: int, cap: int, budget: int) -> np.ndarray:
     """Places of a string of names in order of its suffixes, as far as ``cap`` names tell."""
     m = len(names)
-    if m * NAME_BYTES <= budget:
+    if m * NAME_BYTES <= 2 * budget:
         return _doubled(np.array(names, np.int64), cap)
     lane = _name_lanes(names, kinds, budget)
     out = Spool(np.int64, budget)
