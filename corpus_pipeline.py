@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docgraph.llm.boilerplate import label_documents, train_crf
-from docgraph.llm.common import materialize, table
+from docgraph.llm.common import materialize, small_batches, table
 from docgraph.llm.near_copies import near_copy_classes
 from docgraph.llm.packing import pack_documents
 from docgraph.llm.passages import remove_passages
@@ -48,6 +48,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows without a doc_id are documents of their own and stay.  What goes or has to be chosen from is told by doc_id in one table, so texts
     move once.
     """
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     classes = near_copy_classes(docs, words=5, percent=80).filter("doc_id is not null")
     told = classes.groupBy("doc_id").agg(F.min(F.when(F.col("component_id") < F.col("doc_id"), "copy").otherwise("several")).alias("why"), F.count("*").alias("n"))
@@ -60,12 +61,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix-array dedup: passages that an earlier document holds are cut out; n_chars follows the text."""
+    small_batches(spark)
     cut = remove_passages(docs.select(*COLUMNS), PASSAGE_BYTES, keep=("lang", "source", "n_chars"))
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: every token of what is left, in sequences of related documents."""
+    small_batches(spark)
     return pack_documents(docs)
 
 
