@@ -23,12 +23,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str = "rows") -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared folder, which the loss of an executor doesn't touch, and read it again.
 
-    An empty table keeps its schema.
+    What was shuffled for it is removed at once, not when the driver happens to collect its garbage; ``df`` itself should not be
+    executed again.  An empty table keeps its schema.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}"
-    df.write.parquet(path)
+    path, before = f"{shared_folder(spark)}/{name}", spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE, before)
     return spark.read.schema(df.schema).parquet(path)
