@@ -341,7 +341,7 @@ def _bloom_places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def _sets_of(docs: DataFrame, words: int, model) -> DataFrame:
-    """doc_id and set (hashes in order) of the documents that the bit table holds."""
+    """doc_id and set (hashes in order, packed) of the documents that the bit table holds."""
 
     def run(batches):
         shingler, (table, bits) = Shingler(words), model.value
@@ -353,12 +353,24 @@ def _sets_of(docs: DataFrame, words: int, model) -> DataFrame:
             rows = np.flatnonzero(hit)
             texts = [b["text"][i].as_py() for i in rows]
             for s, e in by_bytes(texts, CHUNK):
-                sets = [h.tobytes() for h in shingler.sets(texts[s:e])]
+                sets = [_sent(h) for h in shingler.sets(texts[s:e])]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows[s:e]]), pa.array(sets, pa.binary())], names=["doc_id", "set"])
 
     return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(releasing(run), "doc_id long, set binary")
 
 
+def _sent(hashes: np.ndarray) -> bytes:
+    """A set on its way: all bits of its hashes, as steps from one to the next, whose upper bytes are small and compress, behind their number."""
+    steps = np.diff(hashes, prepend=np.uint64(0))
+    return len(hashes).to_bytes(4, "little") + packed(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def _received(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    planes = unpacked(memoryview(raw)[4:], np.uint8, 8 * n).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _pair_places(pairs: DataFrame, star: int = 2000) -> DataFrame:
     """Where sets go for ``pairs`` (a, b): each to the place of its b; a b with many pairs has a place for each ``star`` of them."""
     size = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(star)).cast("int").alias("places"))
@@ -439,7 +451,7 @@ def _verified(docs: DataFrame, dest: DataFrame, words: int, percent: int) -> Dat
         for batch in batches:
             a_out, b_out = [], []
             for *here, side, a, raw in zip(*(batch[c].to_pylist() for c in (*place, "side", "a", "set")), strict=True):
-                x = np.frombuffer(raw, "<u8")
+                x = _received(raw)
                 if here != at:
                     if at is not None and at[3] >= 0:
                         yield blocks_done()
