@@ -9,7 +9,10 @@ A byte goes if a string of ``length`` bytes that covers it also starts in a docu
 3. Where a hash has one stretch, all its documents but the least repeat it.  The others of a shard are sorted by external induced
    sorting (see ``suffixes``).  Where neighbours share ``length`` bytes, the windows are equal and the least doc_id keeps its own.
    A shard is read as a stream, and what grows with it is in files beyond a budget.
-4. The marks return to the documents.  Exact copies of a document are found by hash first and stay out of 2 and 3.
+4. The marks return to the documents.  Exact copies of a document are found by hash first and stay out of 1, 2 and 3.
+
+What goes from every task to every bucket, shard or part grows with the square of the corpus in number, so tasks gather
+HASHED bytes or HELD stretches before they send, and buckets, shards and parts are as large as memory allows.
 """
 
 from __future__ import annotations
@@ -27,14 +30,16 @@ from .suffixes import BLOCK, BUDGET, Spool, blocks, room, suffix_array
 
 PIECE = 1 << 20  #: bytes of a text that are hashed at once
 HELD = 250_000  #: stretches that a task holds before it sends them
-BUCKET_BYTES, SHARD_BYTES = 32 << 20, 8 << 20  #: bytes of the corpus for each bucket of hashes and each shard of stretches
-PART_BYTES = 4 << 20  #: bytes of the corpus for each part that marks go back to
+HASHED = 8 << 20  #: bytes of texts whose hashes a task sends together
+GRAM = 24  #: bytes that seldom repeat without a passage that does; shorter ones do so the more, the larger the corpus is
+BUCKET_BYTES, SHARD_BYTES = 32 << 20, 12 << 20  #: bytes of the corpus for each bucket of hashes and each shard of stretches
+PART_BYTES = 16 << 20  #: bytes of the corpus for each part that marks go back to
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def gram(length: int) -> int:
     """Bytes of an anchor; a window has ``length - gram + 1`` of them, 64 at most."""
-    return max(1, length // 3, length - 63)
+    return max(1, min(length // 2, GRAM), length - 63)
 
 
 def _gram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
@@ -141,24 +146,29 @@ def _spark(schema: pa.Schema) -> str:
 
 
 def _emit_hashes(length: int, buckets: int):
+    def send(ids, keys, raws, serial):
+        starts = np.append(0, np.cumsum([len(r) for r in raws]))
+        place, h, spans = anchors(np.frombuffer(b"".join(raws), np.uint8), starts, length)
+        doc = np.searchsorted(starts, place, side="right") - 1
+        place = place - starts[doc]
+        yield from _hash_rows(np.array(ids, np.int64), np.array(keys, np.int64), doc, place, spans, h, buckets, serial)
+
     def run(batches):
-        serial = 0
+        ids, keys, raws, size, serial = [], [], [], 0, 0
         for b in batches:
-            ids, keys, texts = np.array(b["doc_id"].fill_null(-(1 << 63)), np.int64), np.array(b["tkey"], np.int64), b["text"]
-            start = 0
-            while start < len(ids):
-                raws, size, end = [], 0, start
-                while end < len(ids) and (not raws or size < 4 * PIECE and len(raws) < 1 << 16):
-                    raws.append(_bytes(texts[end].as_py()))
-                    size += len(raws[-1])
-                    end += 1
-                starts = np.append(0, np.cumsum([len(r) for r in raws]))
-                place, h, spans = anchors(np.frombuffer(b"".join(raws), np.uint8), starts, length)
-                doc = np.searchsorted(starts, place, side="right") - 1
-                place = place - starts[doc]
-                yield from _hash_rows(ids[start:end], keys[start:end], doc, place, spans, h, buckets, serial)
-                serial += 1
-                start = end
+            for doc, key, text in zip(b["doc_id"].fill_null(-(1 << 63)).to_pylist(), b["tkey"].to_pylist(), b["text"], strict=True):
+                raw = _bytes(text.as_py())
+                if len(raw) < length:
+                    continue
+                if raws and (size + len(raw) > HASHED or len(raws) == 1 << 16):
+                    yield from send(ids, keys, raws, serial)
+                    ids, keys, raws, size, serial = [], [], [], 0, serial + 1
+                ids.append(doc)
+                keys.append(key)
+                raws.append(raw)
+                size += len(raw)
+        if raws:
+            yield from send(ids, keys, raws, serial)
 
     return run
 
@@ -192,22 +202,25 @@ def _hash_rows(ids, keys, doc, place, spans, h, buckets, serial):
             )
 
 
-def _by_document(ids, keys, items):
-    """(documents, their keys, bounds, items): items of a document together."""
-    order = np.lexsort((keys, ids))
+def _by_document(ids, keys, items, part=None):
+    """(documents, their keys, bounds, items): items of a document together, and documents of a part, which is told by their ids."""
+    order = np.lexsort((keys, ids) if part is None else (keys, ids, part))
     ids, keys, items = ids[order], keys[order], items[order]
     first = np.append(True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]))[: len(ids)]
     return ids[first], keys[first], np.append(np.flatnonzero(first), len(ids)), items
 
 
+def _part(ids: np.ndarray, parts: int) -> np.ndarray:
+    return ((ids.astype(np.uint64) * _ODD) >> np.uint64(33)).astype(np.int64) % parts
+
+
 def _packed(ids, keys, items, parts: int) -> pa.Table:
     """Items on their way back to their documents, one row for each part of the documents."""
-    part = ((ids.astype(np.uint64) * _ODD) >> np.uint64(33)).astype(np.int64) % parts
-    rows = []
-    for p in np.unique(part).tolist():
-        r = part == p
-        d, k, cuts, x = _by_document(ids[r], keys[r], items[r])
-        rows.append({"part": p, "docs": _squeezed(d, "<i8", True), "keys": _squeezed(k, "<u4"), "counts": _squeezed(np.diff(cuts), "<u4"), "items": x.tobytes()})
+    d, k, cuts, x = _by_document(ids, keys, items, _part(ids, parts))
+    part, rows = _part(d, parts), []
+    ends = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(d)).tolist() if len(d) else []
+    for s, e in zip(ends[:-1], ends[1:], strict=True):
+        rows.append({"part": int(part[s]), "docs": _squeezed(d[s:e], "<i8", True), "keys": _squeezed(k[s:e], "<u4"), "counts": _squeezed(np.diff(cuts[s : e + 1]), "<u4"), "items": x[cuts[s] : cuts[e]].tobytes()})
     return pa.Table.from_pylist(rows, schema=_PARTS)
 
 
@@ -556,8 +569,8 @@ def _by_parts(found: DataFrame, parts: int, kind: np.dtype) -> DataFrame:
 def find_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, the columns ``keep`` as kept0, kept1 and so on, marks (windows to remove) and first_id of every row.
 
-    first_id is the least doc_id with this text.  See ``remove_passages`` for what holds for nulls and ties.  Both
-    joins take the same columns, so that the texts are shuffled once.
+    first_id is the least doc_id with this text.  See ``remove_passages`` for what holds for nulls and ties.  All
+    three joins take the same columns, so that the texts are shuffled once.
     """
     more = [F.col(c).alias(f"kept{i}") for i, c in enumerate(keep)]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").bitwiseAND(0xFFFFFFFF).alias("tkey"), *more)
@@ -568,9 +581,9 @@ def find_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ())
     buckets, shards, parts = max(4, total // BUCKET_BYTES), max(4, total // SHARD_BYTES), max(4, total // PART_BYTES)
     firsts = info.filter(F.col("n") >= length).groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     copies = info.join(firsts.filter("copies > 1"), "sha").filter("doc_id > first_id").groupBy("doc_id", "tkey").agg(F.min("first_id").alias("first_id"))
-    hashes = docs.select("doc_id", "tkey", "text").mapInArrow(releasing(_emit_hashes(length, buckets)), _spark(_HASHES))
+    hashes = docs.join(copies, ["doc_id", "tkey"], "left_anti").mapInArrow(releasing(_emit_hashes(length, buckets)), _spark(_HASHES))
     flags = hashes.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(releasing(lambda t: _repeated(t, parts)), _spark(_PARTS))
-    places = _by_parts(flags, parts, _FLAG).join(copies, ["doc_id", "tkey"], "left_anti")
+    places = _by_parts(flags, parts, _FLAG)
     cut = docs.join(places, ["doc_id", "tkey"], "left").mapInArrow(releasing(_emit_stretches(length, shards)), _spark(_STRETCHES))
     sorted_ = cut.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(releasing(_sort_shards(length, parts)), _spark(_PARTS))
     marks = _by_parts(sorted_, parts, _MARK).withColumnRenamed("items", "marks")
